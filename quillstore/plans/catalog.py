@@ -1,6 +1,6 @@
-"""All queries and their oracles, collected from the operator modules."""
+"""All queries and their oracles, collected from the query modules."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import graph_plans, lifecycle_plans, recall_plans, store_plans  # noqa: F401  (they register themselves)
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401

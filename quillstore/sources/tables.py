@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schema import RELATIONS, TYPES
+from .ship import ship
 
 AS_OF = "2025-01-01 00:00:00"
 EVENTS_AS_OF = "2024-02-01 00:00:00"
@@ -16,6 +17,7 @@ QUERY_TEXTS = {"q1": "thea thti eron", "q2": "thtion erin", "q3": "thnt"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .util import written
 
 PITCHES, WIDTH = 12, 16
-MAX_BER, MIN_OVERLAP, MIN_VOTES = 0.1, 24, 2
+MAX_BER, MIN_OVERLAP, MIN_VOTES = 0.1, 24, 1
 QUANTISE = (-0.12, 0.0, 0.12)  # limits between a filter's four values
 
 

@@ -49,15 +49,20 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): the fingerprint as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(2)], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(each, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _text_hash(text).alias("text_hash"), F.col(text).alias("text"))
+    return rows.mapInArrow(each, f"doc_id {kind}, text_hash long, fp long")
+
+
+def _text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _groups(bits: np.ndarray, m: int) -> list[list[int]]:
@@ -218,7 +223,10 @@ def links(fps: DataFrame, plan: list[tuple[list[int], int]], limit: int = LIMIT,
 
 
 def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", shingle=3, seed=42, limit=LIMIT, chunk=CHUNK) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id): component_id is the smallest doc_id that chains of links reach."""
+    """(doc_id, text_hash, fp, fingerprint, root, component_id): component_id is the smallest doc_id that chains of links reach.
+
+    root tells components apart, which share an id only where rows with different texts share a doc_id.
+    """
     prints = written(fingerprints(docs, doc_id, text, shingle, seed), "simhash-prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     n = distinct.count()
@@ -228,19 +236,21 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", shingle=3,
     of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = written(of, "simhash-roots")
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
+    of = of.join(ids, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
     of = small(written(of, "simhash-components"))
-    return prints.join(of, prints["fp"] == of["_fp"]).select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, *, doc_id="doc_id", **options) -> DataFrame:
-    """docs with one row of each component: that of its component_id. Rows repeated under one doc_id count once."""
-    found = near_duplicates(docs, doc_id=doc_id, **options)
-    keep = written(
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().withColumnRenamed("doc_id", "_kept"), "simhash-keep"
-    )
-    keep = small(keep)
-    rows = docs.join(keep, docs[doc_id].eqNullSafe(keep["_kept"]))
-    once = rows.where("count = 1").select(*[docs[c] for c in docs.columns])
-    more = rows.where("count > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates([doc_id])
+    return prints.join(of, prints["fp"] == of["_fp"]).select("doc_id", "text_hash", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:
+    """docs with one row of each component, that of its component_id."""
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.doc_id", "x.text_hash")
+    keep = first.select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_hash"))
+    # rows that are repeated in full: only those are compared
+    copies = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_copies"))
+    match = F.col("_kept").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
+    keep = small(written(keep.join(copies, match).select("_kept", "_hash", "_copies"), "simhash-keep"))
+    rows = docs.join(keep, docs[doc_id].eqNullSafe(keep["_kept"]) & (_text_hash(text) == keep["_hash"]))
+    once = rows.where("_copies = 1").select(*[docs[c] for c in docs.columns])
+    more = rows.where("_copies > 1").dropDuplicates(["_kept", "_hash"]).select(*[docs[c] for c in docs.columns])
     return once.unionByName(more)

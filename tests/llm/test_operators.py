@@ -1,0 +1,361 @@
+"""The ten operators against brute force, round trips or planted cases, with nulls, ties, repeats and empty tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from quillstore.llm import chat_format, chroma, components, license_scan, mixing, packing, pii, quality_lm, rules, simhash, substring
+from quillstore.llm.queries import KEY, tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, start string"
+
+
+def words(n, seed, vocabulary=400):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Texts with copies, near copies, shared passages, oddities; columns named like the operators' own."""
+    texts = [words(120, i) for i in range(12)]
+    texts += [texts[0]] * 4 + [texts[1] + " more"] + [texts[2].replace("w1", "x1", 1)]
+    passage = words(150, 99, 5000)
+    texts += [f"{words(40, 200 + i)} {passage} {words(30, 300 + i)}" for i in range(5)]
+    texts += ["", None, "  \n\t ", "a", "A a A", "é ü ß 漢字 \U0001f600 x", "one two three four five " * 40, "same line\nsame line\n\nother\nsame line", "# * $ % & | < > ok"]
+    texts += [words(9000, 77)]
+    out = [(i, t, "en" if i % 3 else None, f"s{i % 3}" if i % 5 else None, len(t or ""), "x", "y") for i, t in enumerate(texts)]
+    return out + [out[3], out[3], (None, texts[5], None, None, None, None, None), (7, None, "en", "s1", 0, "x", "y")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def brute_fingerprint(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def brute_components(n, linked):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(n)]
+
+
+def test_simhash(docs, rows, none):
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    fps = [brute_fingerprint(r[1]) for r in rows]
+    comp = brute_components(len(rows), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)
+    least = defaultdict(lambda: None)
+    for r, c in zip(rows, comp):
+        if r[0] is not None:
+            least[c] = r[0] if least[c] is None else min(least[c], r[0])
+    want = Counter((r[0], f"{f:016x}", least[c]) for r, f, c in zip(rows, fps, comp))
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
+    assert simhash.near_duplicates(none).count() == 0
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()]
+    assert len(kept) == len(set(comp)) and {x[0] for x in kept} == set(least.values())
+
+
+@pytest.mark.parametrize("limit,chunk,plan", [(3, 16, None), (3, 2048, [(list(range(32)), 1), (list(range(32, 64)), 1)]), (2, 64, None)])
+def test_links_keep_components(spark, limit, chunk, plan):
+    r = random.Random(limit)
+    fps = [r.getrandbits(64) for _ in range(150)]
+    for _ in range(250):  # chains and crowds around a few
+        x = r.choice(fps[:20] + fps[-20:])
+        for b in r.sample(range(64), r.randrange(1, 5)):
+            x ^= 1 << b
+        fps.append(x)
+    fps = sorted(set(fps))
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    d = spark.createDataFrame([(x,) for x in signed], "fp long")
+    plan = plan or simhash.plan_search(np.array(fps, np.uint64), len(fps), limit)
+    got = {x.node: x.root for x in components.components(simhash.links(d, plan, limit, chunk)).collect()}
+    comp = brute_components(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= limit)
+    least = {}
+    for s, c in zip(signed, comp):
+        least[c] = min(least.get(c, s), s)
+    assert [got.get(s, s) for s in signed] == [least[c] for c in comp]
+
+
+def test_plan_allocates_by_cost():
+    r = np.random.default_rng(0)
+    sample = r.integers(0, 2**63, 3000, dtype=np.uint64)
+    few, many = simhash.plan_search(sample, 1000), simhash.plan_search(sample, 10**11)
+    assert len(many) <= len(few) and sum(t for _, t in many) > sum(t for _, t in few)
+    assert sorted(b for g, _ in few for b in g) == sorted(set(b for g, _ in few for b in g))
+
+
+def test_components_of_a_path(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (100, 101)], "a long, b long")
+    got = {r.node: r.root for r in components.components(e).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def brute_targets(sizes, weights):
+    """Shares by weight, capped at three times the size, the excess reshared."""
+    total, target, free = sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
+    while free:
+        rest = total - sum(target[i] for i in range(len(sizes)) if i not in free)
+        share = {i: rest * weights[i] / sum(weights[j] for j in free) for i in free}
+        over = [i for i in free if share[i] > 3 * sizes[i]]
+        for i in over or free:
+            target[i] = 3.0 * sizes[i] if over else share[i]
+        free -= set(over or free)
+    return target
+
+
+def test_mixing(docs, rows, none):
+    got = mixing.plan_mix(docs).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((r[0], len(WORD.findall(r[1] or ""))) for r in rows)
+    names = sorted({r[3] for r in rows if r[3]}) + [None]
+    sizes = [sum(len(WORD.findall(r[1] or "")) for r in rows if r[3] == s) for s in names]
+    want = brute_targets(sizes, [1 + i % 3 for i in range(len(names))])
+    for i, (s, t) in enumerate(zip(sizes, want)):
+        own = [r for r in got if r.source_rank == i + 1]
+        assert {(r.source_size, round(r.target, 6)) for r in own} == {(s, round(t, 6))}
+        assert abs(sum(r.taken for r in own) - t) <= max(0.1 * t, 3)
+    assert all(0 <= r.taken <= 3 * r["size"] for r in got)
+    key = lambda rs: sorted((r.doc_id or -1, r["size"], r.taken) for r in rs)
+    assert key(got) == key(mixing.plan_mix(docs.repartition(5)).collect())
+    assert mixing.plan_mix(none).count() == 0
+
+
+def test_mixed_documents_hold_what_was_taken(docs):
+    taken = mixing.plan_mix(docs).groupBy().sum("taken").first()[0]
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len(WORD.findall(r.text or "")) for r in mixed.collect()) == taken
+
+
+def test_apportionment(spark):
+    votes = [53, 24, 23, 0, 1]
+    d = spark.createDataFrame([(0, i, float(v), 27) for i, v in enumerate(votes)], "g int, _order int, v double, s long")
+    got = {r._order: r.won for r in mixing._seats(d, ["g"], "v", "s", "won").collect()}
+    seats = Counter({i: 0 for i in range(5)})
+    for _ in range(27):
+        seats[max(range(5), key=lambda i: (votes[i] / (2 * seats[i] + 1), -i))] += 1
+    assert got == dict(seats)
+
+
+def brute_signals(text):
+    w = WORD.findall(text or "")
+    grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    hit = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    failed = len(w) < 10 or 100 * len(hit) > 20 * len(w)
+    return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(hit), failed
+
+
+def test_rules(docs, rows, none):
+    got = rules.judge(docs).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert Counter((r.doc_id, *[r[c] for c in names]) for r in got) == Counter((r[0], *brute_signals(r[1])) for r in rows)
+    assert not any(r.kept and r.base_failed for r in got)
+    kept = lambda order: sorted((r.doc_id or -1, r.kept) for r in rules.judge(docs, order=order).collect())
+    assert kept(list(rules.RULES)) == kept(list(reversed(rules.RULES)))
+    assert rules.judge(none).count() == 0
+
+
+def test_packing(docs, rows, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.encode_special_tokens = True
+    ids = {i: [*t.encode(r[1] or "", add_special_tokens=False).ids, 0] for i, r in enumerate(rows)}
+    got = packing.pack_documents(docs, tokenizer_path()).collect()
+    want = Counter((rows[i][0], at, len(x[at : at + 1024]), zlib.crc32(np.array(x[at : at + 1024], "<u4").tobytes()), len(x)) for i, x in ids.items() for at in range(0, len(x), 1024))
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
+    seqs = defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append(r)
+    for s in seqs.values():
+        end = 0
+        for r in sorted(s, key=lambda r: r.offset):
+            assert r.offset == end
+            end += r.length
+        assert end <= 1024 and {r.context for r in s} == {end if end & (end - 1) == 0 else 1024}
+    assert packing.pack_documents(none, tokenizer_path()).count() == 0
+
+
+def test_tokens_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.encode_special_tokens = True
+    mine = packing.Tokens(tokenizer_path(), remember=50)
+    r = random.Random(5)
+    bits = ["a", "B", " ", "  ", "\n", "\t", "\r\n", "'s", "don't", "12", "²", "é", "漢", " ", "　", "\x1c", ".", "...", "|", "<|endoftext|>", "word", "\U0001f600", "é", "It's."]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(3000)] + [" ".join(r.choice(bits) for _ in range(30)) for _ in range(500)]
+    assert [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)] == [mine(x) for x in texts]
+
+
+def test_padding_is_little():
+    r = random.Random(1)
+    lengths = [r.randrange(1, 1024) for _ in range(5000)]
+    totals = [sum(lengths[i] for i in s) for s in packing.fill(lengths)]
+    assert sum(totals) == sum(lengths) and max(totals) <= 1024
+    assert sum(lengths) / sum(packing.context(x) for x in totals) > 0.98
+
+
+def test_pseudonyms(spark, none):
+    p = pii.Pseudonyms(KEY)
+    text = "card 4111 1111 1111 1111 and 4111-1111-1111-1111, not 4111111111111112; +1 (212) 555-0199; 10.0.0.1 999.1.1.1 born 1980-02-29 not 2023-02-30, ann.lee7@mail3.example.com token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" 12345"
+    new, counts = p(text)
+    assert counts == {"card": 2, "phone": 1, "ipv4": 1, "date": 1, "email": 1, "secret": 1}
+    for gone in ("4111 1111 1111 1111", "4111-1111", "555-0199", "10.0.0.1 ", "1980-02-29", "ann.lee7", "04dbebab"):
+        assert gone not in new
+    for kept in ("4111111111111112", "999.1.1.1", "2023-02-30", "12345"):
+        assert kept in new
+    shape = lambda s: re.sub(r"[a-z]", "a", re.sub(r"\d", "9", s))
+    strip = lambda s: re.sub(r"(\d{1,3}\.){3}\d{1,3}|[0-9a-f]{40}", "", s)
+    assert shape(strip(new)) == shape(strip(text))
+    cards = [re.sub(r"\D", "", x) for x in re.findall(r"(?:\d{4}[ -]){3}\d{4}", new)]
+    assert len(set(cards)) == 1 and pii.luhn(cards[0]) == 0
+    f = pii.Feistel(KEY)
+    for n in (1, 2, 10, 97, 1000):
+        assert sorted(f.encrypt(x, n) for x in range(n)) == list(range(n))
+        assert all(f.decrypt(f.encrypt(x, n), n) == x for x in range(n))
+    d = spark.createDataFrame([(1, None, "k"), (2, text, "k"), (2, text, "k"), (None, "clean text 17", None), (5, "", "k")], "doc_id long, text string, pii string")
+    got = pii.pseudonymise(d, KEY, counts=True).collect()
+    assert Counter((r.doc_id, r.text, r.pii_card) for r in got) == Counter([(1, None, 0), (2, new, 2), (2, new, 2), (None, "clean text 17", 0), (5, "", 0)])
+    assert pii.pseudonymise(none, KEY).count() == 0
+
+
+def test_kneser_ney_sums_to_one():
+    r = np.random.default_rng(0)
+    c = r.poisson(0.02, quality_lm.SYMBOLS**quality_lm.ORDER)
+    p = quality_lm.kneser_ney(c)
+    assert np.allclose(p.sum(axis=-1), 1) and p.min() > 0
+
+
+def test_classifier(spark, none):
+    r = random.Random(3)
+    good = lambda: " ".join(r.choice(["the", "river", "runs", "over", "stone", "and", "light", "falls"]) for _ in range(60)) + "."
+    bad = lambda: "".join(r.choice("|#$%&*<>@0123456789QZXJ") for _ in range(300))
+    data = [(i, good() if i % 4 else bad(), "en") for i in range(400)] + [(900, None, "en"), (901, "", None), (902, good(), None), (None, good(), "xx")]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200) if i % 4] + [(1, 1, 0), (None, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    got = quality_lm.classify(d, labels).collect()
+    assert len(got) == len(data)
+    held_out = [x for x in got if x.doc_id is not None and 200 <= x.doc_id < 400]
+    assert all(x.accepted == bool(x.doc_id % 4) for x in held_out)
+    by = {x.doc_id: x for x in got}
+    assert by[900].perplexity is None and not by[900].accepted and not by[901].accepted and by[902].accepted and by[None].accepted
+    assert quality_lm.keep_good(d, labels).count() == sum(x.accepted for x in got)
+    assert all(x.accepted == (x.n_symbols > 0) for x in quality_lm.classify(d, labels.limit(0)).collect())
+    assert quality_lm.classify(none, labels).count() == 0
+
+
+def brute_removed(texts, length):
+    raws = [(t or "").encode() for t in texts]
+    c = Counter(x[i : i + length] for x in raws for i in range(len(x) - length + 1))
+    out = []
+    for x in raws:
+        gone = [False] * len(x)
+        last = -1
+        for i in range(len(x) - length + 1):
+            if c[x[i : i + length]] > 1:
+                for j in range(max(i, last), i + length):
+                    gone[j] = True
+                last = i + length
+        kept = bytes(b for b, g in zip(x, gone) if not g)
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out.append((len(x), len(x) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_substring(spark, docs, rows, none, hot):
+    want = Counter((r[0], *x) for r, x in zip(rows, brute_removed([r[1] for r in rows], 400)))
+    got = substring.deduplicate(docs, hot=hot).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == want
+    assert substring.deduplicate(none).count() == 0
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_short_substrings(spark, hot):
+    r = random.Random(hot)
+    base = ["".join(r.choice("abc"[: 1 + k % 3]) for _ in range(r.randrange(200))) for k in range(6)]
+    texts = ["".join(b[r.randrange(len(b) + 1) :][: r.randrange(120)] for b in r.sample(base, 3)) for _ in range(40)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring.deduplicate(d, length=40, gram=8, cell=16, hot=hot).collect()
+    want = {i: x for i, x in enumerate(brute_removed(texts, 40))}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got} == want
+
+
+def test_licenses(spark, none):
+    texts = {
+        1: "Intro. Released under the MIT License.\nMore.",
+        2: "Licensed under the Apache License, Version 2.0 (the \"License\"); \nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\nhttp://x",
+        3: None, 4: "", 5: "a licence to read", 6: "LICENSED UNDER CC BY-NC 4.0!  This work is licensed under the GNU General Public License, version 3.",
+    }
+    d = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "doc_id long, text string, licenses string")
+    got = {r.doc_id: (r.sentence_ids, r.licenses, r.n_licenses) for r in license_scan.scan(d).collect()}
+    assert got == {1: ("e", "MIT", 1), 2: ("bcd", "Apache-2.0", 1), 3: ("", "", 0), 4: ("", "", 0), 5: ("", "", 0), 6: ("kh", "CC-BY-NC-4.0,GPL-3.0-only", 2)}
+    assert license_scan.scan(none).count() == 0
+
+
+def test_chats(spark):
+    def conv(c, *texts):
+        return [(c, i, "user" if i % 2 == 0 else "assistant", t, 0) for i, t in enumerate(texts)]
+
+    long = [f"t{i}" for i in range(700)]
+    data = conv(1, "a", "b") + conv(2, "a", "b", "c") + conv(3, "a", "b", "c") + conv(4, "a", "x") + conv(5, "a", None) + conv(6, *long) + conv(7, *long[:300])
+    data += [(None, 0, "user", "a", 0), (8, None, None, None, 0), (9, 0, "user", "z", 0), (9, 0, "user", "z", 0)]
+    d = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, part int").repartition(3)
+    got = chat_format.maximal(d).collect()
+    assert {(r.conv_id, r.n_turns, r.n_copies) for r in got} == {(2, 3, 2), (4, 2, 1), (5, 2, 1), (6, 700, 1), (8, 1, 1), (9, 2, 1)}
+    parts = {(r.conv_id, r.part): r.chat for r in chat_format.render(d).collect()}
+    assert parts[2, 0] == "<|user|>\na<|end|>\n<|assistant|>\nb<|end|>\n<|user|>\nc<|end|>\n"
+    assert sum(k[0] == 6 for k in parts) == 11 and parts[6, 1].startswith("<|user|>\nt64<|end|>")
+    assert chat_format.render(d.limit(0)).count() == 0
+
+
+def test_chroma(spark):
+    r = np.random.default_rng(1)
+    v = [r.normal(size=64) for _ in range(120)]
+    near = [(x + r.normal(size=64) * 0.004) for x in v[:30]]
+    shifted = [np.concatenate([r.normal(size=7), x[:57]]) for x in v[30:40]]
+    data = [*v, *near, *shifted, v[0], v[0]]
+    rows = [(i, x.tolist(), "k") for i, x in enumerate(data)] + [(500, None, "k"), (501, [], "k"), (None, v[1].tolist(), "k")]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, kind string")
+    prints = chroma.fingerprints(d, rec_id="vec_id", media="embedding")
+    got = chroma.match(prints, "true").collect()
+    members = {x.rec_id: x.class_id for x in got if x.kind == "member"}
+    assert len([x for x in got if x.kind == "member"]) == len(rows) and members[160] == members[161] == 0 and members[500] == members[501]
+    found = {(x.class_id, x.other_id): x.offset for x in got if x.kind == "match"}
+    assert all(found.get((i, 150 + i - 30)) == 7 for i in range(30, 40))
+    codes = {x.rec_id: np.array(x.codes) for x in prints.collect() if x.rec_id is not None and x.codes}
+    ber = lambda a, b: np.bitwise_count(a ^ b).sum() / 32 / len(a)
+    true = {(i, j) for i in range(150) for j in range(150) if i != j and ber(codes[i], codes[j]) <= chroma.MAX_BER}
+    assert len(true) >= 40 and len(true & set(found)) >= 0.9 * len(true)
+    assert chroma.match(prints.limit(0), "true").count() == 0
+    tone = np.sin(2 * np.pi * 440 * np.arange(22050) / 11025)
+    assert chroma.frames_of_pcm(tone).argmax(axis=1).tolist() == [0] * len(chroma.frames_of_pcm(tone))

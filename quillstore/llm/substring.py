@@ -141,18 +141,15 @@ def repeated_starts(docs: DataFrame, length: int, gram: int, cell: int, hot: int
     kind = docs.schema["row_key"].dataType.simpleString()
     found = written(docs.select("row_key", "text").mapInArrow(candidates, f"row_key {kind}, core long, extent long, first long, last long, at long, left binary, right binary"), "substring-cells")
     # how often each core and each extent occurs; false hits of the filter go here
-    extents = found.groupBy("core", "extent").agg(F.count(F.lit(1)).alias("same"))
+    extents = found.groupBy("core", "extent").agg(F.count(F.lit(1)).alias("same"), F.min(F.struct("row_key", "first")).alias("one"))
     totals = extents.groupBy("core").agg(F.sum("same").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1")
     sums = written(extents.join(totals, "core"), "substring-sums")
     whole = found.join(sums.where("same > 1").select("core", "extent"), ["core", "extent"], "left_semi").select("row_key", "first", "last")
     # one row of each kind of extent goes on; more than one of a kind means repeated by itself, and one serves others
-    mixed = sums.where("kinds > 1").select("core", "extent", F.expr("same = 1").alias("open"), F.expr(f"kinds > {hot}").alias("hot"))
-    open_ = found.join(mixed, ["core", "extent"])
-    alone = open_.where("open").drop("open")
-    others = open_.where("not open").drop("open").groupBy("core", "extent", "hot").agg(F.min(F.struct("left", "right", "at", "first", "last")).alias("x"))
-    others = others.select("core", "extent", "hot", F.lit(None).cast(kind).alias("row_key"), "x.*")
-    names = ["core", "hot", "row_key", "first", "last", "at", "left", "right"]
-    rows = written(alone.select(*names, F.lit(True).alias("asks")).unionByName(others.select(*names, F.lit(False).alias("asks"))), "substring-open")
+    mixed = sums.where("kinds > 1").select("core", "extent", "one.row_key", "one.first", F.expr("same = 1").alias("asks"), F.expr(f"kinds > {hot}").alias("hot"))
+    keys = ["core", "extent", "row_key", "first"]  # so a hot extent is one row here
+    rows = found.join(mixed, keys).dropDuplicates(["core", "extent"])
+    rows = written(rows.select("core", "hot", "row_key", "first", "last", "at", "left", "right", "asks"), "substring-open")
 
     def windows(left: bytes, right: bytes, first: int, last: int, at: int) -> list[int]:
         """A key for each window: what it adds to the core on either side."""

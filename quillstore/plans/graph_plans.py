@@ -1 +1,158 @@
-"""Queries."""
+"""Grounding, activation, distances and arcs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph as gr
+from ..sources import schema as sc
+from ..sources import tables as tb
+from ..sources.tables import AS_OF, ATOMS, EDGES, EVENTS_AS_OF, LOG
+from .recall_plans import weight_sql
+from .registry import query
+from .store_plans import GRAPH, USE, VIS, age, graph_edges, graph_nodes, usage
+
+_HALF = weight_sql(sc.HALF_LIVES, "type", 90)
+GROUND = f"""ground AS (SELECT n, type, confidence, coalesce(n_access, 0) AS n_access, coalesce(sessions, 0) AS sessions,
+  least(1.0, greatest(0.01, (0.5 * CASE WHEN last_read IS NULL THEN 0 ELSE pow(2.0, -greatest(0, (epoch(TIMESTAMP '{EVENTS_AS_OF}') - epoch(last_read)) / 86400.0) / ({_HALF})) END
+    + 0.5 * (1 - pow(2.0, -coalesce(n_access, 0) / 5.0))) * pow(0.6, coalesce(n_conflict, 0)))) AS g
+  FROM atoms LEFT JOIN use ON n = ref WHERE status = 'active' AND type <> 'conflict'),
+quad AS (SELECT *, CASE WHEN confidence >= 0.6 AND round(g, 9) >= 0.5 THEN 'well-grounded' WHEN confidence >= 0.6 THEN 'review' WHEN round(g, 9) >= 0.5 THEN 'promote' ELSE 'noise' END AS quadrant FROM ground)"""
+
+
+def grounding(spark, sf):
+    """Each active atom's support by use: recency, frequency, conflicts, and its quadrant against confidence."""
+    a = tb.atoms(spark, sf).where("status = 'active' and type <> 'conflict'").select("n", "type", "confidence")
+    rows = a.join(usage(spark, sf).withColumnRenamed("ref", "n"), "n", "left")
+    half = F.lit(90.0)
+    for k, v in sc.HALF_LIVES.items():
+        half = F.when(F.col("type") == k, float(v)).otherwise(half)
+    days = F.greatest(F.lit(0), (F.unix_timestamp(tb.clock(EVENTS_AS_OF).cast("timestamp")) - F.unix_timestamp(F.col("last_read").cast("timestamp"))) / 86400.0)
+    recency = F.when(F.col("last_read").isNull(), 0.0).otherwise(F.pow(F.lit(2.0), -days / half))
+    n = F.coalesce("n_access", F.lit(0))
+    raw = (0.5 * recency + 0.5 * (1 - F.pow(F.lit(2.0), -n / 5.0))) * F.pow(F.lit(0.6), F.coalesce("n_conflict", F.lit(0)))
+    g = F.least(F.lit(1.0), F.greatest(F.lit(0.01), raw))
+    high, used = F.col("confidence") >= 0.6, F.round("g", 9) >= 0.5
+    quadrant = F.when(high & used, "well-grounded").when(high, "review").when(used, "promote").otherwise("noise")
+    return rows.withColumn("g", g).select("n", "type", "confidence", n.alias("n_access"), F.coalesce("sessions", F.lit(0)).alias("sessions"), "g").withColumn("quadrant", quadrant)
+
+
+@query("G1_grounding", ATOMS, LOG, USE, GROUND, sql="SELECT n, n_access, sessions, round(g, 4) AS grounding, quadrant FROM quad")
+def g1(spark, sf):
+    return grounding(spark, sf).select("n", "n_access", "sessions", F.round("g", 4).alias("grounding"), "quadrant")
+
+
+@query("A7_quadrants", ATOMS, LOG, USE, GROUND, sql="SELECT quadrant, count(*) AS n FROM quad GROUP BY quadrant")
+def a7(spark, sf):
+    return grounding(spark, sf).groupBy("quadrant").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("G2_reconcile", ATOMS, LOG, USE, GROUND, sql="""SELECT n, round(least(greatest(confidence + CASE WHEN g < confidence THEN 0.08 ELSE 0.03 END * (g - confidence), 0), 1), 4) AS new_confidence FROM quad
+  WHERE quadrant IN ('review', 'promote') AND (quadrant = 'review' OR sessions >= 2) AND n % 7 <> 0 AND abs(CASE WHEN g < confidence THEN 0.08 ELSE 0.03 END * (g - confidence)) >= 0.005""")
+def g2(spark, sf):
+    d = F.when(F.col("g") < F.col("confidence"), 0.08).otherwise(0.03) * (F.col("g") - F.col("confidence"))
+    edited = tb.atoms(spark, sf).where("n % 7 = 0").select("n")
+    rows = grounding(spark, sf).where("quadrant in ('review', 'promote') and (quadrant = 'review' or sessions >= 2)").join(edited, "n", "left_anti")
+    return rows.where(F.abs(d) >= 0.005).select("n", F.round(F.least(F.greatest(F.col("confidence") + d, F.lit(0)), F.lit(1)), 4).alias("new_confidence"))
+
+
+_W = weight_sql(sc.RELATION_WEIGHTS, "rel", 0.3)
+NEAR = f"near AS (SELECT n, m, max(w) AS w, arg_max(rel, (w, rel)) AS rel FROM (SELECT *, {_W} AS w FROM (SELECT src AS n, tgt AS m, rel FROM links UNION ALL SELECT tgt, src, rel FROM links)) GROUP BY n, m)"
+
+
+@query("G4_neighbour_types", ATOMS, EDGES, VIS, GRAPH, NEAR, sql="SELECT n, m, rel, w FROM near")
+def g4(spark, sf):
+    return gr.neighbours(graph_edges(spark, sf))
+
+
+BASE = f"""base AS (SELECT n, tags, ln(coalesce(c, 0) + 1) - 0.5 * ln(greatest((epoch(TIMESTAMP '{AS_OF}') - epoch(updated_at)) / 86400.0, 0.01)) AS base
+  FROM nodes LEFT JOIN (SELECT tgt, count(*) AS c FROM links GROUP BY tgt) ON n = tgt),
+seeds AS (SELECT n FROM base ORDER BY round(base, 9) DESC, n LIMIT 3)"""
+
+
+def nodes_of(spark, sf):
+    cited = graph_edges(spark, sf).groupBy(F.col("tgt").alias("n")).agg(F.count(F.lit(1)).alias("c"))
+    rows = graph_nodes(spark, sf).select("n", "tags", "updated_at").join(cited, "n", "left")
+    return rows.select("n", "tags", gr.base_activation(age("updated_at"), F.coalesce("c", F.lit(0))).alias("base"))
+
+
+def seeds_of(spark, sf):
+    return nodes_of(spark, sf).orderBy(F.round("base", 9).desc(), "n").limit(3).select("n")
+
+
+@query("X24_base_activation", ATOMS, EDGES, VIS, GRAPH, BASE, sql="SELECT n, round(base, 6) AS base, round(1 / sqrt(1 + exp(-base)), 6) AS boost FROM base")
+def x24(spark, sf):
+    return nodes_of(spark, sf).select("n", F.round("base", 6).alias("base"), F.round(1 / F.sqrt(1 + F.exp(-F.col("base"))), 6).alias("boost"))
+
+
+@query("G5_seeds", ATOMS, EDGES, VIS, GRAPH, BASE, sql="SELECT n FROM seeds")
+def g5(spark, sf):
+    return seeds_of(spark, sf)
+
+
+def _step(i: int) -> str:
+    return f"""act{i} AS (SELECT * FROM (SELECT n, act FROM (SELECT b.n, round(coalesce(a.act * 0.75, 0.0) + coalesce(g.got / sqrt(1 + exp(-b.base)), 0.0), 9) AS act FROM base b
+  LEFT JOIN act{i - 1} a ON a.n = b.n LEFT JOIN (SELECT n, sum(got) AS got FROM (
+    SELECT t2.n, s.act * 0.5 / s.k / h.holders AS got FROM (SELECT act.n, act.act, t.tag, t.k FROM act{i - 1} act JOIN tagged t ON t.n = act.n) s JOIN holders h ON h.tag = s.tag JOIN tagged t2 ON t2.tag = s.tag AND t2.n <> s.n
+    UNION ALL SELECT m, act.act * 0.5 * 2.0 * near.w / d.degree FROM act{i - 1} act JOIN near ON near.n = act.n AND near.m <> near.n JOIN degree d ON d.n = act.n) GROUP BY n) g ON g.n = b.n)
+  WHERE act > 0 ORDER BY act DESC, n LIMIT 20) WHERE act >= 0.05)"""
+
+
+WALK = (
+    "tagged AS (SELECT n, unnest(tags) AS tag, len(tags) AS k FROM nodes), holders AS (SELECT tag, count(*) AS holders FROM tagged GROUP BY tag)",
+    "degree AS (SELECT n, count(*) AS degree FROM near WHERE n <> m GROUP BY n), act0 AS (SELECT n, 1.0::DOUBLE AS act FROM seeds)",
+    _step(1), _step(2), _step(3),
+)
+
+
+def walk(spark, sf):
+    return gr.spread(nodes_of(spark, sf), graph_edges(spark, sf), seeds_of(spark, sf))
+
+
+@query("G3_wander", ATOMS, EDGES, VIS, GRAPH, NEAR, BASE, *WALK, sql="SELECT n, round(act, 6) AS act FROM act3")
+def g3(spark, sf):
+    return walk(spark, sf).select("n", F.round("act", 6).alias("act"))
+
+
+@query("G6_collisions", ATOMS, EDGES, VIS, GRAPH, NEAR, BASE, *WALK, sql="""SELECT a, b, score FROM (SELECT x.n AS a, y.n AS b, round(x.act * y.act * (1 - len(list_intersect(p.tags, q.tags)) / len(list_distinct(p.tags || q.tags))), 3) AS score,
+  1 - len(list_intersect(p.tags, q.tags)) / len(list_distinct(p.tags || q.tags)) AS d FROM act3 x JOIN act3 y ON x.n < y.n JOIN nodes p ON p.n = x.n JOIN nodes q ON q.n = y.n) WHERE d > 0.7 ORDER BY score DESC, a, b LIMIT 5""")
+def g6(spark, sf):
+    active = walk(spark, sf).join(graph_nodes(spark, sf).select("n", "tags"), "n")  # 20 rows at most
+    a, b = [active.select(F.col("n").alias(k), F.col("act").alias(f"{k}_act"), F.col("tags").alias(f"{k}_tags")) for k in "ab"]
+    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b"))
+    d = 1 - F.size(F.array_intersect("a_tags", "b_tags")) / F.size(F.array_union("a_tags", "b_tags"))
+    return pairs.where(d > 0.7).select("a", "b", F.round(F.col("a_act") * F.col("b_act") * d, 3).alias("score")).orderBy(F.desc("score"), "a", "b").limit(5)
+
+
+def _hops() -> str:
+    out = ["u AS (SELECT DISTINCT n, m FROM (SELECT src AS n, tgt AS m FROM edges UNION ALL SELECT tgt, src FROM edges)), h0 AS (SELECT n AS source, n, 0 AS hops FROM atoms WHERE n % 100 = 0)"]
+    for i in range(1, 5):
+        out.append(f"h{i} AS (SELECT * FROM h{i - 1} UNION ALL SELECT DISTINCT h.source, u.m, {i} FROM h{i - 1} h JOIN u ON u.n = h.n WHERE h.hops = {i - 1} AND NOT EXISTS (SELECT 1 FROM h{i - 1} s WHERE s.source = h.source AND s.n = u.m))")
+    return ",\n".join(out)
+
+
+@query("G7_hops", ATOMS, EDGES, _hops(), sql="SELECT source, n, hops FROM h4")
+def g7(spark, sf):
+    return gr.hops(tb.edges(spark, sf), tb.atoms(spark, sf).where("n % 100 = 0").select("n"))
+
+
+ARCS = "ARC(n, root, depth) AS (SELECT n, n, 0 FROM atoms WHERE type = 'belief' AND ((n // 9) % 5 = 0 OR n < 9) UNION ALL SELECT a.n, r.root, r.depth + 1 FROM atoms a JOIN ARC r ON a.n - 9 = r.n WHERE a.type = 'belief' AND (a.n // 9) % 5 <> 0)"
+
+
+@query("G8_belief_arcs", sql=f"WITH RECURSIVE {ATOMS},\n{ARCS}\nSELECT root, count(*) AS size, max(depth) AS depth FROM ARC GROUP BY root HAVING count(*) >= 2")
+def g8(spark, sf):
+    """Chains of beliefs by their parent; a chain is broken every fifth link, so it has five levels at most."""
+    b = tb.atoms(spark, sf).where("type = 'belief'").select("n")
+    level = b.where("(n div 9) % 5 = 0 or n < 9").select("n", F.col("n").alias("root"), F.lit(0).alias("depth"))
+    rest, out = b.where("(n div 9) % 5 <> 0 and n >= 9"), level
+    for d in range(1, 6):
+        level = rest.withColumn("p", F.col("n") - 9).join(level.select(F.col("n").alias("p"), "root"), "p").select("n", "root", F.lit(d).alias("depth"))
+        out = out.unionByName(level)
+    return out.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.max("depth").alias("depth")).where("size >= 2")
+
+
+@query("G9_edges_of_an_atom", EDGES, sql="SELECT tgt AS other, rel, 'out' AS direction FROM edges WHERE src = 42 UNION ALL SELECT src, rel, 'in' FROM edges WHERE tgt = 42")
+def g9(spark, sf):
+    e = tb.edges(spark, sf)
+    out = e.where("src = 42").select(F.col("tgt").alias("other"), "rel", F.lit("out").alias("direction"))
+    return out.union(e.where("tgt = 42").select("src", "rel", F.lit("in")))

@@ -1 +1,240 @@
-"""Queries."""
+"""Maintenance, text mining, health checks and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import filters as fl
+from ..operators import lifecycle as lc
+from ..sources import tables as tb
+from ..sources.tables import AS_OF, ATOMS, EDGES, EPISODES, LOG, TRIPLES
+from .registry import query
+from .store_plans import AGE, CAND, VIS, age
+
+_OVERLAP = "len(list_filter(x.paths, lambda p: len(list_filter(y.paths, lambda q: p = q OR starts_with(p, q || '/') OR starts_with(q, p || '/'))) > 0)) > 0"
+_CLASH = f"x.type = y.type AND x.n <> y.n AND abs(x.confidence - y.confidence) > 0.3 + 1e-9 AND (len(x.paths) = 0 OR len(y.paths) = 0 OR {_OVERLAP})"
+
+
+@query("J6_conflict_pairs", ATOMS, sql=f"SELECT x.n AS a, y.n AS b FROM atoms x JOIN atoms y ON {_CLASH} AND x.n < y.n WHERE x.status = 'active' AND y.status = 'active'")
+def j6(spark, sf):
+    a = tb.atoms(spark, sf).where("status = 'active'")
+    return lc.conflict_pairs(a, a).where("a < b")
+
+
+@query("J7_blocked_drafts", ATOMS, sql=f"SELECT x.n FROM atoms x WHERE x.status = 'draft' AND EXISTS (SELECT 1 FROM atoms y WHERE y.status = 'active' AND {_CLASH})")
+def j7(spark, sf):
+    a = tb.atoms(spark, sf)
+    return lc.conflict_pairs(a.where("status = 'draft'"), a.where("status = 'active'")).select(F.col("a").alias("n")).distinct()
+
+
+@query("L1_expiry", ATOMS, sql=f"SELECT n FROM atoms WHERE ttl_days IS NOT NULL AND {AGE} > ttl_days AND status NOT IN ('archived', 'expired')")
+def l1(spark, sf):
+    return tb.atoms(spark, sf).where((age() > F.col("ttl_days")) & ~F.col("status").isin("archived", "expired")).select("n")
+
+
+PROMOTE = f"""blocked AS (SELECT DISTINCT x.n FROM atoms x JOIN atoms y ON {_CLASH} WHERE x.status = 'draft' AND y.status = 'active'),
+promoted AS (SELECT n, type FROM atoms WHERE status = 'draft' AND (type = 'open_question' OR (confidence >= 0.7 AND n NOT IN (SELECT n FROM blocked)
+  AND ((type IN ('fact', 'preference', 'decision') AND {AGE} >= 2) OR (type = 'procedure' AND executed_at IS NOT NULL)))))"""
+
+
+def promoted(spark, sf):
+    a = tb.atoms(spark, sf)
+    drafts = a.where("status = 'draft'")
+    free = drafts.where("confidence >= 0.7").join(j7(spark, sf), "n", "left_anti")
+    old = F.col("type").isin("fact", "preference", "decision") & (age() >= 2)
+    return drafts.where("type = 'open_question'").select("n", "type").unionByName(free.where(old | ((F.col("type") == "procedure") & F.col("executed_at").isNotNull())).select("n", "type"))
+
+
+@query("L3_promotion", ATOMS, PROMOTE, sql="SELECT n, type FROM promoted")
+def l3(spark, sf):
+    return promoted(spark, sf)
+
+
+@query("L4_conflict_records", ATOMS, sql=f"SELECT x.n AS a, y.n AS b, 'CONF-' || x.n || '-' || y.n AS record FROM atoms x JOIN atoms y ON {_CLASH} AND x.n < y.n WHERE x.status = 'active' AND y.status = 'active' AND (x.n + y.n) % 5 <> 0")
+def l4(spark, sf):
+    known = j6(spark, sf).where("(a + b) % 5 = 0")  # pairs that an earlier record names
+    return j6(spark, sf).join(known, ["a", "b"], "left_anti").select("a", "b", F.concat(F.lit("CONF-"), "a", F.lit("-"), "b").alias("record"))
+
+
+@query("L5_reflect", ATOMS, PROMOTE, sql=f"""SELECT 'expired' AS stage, count(*) AS n FROM atoms WHERE ttl_days IS NOT NULL AND {AGE} > ttl_days AND status NOT IN ('archived', 'expired') UNION ALL
+  SELECT 'deduplicated', count(*) FROM (SELECT row_number() OVER (PARTITION BY type, trim(body, ' ' || chr(10) || chr(9) || chr(13)) ORDER BY updated_at DESC, n) AS r FROM atoms WHERE status NOT IN ('archived', 'expired') AND NOT (ttl_days IS NOT NULL AND {AGE} > ttl_days)) WHERE r > 1 UNION ALL
+  SELECT 'promoted', count(*) FROM promoted""")
+def l5(spark, sf):
+    """The maintenance run: each stage works on what the one before left."""
+    a = tb.atoms(spark, sf)
+    gone = l1(spark, sf)
+    body = F.md5(F.regexp_replace("body", r"^[ \n\t\r]+|[ \n\t\r]+$", ""))
+    w = Window.partitionBy("type", "h").orderBy(F.desc("updated_at"), "n")
+    left = a.where("status not in ('archived', 'expired')").join(gone, "n", "left_anti").select("n", "type", "updated_at", body.alias("h"))
+    duplicate = left.withColumn("r", F.row_number().over(w)).where("r > 1")
+    stage = lambda name, d: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
+    return stage("expired", gone).unionByName(stage("deduplicated", duplicate)).unionByName(stage("promoted", promoted(spark, sf)))
+
+
+@query("L6_replay", LOG, sql="SELECT ref, arg_max(value, event_id) AS value FROM log WHERE action IN ('atom_updated', 'conflict_detected') GROUP BY ref HAVING arg_max(action, event_id) <> 'conflict_detected'")
+def l6(spark, sf):
+    e = tb.log(spark, sf).where("action in ('atom_updated', 'conflict_detected')")
+    return lc.replay(e, gone=F.col("action") == "conflict_detected").select("ref", "value")
+
+
+@query("L6_as_of", LOG, sql="SELECT ref, arg_max(value, event_id) AS value FROM log WHERE action = 'atom_updated' AND ts <= TIMESTAMP '2024-01-10' GROUP BY ref")
+def l6t(spark, sf):
+    return lc.replay(tb.log(spark, sf).where(F.col("action") == "atom_updated").where(F.col("ts") <= tb.clock("2024-01-10 00:00:00"))).select("ref", "value")
+
+
+@query("L7_merge", LOG, sql="SELECT ref, arg_max(value, (ts, event_id)) AS value, count(DISTINCT CASE WHEN event_id % 3 = 1 THEN 1 WHEN event_id % 3 = 0 THEN 2 END) = 2 AS concurrent FROM log WHERE action = 'atom_updated' GROUP BY ref")
+def l7(spark, sf):
+    e = tb.log(spark, sf).where("action = 'atom_updated'")
+    local, remote = e.where("event_id % 3 <> 0"), e.where("event_id % 3 <> 1")
+    both = local.unionByName(remote.join(local.select("event_id"), "event_id", "left_anti"))
+    sides = F.countDistinct(F.when(F.col("event_id") % 3 == 1, 1).when(F.col("event_id") % 3 == 0, 2))
+    return both.groupBy("ref").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), (sides == 2).alias("concurrent"))
+
+
+@query("L9_unprovenanced", ATOMS, LOG, sql="SELECT n FROM atoms JOIN (SELECT ref, max(ts) AS t FROM log WHERE action = 'atom_updated' GROUP BY ref) ON n = ref WHERE updated_at > t")
+def l9(spark, sf):
+    last = tb.log(spark, sf).where("action = 'atom_updated'").groupBy(F.col("ref").alias("n")).agg(F.max("ts").alias("t"))
+    return tb.atoms(spark, sf).select("n", "updated_at").join(last, "n").where("updated_at > t").select("n")
+
+
+@query("L10_supersede", ATOMS, EDGES, sql="SELECT n, CASE WHEN n IN (SELECT tgt FROM edges WHERE rel = 'supersedes') THEN 'superseded' ELSE status END AS status FROM atoms")
+def l10(spark, sf):
+    old = tb.edges(spark, sf).where("rel = 'supersedes'").select(F.col("tgt").alias("n")).distinct().withColumn("old", F.lit(True))
+    return tb.atoms(spark, sf).select("n", "status").join(old, "n", "left").select("n", F.when(F.col("old"), "superseded").otherwise(F.col("status")).alias("status"))
+
+
+@query("L13_consolidate", ATOMS, sql="SELECT n, array_to_string(list_filter(tags, lambda t: t <> 'auto-extracted'), '|') AS tags FROM atoms WHERE status = 'draft' AND list_contains(tags, 'auto-extracted') ORDER BY n LIMIT 50")
+def l13(spark, sf):
+    drafts = tb.atoms(spark, sf).where(fl.unvetted()).orderBy("n").limit(50)
+    return drafts.select("n", F.array_join(F.array_remove("tags", "auto-extracted"), "|").alias("tags"))
+
+
+@query("L15_triple_resolution", TRIPLES, sql="""SELECT new_atom, old_atom, CASE WHEN new_day < old_day THEN 'wrong-direction' WHEN NOT old_live THEN 'stale' WHEN (new_atom + old_atom) % 2 = 0 THEN 'superseded' ELSE 'rejected' END AS outcome
+  FROM (SELECT DISTINCT a.atom AS new_atom, b.atom AS old_atom, a.day AS new_day, b.day AS old_day, b.live AS old_live FROM triples a JOIN triples b ON a.subject = b.subject AND a.object <> b.object AND a.atom <> b.atom WHERE a.atom % 100 = 1)""")
+def l15(spark, sf):
+    t = tb.triples(spark, sf)
+    a = t.where("atom % 100 = 1").select(F.col("atom").alias("new_atom"), "subject", "object", F.col("day").alias("new_day"))
+    b = t.select(F.col("atom").alias("old_atom"), F.col("subject").alias("s"), F.col("object").alias("o"), F.col("day").alias("old_day"), F.col("live").alias("old_live"))
+    j = a.join(b, (a.subject == b.s) & (a.object != b.o) & (a.new_atom != b.old_atom)).select("new_atom", "old_atom", "new_day", "old_day", "old_live").distinct()
+    outcome = F.when(F.col("new_day") < F.col("old_day"), "wrong-direction").when(~F.col("old_live"), "stale").when((F.col("new_atom") + F.col("old_atom")) % 2 == 0, "superseded").otherwise("rejected")
+    return j.select("new_atom", "old_atom", outcome.alias("outcome"))
+
+
+@query("J13_concept_references", sql="SELECT doc_id, phrase, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2])) AS phrase FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)) WHERE phrase IN ('of the', 'and the', 'de la', 'und die', 'thea the') GROUP BY ALL")
+def j13(spark, sf):
+    """Phrases of a concept dictionary in bodies, as an equality on word pairs, not a scan per concept."""
+    names = spark.createDataFrame([(x,) for x in ("of the", "and the", "de la", "und die", "thea the")], "phrase string")
+    d = tb.table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)).alias("w"))
+    pairs = d.select("doc_id", F.explode(F.zip_with("w", F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda x, y: F.concat(x, F.lit(" "), y))).alias("phrase"))
+    return pairs.join(F.broadcast(names), "phrase").groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("L16_relink", EDGES, sql="SELECT DISTINCT tgt AS n, src AS other FROM edges EXCEPT SELECT src, tgt FROM edges")
+def l16(spark, sf):
+    e = tb.edges(spark, sf)
+    return e.select(F.col("tgt").alias("n"), F.col("src").alias("other")).distinct().join(e.select(F.col("src").alias("n"), F.col("tgt").alias("other")), ["n", "other"], "left_anti")
+
+
+@query("L18_citation_index", EDGES, sql="SELECT tgt, rel, count(*) AS n FROM edges GROUP BY GROUPING SETS ((tgt), (rel), ())")
+def l18(spark, sf):
+    return tb.edges(spark, sf).groupingSets([["tgt"], ["rel"], []], "tgt", "rel").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("L20_observe", EPISODES, sql="SELECT episode, left(summary, 60000) AS observed FROM episodes WHERE length(summary) >= 50 AND episode % 5 <> 0")
+def l20(spark, sf):
+    e = tb.episodes(spark, sf).where("length(summary) >= 50")
+    done = e.where("episode % 5 = 0").select("episode")
+    return e.join(done, "episode", "left_anti").select("episode", F.substring("summary", 1, 60000).alias("observed"))
+
+
+@query("L21_seed_lifecycle", ATOMS, sql="SELECT type, CASE WHEN count(*) = 0 THEN 'created' WHEN count(*) = 1 THEN 'unchanged' ELSE 'deduped' END AS outcome, count(*) AS n FROM atoms WHERE status = 'active' AND list_contains(tags, 'src3') GROUP BY type")
+def l21(spark, sf):
+    a = tb.atoms(spark, sf).where((F.col("status") == "active") & F.array_contains("tags", "src3")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return a.select("type", F.when(F.col("n") == 1, "unchanged").otherwise("deduped").alias("outcome"), "n")
+
+
+@query("L22_share", ATOMS, sql="SELECT n, 'shared' AS store FROM atoms WHERE classification = 'PUBLIC' AND status = 'active' UNION ALL SELECT n, 'own' FROM atoms")
+def l22(spark, sf):
+    a = tb.atoms(spark, sf)
+    return a.where("classification = 'PUBLIC' and status = 'active'").select("n", F.lit("shared").alias("store")).unionByName(a.select("n", F.lit("own").alias("store")))
+
+
+@query("L23_migrate", LOG, sql="SELECT string_split(first, '-')[1] AS agent, count(*) AS n FROM (SELECT ref, arg_min(session_id, event_id) AS first FROM log GROUP BY ref) GROUP BY 1")
+def l23(spark, sf):
+    first = tb.log(spark, sf).groupBy("ref").agg(F.min_by("session_id", "event_id").alias("first"))
+    return first.groupBy(F.split("first", "-")[0].alias("agent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("L25_views", ATOMS, VIS, CAND, sql="SELECT type, string_agg('- ' || atom_id, chr(10) ORDER BY atom_id) AS view FROM cand WHERE status = 'active' AND type IN ('decision', 'constraint', 'open_question') GROUP BY type")
+def l25(spark, sf):
+    a = fl.candidates(tb.atoms(spark, sf), types=("decision", "constraint", "open_question"), statuses=("active",))
+    return a.groupBy("type").agg(F.array_join(F.transform(F.array_sort(F.collect_list("atom_id")), lambda x: F.concat(F.lit("- "), x)), "\n").alias("view"))
+
+
+@query("H1_contradictions", ATOMS, EDGES, sql="SELECT DISTINCT least(src, tgt) AS a, greatest(src, tgt) AS b FROM edges JOIN atoms x ON x.n = src AND x.status = 'active' JOIN atoms y ON y.n = tgt AND y.status = 'active' WHERE rel = 'contradicts'")
+def h1(spark, sf):
+    active = tb.atoms(spark, sf).where("status = 'active'").select("n")
+    e = tb.edges(spark, sf).where("rel = 'contradicts'")
+    e = e.join(active.withColumnRenamed("n", "src"), "src", "left_semi").join(active.withColumnRenamed("n", "tgt"), "tgt", "left_semi")
+    return e.select(F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b")).distinct()
+
+
+@query("H2_stale", ATOMS, LOG, sql=f"SELECT n FROM atoms LEFT JOIN (SELECT ref, max(ts) AS t FROM log GROUP BY ref) ON n = ref WHERE type IN ('fact', 'decision') AND (epoch(TIMESTAMP '{AS_OF}') - epoch(coalesce(t, updated_at))) / 86400.0 > 90")
+def h2(spark, sf):
+    last = tb.log(spark, sf).groupBy(F.col("ref").alias("n")).agg(F.max("ts").alias("t"))
+    a = tb.atoms(spark, sf).where("type in ('fact', 'decision')").select("n", "updated_at").join(last, "n", "left")
+    return a.withColumn("created_at", F.coalesce("t", "updated_at")).where(age() > 90).select("n")
+
+
+@query("H3_orphans", ATOMS, EDGES, sql="SELECT n FROM atoms WHERE type NOT IN ('preference', 'entity_summary') AND n NOT IN (SELECT tgt FROM edges) AND n NOT IN (SELECT src FROM edges WHERE src % 4 = 0)")
+def h3(spark, sf):
+    e = tb.edges(spark, sf)
+    linked = e.select(F.col("tgt").alias("n")).union(e.where("src % 4 = 0").select("src"))
+    return tb.atoms(spark, sf).where("type not in ('preference', 'entity_summary')").select("n").join(linked, "n", "left_anti")
+
+
+@query("H5_belief_drift", ATOMS, sql=f"SELECT n FROM atoms WHERE type = 'belief' AND confidence < 0.5 AND {AGE} > 30")
+def h5(spark, sf):
+    return tb.atoms(spark, sf).where("type = 'belief' and confidence < 0.5").where(age() > 30).select("n")
+
+
+@query("H6_ttl_warnings", ATOMS, sql=f"SELECT n, floor(ttl_days - {AGE})::BIGINT AS days_left FROM atoms WHERE ttl_days IS NOT NULL AND floor(ttl_days - {AGE}) BETWEEN 0 AND 7")
+def h6(spark, sf):
+    left = F.floor(F.col("ttl_days") - age())
+    return tb.atoms(spark, sf).where(left.between(0, 7)).select("n", left.alias("days_left"))
+
+
+@query("H8_lint_summary", ATOMS, EDGES, LOG, sql=f"""SELECT 'stale' AS finding, count(*) AS n FROM atoms LEFT JOIN (SELECT ref, max(ts) AS t FROM log GROUP BY ref) ON n = ref WHERE type IN ('fact', 'decision') AND (epoch(TIMESTAMP '{AS_OF}') - epoch(coalesce(t, updated_at))) / 86400.0 > 90 UNION ALL
+  SELECT 'drift', count(*) FROM atoms WHERE type = 'belief' AND confidence < 0.5 AND {AGE} > 30""")
+def h8(spark, sf):
+    found = h2(spark, sf).select(F.lit("stale").alias("finding")).unionByName(h5(spark, sf).select(F.lit("drift").alias("finding")))
+    kinds = spark.createDataFrame([("stale",), ("drift",)], "finding string")
+    return kinds.join(found.groupBy("finding").agg(F.count(F.lit(1)).alias("c")), "finding", "left").select("finding", F.coalesce("c", F.lit(0)).alias("n"))
+
+
+@query("H9_schema_problems", ATOMS, sql="SELECT n, 'classification' AS field, 'lookup' AS plan FROM atoms WHERE classification IS NULL UNION ALL SELECT n, 'confidence', 'manual' FROM atoms WHERE confidence < 0.5 UNION ALL SELECT n, 'ttl_days', 'structural' FROM atoms WHERE ttl_days < 60")
+def h9(spark, sf):
+    a = tb.atoms(spark, sf)
+    fault = lambda when, field, plan: F.when(when, F.struct(F.lit(field).alias("field"), F.lit(plan).alias("plan")))
+    faults = F.array(fault(F.col("classification").isNull(), "classification", "lookup"), fault(F.col("confidence") < 0.5, "confidence", "manual"), fault(F.col("ttl_days") < 60, "ttl_days", "structural"))
+    return a.select("n", F.explode(F.filter(faults, lambda x: x.isNotNull())).alias("x")).select("n", "x.field", "x.plan")
+
+
+@query("H10_id_problems", ATOMS, sql="SELECT atom_id[1:15] AS id, count(*) AS n FROM atoms GROUP BY 1 HAVING count(*) > 1")
+def h10(spark, sf):
+    return tb.atoms(spark, sf).groupBy(F.substring("atom_id", 1, 15).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("H14_doctor", ATOMS, sql="SELECT CASE WHEN count(*) FILTER (confidence < 0.5) > 0 THEN 'error' WHEN count(*) FILTER (classification IS NULL) > 0 THEN 'warning' ELSE 'ok' END AS severity, count(*) FILTER (confidence < 0.5) AS errors, count(*) FILTER (classification IS NULL) AS warnings FROM atoms")
+def h14(spark, sf):
+    c = tb.atoms(spark, sf).agg(F.count_if(F.col("confidence") < 0.5).alias("errors"), F.count_if(F.col("classification").isNull()).alias("warnings"))
+    return c.select(F.when(F.col("errors") > 0, "error").when(F.col("warnings") > 0, "warning").otherwise("ok").alias("severity"), "errors", "warnings")
+
+
+@query("H17_seed_freshness", ATOMS, sql="SELECT t.type, count(n) AS n, CASE count(n) WHEN 0 THEN 'error' WHEN 1 THEN 'ok' ELSE 'duplicate' END AS state FROM (VALUES ('decision'), ('fact'), ('belief'), ('lesson')) t(type) LEFT JOIN atoms a ON a.type = t.type AND status = 'active' AND list_contains(tags, 'src3') GROUP BY t.type")
+def h17(spark, sf):
+    want = spark.createDataFrame([(x,) for x in ("decision", "fact", "belief", "lesson")], "type string")
+    have = tb.atoms(spark, sf).where((F.col("status") == "active") & F.array_contains("tags", "src3")).groupBy("type").agg(F.count(F.lit(1)).alias("c"))
+    n = F.coalesce("c", F.lit(0))
+    return want.join(have, "type", "left").select("type", n.alias("n"), F.when(n == 0, "error").when(n == 1, "ok").otherwise("duplicate").alias("state"))

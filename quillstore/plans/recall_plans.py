@@ -26,6 +26,12 @@ hits AS (SELECT query_id, n, n_terms, sum(part) AS bm25, sum(ln(1 + total / df))
 sig AS (SELECT query_id, n, bm25, coalesce((bm25 - min(bm25) OVER q) / nullif(max(bm25) OVER q - min(bm25) OVER q, 0), 1.0) AS fts,
   CASE WHEN n_terms > 1 THEN matched / idf_all ELSE 1.0 END AS specificity, CASE WHEN n_terms > 1 THEN pow(k / n_terms, 0.5) ELSE 1.0 END AS coverage
   FROM hits JOIN idfs USING (query_id) WINDOW q AS (PARTITION BY query_id))"""
+
+
+def weight_sql(table: dict, column: str, default: float) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {default} END"
+
+
 _TW = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in sc.TYPE_WEIGHTS.items()) + " END"
 SCORES = f"""lens0 AS (SELECT n, len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) AS words FROM cand),
 lens AS (SELECT n, words, CASE WHEN words / mean > 1 THEN 1 / (1 + 0.5 * (words / mean - 1)) ELSE 1.0 END AS length FROM lens0 CROSS JOIN (SELECT avg(words) AS mean FROM lens0)),

@@ -24,7 +24,7 @@ SAMPLE_ROWS = 500
 RULES = {
     "mean_word_length": "word_chars < 2 * n_words or word_chars > 20 * n_words",
     "symbols": "10 * n_symbols > 3 * n_words",
-    "duplicate_lines": "10 * n_dup_lines > 3 * size(_lines)",
+    "duplicate_lines": "2 * n_dup_lines > size(_lines)",
     "letterless_words": "10 * size(filter(_words, w -> not w rlike '\\\\p{L}')) > 4 * n_words",
     "overlong_words": "exists(_words, w -> length(w) > 200)",
 }

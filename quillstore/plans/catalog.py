@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import graph_plans, lifecycle_plans, recall_plans, store_plans  # noqa: F401  (they register themselves)
+from . import detail_plans, graph_plans, lifecycle_plans, recall_plans, store_plans  # noqa: F401  (they register themselves)
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

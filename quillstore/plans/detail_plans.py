@@ -13,7 +13,10 @@ from .recall_plans import BOOST, CHAIN, RANKED, SCORES, _recursive, ranked_of, s
 from .registry import query
 from .store_plans import CAND, GRAPH, VIS, age, graph_edges, graph_nodes, title
 
-COUNT = F.count(F.lit(1))
+
+
+def count():
+    return F.count(F.lit(1))
 
 
 @query("J1_hits_to_atoms", *CHAIN, sql="SELECT query_id, n, type FROM sig JOIN vis USING (n)")
@@ -191,7 +194,7 @@ def l17(spark, sf):
 @query("L14_extraction", ATOMS, sql="SELECT type, slug, count(*) AS candidates, max(conf) AS confidence FROM (SELECT type, string_split(atom_id, '-')[6] AS slug, confidence AS conf FROM atoms WHERE status = 'draft' AND type IN ('fact', 'decision', 'belief')) GROUP BY type, slug")
 def l14(spark, sf):
     a = tb.atoms(spark, sf).where("status = 'draft' and type in ('fact', 'decision', 'belief')")
-    return a.groupBy("type", F.get(F.split("atom_id", "-"), 5).alias("slug")).agg(COUNT.alias("candidates"), F.max("confidence").alias("confidence"))
+    return a.groupBy("type", F.get(F.split("atom_id", "-"), 5).alias("slug")).agg(count().alias("candidates"), F.max("confidence").alias("confidence"))
 
 
 @query("L19_retype", EDGES, sql="SELECT src, tgt, CASE WHEN src % 10 >= 7 THEN 'supports' ELSE rel END AS rel, CASE WHEN src % 10 >= 7 THEN 'accepted' ELSE 'kept' END AS outcome FROM edges WHERE rel = 'related'")
@@ -218,8 +221,8 @@ def h4(spark, sf):
 @query("H7_composition", ATOMS, sql="SELECT count(*) >= 20 AND count(*) FILTER (type = 'belief') / count(*) > 0.8 AS skewed, count(DISTINCT type) FILTER (type IN ('decision', 'fact', 'procedure')) AS core_types FROM atoms WHERE status = 'active'")
 def h7(spark, sf):
     a = tb.atoms(spark, sf).where("status = 'active'")
-    share = F.count_if(F.col("type") == "belief") / COUNT
-    return a.agg(((COUNT >= 20) & (share > 0.8)).alias("skewed"), F.countDistinct(F.when(F.col("type").isin("decision", "fact", "procedure"), F.col("type"))).alias("core_types"))
+    share = F.count_if(F.col("type") == "belief") / count()
+    return a.agg(((count() >= 20) & (share > 0.8)).alias("skewed"), F.countDistinct(F.when(F.col("type").isin("decision", "fact", "procedure"), F.col("type"))).alias("core_types"))
 
 
 @query("H11_stale_sections", EDGES, sql="SELECT src FROM (SELECT src, list(rel) AS rels FROM edges GROUP BY src) WHERE NOT list_has_all(['extends', 'supports', 'related', 'supersedes'], rels)")
@@ -238,7 +241,7 @@ def h12(spark, sf):
 
 @query("H13_freshness", LOG, sql="SELECT session_id, count(*) AS events, max(event_id) < 500 AS stale FROM log GROUP BY session_id")
 def h13(spark, sf):
-    return tb.log(spark, sf).groupBy("session_id").agg(COUNT.alias("events"), (F.max("event_id") < 500).alias("stale"))
+    return tb.log(spark, sf).groupBy("session_id").agg(count().alias("events"), (F.max("event_id") < 500).alias("stale"))
 
 
 @query("M3_insert_triples", TRIPLES, sql="SELECT atom, 'part:' || subject AS subject, 'supplier:' || object AS object, 1.0 AS confidence FROM triples WHERE atom % 50 = 3")
@@ -260,7 +263,7 @@ def m8(spark, sf):
     lines = a.select("type", F.lit(1).alias("k"), F.concat(F.lit("- "), "atom_id").alias("line")).unionByName(a.select("type", F.lit(0).alias("k"), F.concat(F.lit("## "), "type").alias("line")).distinct())
     w = Window.partitionBy("type").orderBy("k", "line").rowsBetween(Window.unboundedPreceding, 0)
     headed = lines.withColumn("section", F.last(F.when(F.col("line").startswith("## "), F.substring("line", 4, 100)), ignorenulls=True).over(w))
-    return headed.where("line like '- %'").groupBy("section").agg(COUNT.alias("n"), (COUNT >= 5).alias("full"))
+    return headed.where("line like '- %'").groupBy("section").agg(count().alias("n"), (count() >= 5).alias("full"))
 
 
 @query("M10_agents", LOG, sql="SELECT DISTINCT string_split(session_id, '-')[1] AS agent FROM log")
@@ -270,7 +273,7 @@ def m10(spark, sf):
 
 @query("T6_top_cited", EDGES, ATOMS, sql="SELECT n, type, c FROM atoms JOIN (SELECT tgt, count(*) AS c FROM edges GROUP BY tgt) ON tgt = n WHERE type IN ('decision', 'open_question') ORDER BY c DESC, n LIMIT 5")
 def t6(spark, sf):
-    c = tb.edges(spark, sf).groupBy(F.col("tgt").alias("n")).agg(COUNT.alias("c"))
+    c = tb.edges(spark, sf).groupBy(F.col("tgt").alias("n")).agg(count().alias("c"))
     return tb.atoms(spark, sf).where("type in ('decision', 'open_question')").join(c, "n").orderBy(F.desc("c"), "n").limit(5).select("n", "type", "c")
 
 

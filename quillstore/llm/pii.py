@@ -8,7 +8,7 @@ a value keeps its format and validity, equal values get equal pseudonyms in ever
   ipv4     four numbers up to 255: the 32 bits permuted
   date     ISO and d/m/y dates of the calendar, 1900 to 2099: the day permuted
   email    local part: its letters and digits permuted within their classes; the domain's likewise, the last label kept
-  secret   32 or more hexadecimal digits after key, token, secret or password: digits permuted
+  secret   32 to 128 hexadecimal digits soon after key, token, secret or password: digits permuted
 
 Numbers that fail their check stay as they are. Null text stays null; empty input gives no rows; a value is replaced
 wherever it is repeated; texts are scanned whole.
@@ -30,7 +30,7 @@ KINDS = ("card", "phone", "ipv4", "date", "email", "secret")
 
 _FIND = re.compile(
     r"(?P<email>(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})"
-    r"|(?P<secret>(?i:key|token|secret|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))"
+    r"|(?P<secret>(?i:key|token|secret|password|passwd|pwd)\W{1,12}(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))"
     r"|(?P<phone>(?<![\w+])\+?1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))"
     r"|(?P<date>(?<![\w.-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\w/]|-\d))"
     r"|(?P<ipv4>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
@@ -123,8 +123,8 @@ class Pseudonyms:
 
     def card(self, s: str) -> str:
         digits = re.sub(r"\D", "", s)
-        if luhn(digits):
-            return s
+        if luhn(digits):  # perhaps two numbers side by side
+            return re.sub(r"(?<!\d)\d{13,19}(?!\d)", lambda m: self.card(m[0]), s) if len(digits) < len(s) else s
         body = self._digits(digits[:-1], digits[:-1], "card")
         new = iter(body + str(-luhn(body + "0") % 10))
         return "".join(next(new) if c.isdigit() else c for c in s)

@@ -78,4 +78,4 @@ QUERIES = {f.__name__: f for f in (
     op8_packing, op9_pii, op10_substring, pipeline,
 )}
 
-ORACLE_SQL = {"op1_license_scan": license_scan.oracle(), "op2_chat_format": chat_format.ORACLE}
+ORACLE_SQL = {"op1_license_scan": license_scan.oracle(), "op2_chat_format": chat_format.ORACLE, "op7_quality_rules": rules.ORACLE}

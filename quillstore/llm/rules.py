@@ -97,3 +97,21 @@ def judge(docs: DataFrame, text: str = "text", rules: dict[str, str] = RULES, or
     for name in order:
         verdict = verdict.when(F.expr(rules[name]), F.lit(False))
     return signals(docs, text).withColumn("kept", verdict.otherwise(F.lit(True)))
+
+
+#: The base signals and the verdict in DuckDB SQL, for documents with distinct doc_id.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS i, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) AS gram FROM w),
+twice AS (SELECT doc_id, gram FROM g GROUP BY ALL HAVING count(*) > 1),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g JOIN twice USING (doc_id, gram)) GROUP BY doc_id),
+s AS (SELECT doc_id, words, lines, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN hit USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed
+  OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > len(lines)
+  OR 10 * len(list_filter(words, lambda x: NOT regexp_matches(x, '\p{L}'))) > 4 * n_words OR len(list_filter(words, lambda x: length(x) > 200)) > 0) AS kept
+FROM b
+"""

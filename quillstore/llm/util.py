@@ -70,7 +70,7 @@ def drop_written() -> None:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it has at most `rows` rows (df is a written table, so counting is cheap)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_hash")
+    return F.broadcast(df) if df.count() <= rows else df.hint("shuffle_hash")
 
 
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, TIERS, BATCH, STEP = 1024, (1024, 512, 256, 128), 40_000, 64
-CACHE = 400_000  # words whose ids a worker remembers
+CACHE = 100_000  # words whose ids a worker remembers, twice over: some 50 MB
 
 # Fixed value: where byte-level BPE of this kind cuts a text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -24,8 +24,15 @@ _paths: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
 
+#: Rows of a batch that goes to Python; texts may be long, so that a batch's bytes stay bounded.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, so that their Python can import it."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows, "10000")) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

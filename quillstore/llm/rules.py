@@ -68,13 +68,11 @@ def signals(docs: DataFrame, text: str = "text", windows: int = 5) -> DataFrame:
 
 def rule_order(docs: DataFrame, text: str = "text", rules: dict[str, str] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Rule names by rejection per cost, measured on at most sample_rows rows."""
-    rows = docs.select(F.col(text).alias("text")).limit(sample_rows).collect()  # bounded by sample_rows
-    if not rows:
-        return list(rules)
-    spark = docs.sparkSession
-    sample = signals(spark.createDataFrame(rows, "text string").coalesce(1)).where("not base_failed").cache()
+    sample = signals(docs.select(F.col(text).alias("text")).limit(sample_rows)).where("not base_failed").cache()
     try:
-        total, base = max(1, sample.count()), 1e9
+        total = sample.count()
+        if not total:
+            return list(rules)
         timed = {}
         for name, sql in [("", "false"), *rules.items()]:
             took = []

@@ -158,7 +158,8 @@ def context(total: int, window: int = WINDOW) -> int:
 def pack(parts: DataFrame, *, window=WINDOW, tiers=TIERS, batch=BATCH, step=STEP) -> DataFrame:
     """parts with sequence_id, offset, context, tier (of the piece) and step_group.
 
-    Pieces are dealt to the shuffle partitions by hash and packed in sorted batches of `batch`, so memory is bounded
+    Pieces are dealt to the shuffle partitions by hash and packed in batches of `batch`, so memory is bounded. Within a
+    partition they come in the order of a second hash, so that every batch holds all lengths, however many there are,
     and a task that runs again gives the same sequences.
     """
 
@@ -202,7 +203,7 @@ def pack(parts: DataFrame, *, window=WINDOW, tiers=TIERS, batch=BATCH, step=STEP
     spark = parts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["doc_id", "start", "doc_tokens", "ids_crc32"]
-    dealt = parts.repartition(n, *keys).sortWithinPartitions("length", *keys)
+    dealt = parts.repartition(n, *keys).sortWithinPartitions(F.xxhash64(F.lit(1), *keys), *keys)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
     return dealt.mapInArrow(each, f"{schema}, {more}")
 

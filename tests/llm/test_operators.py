@@ -362,3 +362,13 @@ def test_chroma(spark):
     assert chroma.match(prints.limit(0), "true").count() == 0
     tone = np.sin(2 * np.pi * 440 * np.arange(22050) / 11025)
     assert chroma.frames_of_pcm(tone).argmax(axis=1).tolist() == [0] * len(chroma.frames_of_pcm(tone))
+
+
+def test_every_batch_holds_all_lengths(spark):
+    r = random.Random(2)
+    parts = spark.createDataFrame([(i, 0, r.randrange(1, 1024), i, 9) for i in range(8000)], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    totals = Counter()
+    for x in packing.pack(parts, batch=500).collect():
+        totals[x.sequence_id] += x.length
+    assert max(totals.values()) <= 1024
+    assert sum(totals.values()) / sum(packing.context(x) for x in totals.values()) > 0.95

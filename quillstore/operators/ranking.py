@@ -128,32 +128,45 @@ def greedy_fill(ranked: DataFrame, budget: int) -> DataFrame:
     return rows.select("query_id", F.explode(fold["kept"]).alias("n"))
 
 
-def trigrams(words: list[str]) -> set:
-    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+def mmr(ranked: DataFrame, lam: float = sc.MMR_LAMBDA) -> DataFrame:
+    """(query_id, n, position): greedy diversity order of all rows (query_id, n, score, words) of each query.
 
+    Trigrams are 64-bit hashes. A pick visits only rows that share a trigram with it. Penalties never fall, so a row's
+    last known value bounds it from above: the top of a heap wins if its value is still the same.
+    """
+    import heapq
 
-def mmr(ranked: DataFrame, lam: float = sc.MMR_LAMBDA, top: int = 50) -> DataFrame:
-    """(query_id, n, position): greedy diversity order of each query's `top` rows (query_id, n, score, words)."""
-
-    def similarity(a: set, b: set) -> float:
-        return 1.0 if not a and not b else 0.0 if not a or not b else len(a & b) / len(a | b)
+    import numpy as np
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "n"], ascending=[False, True]).head(top).reset_index(drop=True)
+        rows = rows.sort_values(["score", "n"], ascending=[False, True]).reset_index(drop=True)
         low, high = rows.score.min(), rows.score.max()
         rel = [(s - low) / (high - low) if high > low else 1.0 for s in rows.score]
-        grams = [trigrams(list(w)) for w in rows.words]
-        left, order, worst = list(range(len(rows))), [], [0.0] * len(rows)
-        while left:
-            best = max(left, key=lambda i: (lam * rel[i] - (1 - lam) * worst[i] if order else rel[i], -i))
-            left.remove(best)
+        size = np.array([len(g) for g in rows.grams])
+        ends = np.cumsum(size)
+        _, gram = np.unique(np.concatenate(rows.grams.to_list()), return_inverse=True)
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), size)[np.argsort(gram, kind="stable")]  # by trigram
+        last = np.cumsum(np.bincount(gram))
+        first = last - np.bincount(gram)
+        left, worst, order = np.ones(len(rows), bool), np.zeros(len(rows)), []
+        heap = [(-lam * r, i) for i, r in enumerate(rel)]  # ordered: rows are
+        while heap:
+            bound, best = heapq.heappop(heap)
+            value = -(lam * rel[best] - (1 - lam) * float(worst[best]))
+            if value != bound:
+                heapq.heappush(heap, (value, best))
+                continue
+            left[best] = False
             order.append(best)
-            for i in left:
-                worst[i] = max(worst[i], similarity(grams[i], grams[best]))
+            near = np.concatenate([owner[first[g] : last[g]] for g in gram[ends[best] - size[best] : ends[best]]])
+            i, both = np.unique(near[left[near]], return_counts=True)
+            worst[i] = np.maximum(worst[i], both / (size[i] + size[best] - both))
         return pd.DataFrame({"query_id": rows.query_id.iloc[0], "n": rows.n.iloc[order].to_numpy(), "position": range(1, len(order) + 1)})
 
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "n")
-    rows = ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
+    many = F.size("words") > 2
+    grams = F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.xxhash64(F.slice("words", i, 3)))
+    # rows without a trigram are like each other: they share one of their own
+    rows = ranked.select("query_id", "n", "score", F.when(many, F.array_distinct(grams)).otherwise(F.array(F.lit(0).cast("long"))).alias("grams"))
     return rows.groupBy("query_id").applyInPandas(each, "query_id string, n long, position long")
 
 

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -58,6 +59,44 @@ def test_mmr_prefers_what_is_different(spark):
     assert [r.n for r in rk.mmr(d).orderBy("position").collect()][:2] == [1, 3]
 
 
+def _mmr_by_hand(rows, lam):
+    """[(n, ...)] in diversity order: every pair of rows is compared."""
+    grams = {n: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for n, _, w in rows}
+    scores = {n: s for n, s, _ in rows}
+    low, high = min(scores.values()), max(scores.values())
+    rel = {n: (s - low) / (high - low) if high > low else 1.0 for n, s in scores.items()}
+    alike = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    left, order, worst = set(scores), [], dict.fromkeys(scores, 0.0)
+    while left:
+        best = max(left, key=lambda n: (lam * rel[n] - (1 - lam) * worst[n], scores[n], -n))
+        left.remove(best)
+        order.append(best)
+        for n in left:
+            worst[n] = max(worst[n], alike(grams[n], grams[best]))
+    return order
+
+
+def _many_rows():
+    rng = random.Random(5)
+    texts = [[rng.choice("abcdef") for _ in range(rng.choice([0, 1, 2, 3, 8, 30, 400]))] for _ in range(120)]
+    return [(n, round(rng.random(), 2), rng.choice(texts) + [rng.choice("abcxyz") for _ in range(rng.choice([0, 0, 1, 5]))]) for n in range(400)]
+
+
+def test_mmr_orders_all_rows_as_brute_force_does(spark):
+    rows = _many_rows()
+    d = spark.createDataFrame([(q, n, s if q == "q" else 1.0, w) for q in ("q", "same") for n, s, w in rows], "query_id string, n long, score double, words array<string>")
+    got = rk.mmr(d).orderBy("query_id", "position").collect()
+    assert [r.n for r in got if r.query_id == "q"] == _mmr_by_hand(rows, rk.sc.MMR_LAMBDA)
+    assert [r.n for r in got if r.query_id == "same"] == _mmr_by_hand([(n, 1.0, w) for n, _, w in rows], rk.sc.MMR_LAMBDA)
+
+
+def test_budget_reaches_small_rows_behind_large_ones(spark):
+    rows = [(n, 1 - n / 1000, [f"w{n}-{i}" for i in range(5)]) for n in range(300)]
+    order = rk.mmr(spark.createDataFrame([("q", *r) for r in rows], "query_id string, n long, score double, words array<string>"))
+    sized = order.select("query_id", F.col("position").alias("rank"), "n", F.when(F.col("n") < 290, 5000).otherwise(300).cast("long").alias("tokens"))
+    assert sorted(r.n for r in rk.greedy_fill(sized, 4000).collect()) == list(range(290, 300))
+
+
 def test_conflict_pairs(spark):
     rows = [(1, "fact", ["src"], 0.9), (2, "fact", ["src/a/b"], 0.4), (3, "fact", ["srcx"], 0.4), (4, "fact", [], 0.4), (5, "belief", [], 0.1), (6, "fact", ["src"], 0.8)]
     d = spark.createDataFrame(rows, "n long, type string, paths array<string>, confidence double")

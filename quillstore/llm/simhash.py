@@ -241,9 +241,9 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", shingle=3,
     return prints.join(of, prints["fp"] == of["_fp"]).select("doc_id", "text_hash", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:
-    """docs with one row of each component, that of its component_id."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+def one_of_each(docs: DataFrame, *, doc_id="doc_id", text="text", near=near_duplicates, **options) -> DataFrame:
+    """docs with one row of each component that `near` finds, that of its component_id."""
+    found = near(docs, doc_id=doc_id, text=text, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.doc_id", "x.text_hash")
     keep = first.select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_hash"))
     # rows that are repeated in full: only those are compared

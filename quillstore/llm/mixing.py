@@ -1,8 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Sizes are words. Targets share the total size by weight, capped at `max_repeat` times a source's size (water filling).
-Blocks of equal size are apportioned to sources by highest quotients v / (2s + 1), then, within a source, to its
-shards. A shard is a stream of documents in seeded order, cut into blocks; it takes every block `quota // blocks` times
+Blocks are of `max_block` words, for every source with a target of 32 blocks or more; a smaller source has blocks of
+its own, 1/32 of its target. Blocks of equal size are apportioned to sources by highest quotients v / (2s + 1), then,
+within a source, to its shards. A shard is a stream of documents in seeded order, cut into blocks; it takes every block
+`quota // blocks` times
 and, of the rest, a seeded systematic selection. That selection has a closed form, so a document's taken words follow
 from its place in the stream and no block is ever a row. Everything is DataFrame operations.
 
@@ -76,11 +78,10 @@ def plan_mix(docs: DataFrame, *, doc_id="doc_id", text="text", source="source",
         per.withColumn("level", level)
         .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(one)["level"])
         .withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("w")))
-        .withColumn("block_words", F.greatest(F.lit(1), F.least(F.lit(max_block), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(one) / 16))).cast("long"))
-        .withColumn("block_words", F.coalesce("block_words", F.lit(1).cast("long")))
-        .withColumn("all_blocks", F.round(F.sum("source_size").over(one) / F.col("block_words")).cast("long"))
+        .withColumn("block_words", F.greatest(F.lit(1), F.least(F.lit(max_block), F.floor(F.col("target") / 32))).cast("long"))
         .withColumn("_order", F.col("rank"))
-        .withColumn("_all", F.lit(0))
+        .withColumn("_all", F.col("block_words"))  # sources with blocks of one size share out their targets' sum
+        .withColumn("all_blocks", F.round(F.sum("target").over(Window.partitionBy("_all")) / F.col("block_words")).cast("long"))
         .select("source", "source_size", "rank", "block_words", "_order", "_all", "target", "all_blocks")
     )
     quota = _seats(per, ["_all"], "target", "all_blocks", "source_blocks").withColumn(

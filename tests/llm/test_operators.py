@@ -153,6 +153,18 @@ def test_mixed_documents_hold_what_was_taken(docs):
     assert sum(len(WORD.findall(r.text or "")) for r in mixed.collect()) == taken
 
 
+def test_a_tiny_source_leaves_other_blocks_alone(spark):
+    rows = [(i, " ".join(f"w{i}-{j}" for j in range(300)), "big" if i < 900 else "other") for i in range(1200)]
+    big = {r.doc_id: r for r in mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    tiny = spark.createDataFrame([*rows, (5000, "one two three four five", "tiny")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.plan_mix(tiny).collect()}
+    assert min(r.block_words for k, r in got.items() if k < 5000) > 3000 and min(r.block_words for r in big.values()) > 3000
+    assert got[5000].block_words == 1 and got[5000].taken == 15
+    assert sum(0 < r.taken % 300 for r in got.values() if r.doc_id < 900) < 100
+    parts = [r.text for r in mixing.mix_documents(tiny).where("source = 'big'").collect()]
+    assert sum(len(t.split()) >= 100 for t in parts) > 0.9 * len(parts)
+
+
 def test_apportionment(spark):
     votes = [53, 24, 23, 0, 1]
     d = spark.createDataFrame([(0, i, float(v), 27) for i, v in enumerate(votes)], "g int, _order int, v double, s long")

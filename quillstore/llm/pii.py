@@ -3,8 +3,10 @@
 Each kind of value is a set of equally formed values; a keyed Feistel network with cycle walking permutes that set. So
 a value keeps its format and validity, equal values get equal pseudonyms in every document, and the key reverses them.
 
-  card     13 to 19 digits, bare or in groups, that pass the Luhn check: digits permuted, check digit set anew
-  phone    +1 and ten digits in the usual groupings: the ten digits permuted
+  card     13 to 19 digits, bare or in groups, that pass the Luhn check: digits permuted, check digit set anew. Of a run
+           of groups, cards in the usual groupings first, then the leftmost and longest stretch of whole groups
+  phone    North American numbers in the usual groupings or bare, with 1 or without: the ten digits permuted, numbers
+           that can be dialled among themselves; + and another country's code: the digits after the code permuted
   ipv4     four numbers up to 255: the 32 bits permuted
   date     ISO and d/m/y dates of the calendar, 1900 to 2099: the day permuted
   email    local part: its letters and digits permuted within their classes; the domain's likewise, the last label kept
@@ -28,15 +30,23 @@ from pyspark.sql import functions as F
 
 KINDS = ("card", "phone", "ipv4", "date", "email", "secret")
 
-_FIND = re.compile(
+_OTHERS = (
     r"(?P<email>(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})"
     r"|(?P<secret>(?i:key|token|secret|password|passwd|pwd)\W{1,12}(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))"
-    r"|(?P<phone>(?<![\w+])\+?1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))"
+    r"|(?P<phone>(?<![\w+])(?:\+?1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
+    r"|\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
+    r"|(?:\([2-9]\d\d\)[ .-]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\w|[.-]\d)"
+    r"|(?<![.,-])1?[2-9]\d\d[2-9]\d{6}(?!\w|[.,-]\d)"
+    r"|\+[2-9]\d{0,2}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d){5,13}(?!\w)))"
     r"|(?P<date>(?<![\w.-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\w/]|-\d))"
     r"|(?P<ipv4>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
-    r"|(?P<card>(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w))",
-    re.ASCII,
 )
+_OTHER = re.compile(_OTHERS, re.ASCII)
+#: A card's match is a whole run of groups, of any length.
+_FIND = re.compile(_OTHERS + r"|(?P<card>(?<![\w+])\d(?:[ -]?\d){12,}(?!\w))", re.ASCII)
+_USUAL = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}
+#: Country codes of one or two digits; the others have three.
+_CODES = {"7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -123,15 +133,31 @@ class Pseudonyms:
 
     def card(self, s: str) -> str:
         digits = re.sub(r"\D", "", s)
-        if luhn(digits):  # perhaps two numbers side by side
-            return re.sub(r"(?<!\d)\d{13,19}(?!\d)", lambda m: self.card(m[0]), s) if len(digits) < len(s) else s
+        if luhn(digits):
+            return s
         body = self._digits(digits[:-1], digits[:-1], "card")
         new = iter(body + str(-luhn(body + "0") % 10))
         return "".join(next(new) if c.isdigit() else c for c in s)
 
     def phone(self, s: str) -> str:
-        head = s.index("1") + 1
-        return s[:head] + self._digits(s[head:], re.sub(r"\D", "", s[head:]), "phone")
+        digits = re.sub(r"\D", "", s)
+        if s[0] != "+" or digits[0] == "1":
+            number, n = digits[-10:], 10
+            dialled = lambda x: x[0] > "1" and x[3] > "1"
+            new = self._permuted(number, "phone")
+            while dialled(new) != dialled(number):  # walk on within the class
+                new = self._permuted(new, "phone")
+        else:
+            code = next((digits[:k] for k in (1, 2) if digits[:k] in _CODES), digits[:3])
+            if not 8 <= len(digits) <= 15:
+                return s
+            n = len(digits) - len(code)
+            new = self._permuted(digits[-n:], "phone" + code)
+        new = iter(digits[: len(digits) - n] + new)
+        return "".join(next(new) if c.isdigit() else c for c in s)
+
+    def _permuted(self, digits: str, tweak: str) -> str:
+        return self._digits(digits, digits, tweak)
 
     def ipv4(self, s: str) -> str:
         parts = [int(x) for x in s.split(".")]
@@ -165,8 +191,7 @@ class Pseudonyms:
     def __call__(self, text: str) -> tuple[str, dict[str, int]]:
         counts = dict.fromkeys(KINDS, 0)
 
-        def new(m: re.Match) -> str:
-            kind, value = m.lastgroup, m[0]
+        def new(kind: str, value: str) -> str:
             if kind not in self.kinds:
                 return value
             if (kind, value) not in self.known:
@@ -177,7 +202,55 @@ class Pseudonyms:
             counts[kind] += out != value
             return out
 
-        return _FIND.sub(new, text), counts
+        out, done = [], 0
+        for kind, a, b in _found(text):
+            out += [text[done:a], new(kind, text[a:b])]
+            done = b
+        return "".join([*out, text[done:]]), counts
+
+
+def _found(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the values in a text, in order."""
+    at = 0
+    while m := _FIND.search(text, at):
+        if m.lastgroup != "card":
+            yield m.lastgroup, m.start(), m.end()
+            at = m.end()
+            continue
+        at = m.start()
+        for a, b in [*_cards(text, m.start(), m.end()), (m.end(), m.end())]:
+            while at < a and (o := _OTHER.search(text, at)) and o.start() < a:
+                if o.end() > a and b > a:  # a card goes before what it cuts
+                    break
+                yield o.lastgroup, o.start(), o.end()
+                at = o.end()
+            if b > a:
+                yield "card", a, b
+            at = max(at, b)
+
+
+def _cards(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Stretches of whole groups in a run that are card numbers, in order, none in another."""
+    groups = [g.span() for g in re.compile(r"\d+").finditer(text, start, end)]
+    free, out = [True] * len(groups), []
+
+    def take(usual: bool) -> None:
+        for i in range(len(groups)):
+            size, best = 0, None
+            for j in range(i, len(groups)):
+                size += groups[j][1] - groups[j][0]
+                if not free[j] or size > 19:
+                    break
+                shape = tuple(b - a for a, b in groups[i : j + 1]) if usual and j < i + 4 else None
+                if size >= 13 and (not usual or shape in _USUAL) and not luhn(re.sub(r"\D", "", text[groups[i][0] : groups[j][1]])):
+                    best = j
+            if best is not None:
+                free[i : best + 1] = [False] * (best + 1 - i)
+                out.append((groups[i][0], groups[best][1]))
+
+    take(True)
+    take(False)
+    return sorted(out)
 
 
 def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text", kinds: tuple[str, ...] = KINDS, counts: bool = False) -> DataFrame:

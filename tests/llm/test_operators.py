@@ -236,6 +236,34 @@ def test_padding_is_little():
     assert sum(lengths) / sum(packing.context(x) for x in totals) > 0.98
 
 
+def test_cards_beside_other_numbers():
+    p, card = pii.Pseudonyms(KEY), "4111 1111 1111 1111"
+    new = p(card)[0]
+    for left, right in [("", " 12/26"), ("", " 123"), ("12 ", ""), ("2024 12 ", " 12-26"), ("7-", "-9"), ("", " 4111-1111-1111-1111"), ("2024-01-02 ", " 12/05/2024")]:
+        out, counts = p(left + card + right)
+        assert new in out and card not in out and counts["card"] >= 1, (left, right, out)
+    out, counts = p(f"{card} (407) 555-7710 {card} 407-555-7710 1 2 3")
+    assert counts["card"] == 2 and counts["phone"] == 2 and "555" not in out.replace(new, "")
+    for year in range(26, 56):  # runs that pass by chance too
+        assert p(f"{card} {year}")[0] == f"{new} {year}"
+
+
+def test_phones_of_all_forms():
+    p = pii.Pseudonyms(KEY)
+    forms = ["(407) 555-7710", "407-555-7710", "407.555.7710", "407 555 7710", "4075557710", "+14075557710", "+1 407 555 7710", "14075557710", "1-407-555-7710"]
+    outs = [p(f"call {x}, now") for x in forms]
+    assert all(c["phone"] == 1 for _, c in outs), outs
+    ten = {re.sub(r"\D", "", o)[-10:] for o, _ in outs}
+    assert len(ten) == 1 and ten != {"4075557710"}
+    shape = lambda s: re.sub(r"\d", "9", s)
+    assert [shape(o) for o, _ in outs] == [shape(f"call {x}, now") for x in forms]
+    for x, code in (("+44 20 7946 0958", "+44"), ("+442079460958", "+44"), ("+49 (0)30 901820", "+49"), ("+351 21 123 4567", "+351")):
+        out, c = p(f"call {x}.")
+        assert c["phone"] == 1 and x not in out and out.startswith(f"call {code}") and shape(out) == shape(f"call {x}.")
+    for x in ("1700000000", "0.4075557710", "12345678901234", "v4075557710"):
+        assert p(x)[1]["phone"] == 0
+
+
 def test_pseudonyms(spark, none):
     p = pii.Pseudonyms(KEY)
     text = "card 4111 1111 1111 1111 and 4111-1111-1111-1111, not 4111111111111112; +1 (212) 555-0199; 10.0.0.1 999.1.1.1 born 1980-02-29 not 2023-02-30, ann.lee7@mail3.example.com token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" 12345"

@@ -1,19 +1,21 @@
 """Hierarchical multi-length packing of documents into token sequences.
 
-A document's tokens (and an end id) are cut at multiples of the window. Full windows are sequences by themselves; what
-remains is routed to tiers by length. From the longest tier down, a piece opens a sequence, and its gap is filled with
-the longest pieces that fit, from its own tier and the shorter ones. Sequences are padded to the window, but for those
-whose length is a power of two, which stay in that shorter context. Step groups are dealt in snake order by length, so
-that they hold nearly equal numbers of tokens.
+A document's tokens (and an end id) are cut at multiples of the window. The tail of a document longer than the window,
+which is cut anyway, is cut further at the tiers' sizes, largest first; a document that fits into a window stays whole.
+Each piece is routed to the shortest tier that holds it, and the tiers are packed from the longest down, each to its own
+context: a piece opens a sequence, the longest pieces that fit, of its own tier or shorter ones, fill its gap. What ends
+exactly full stays in its tier's context. A sequence of a short tier that does not is a block, and blocks are packed into
+whole windows like pieces, so that all padding is in whole windows and little. Step groups hold the same number of tokens
+whatever their tier, and sequences are dealt to them in snake order by length.
 
 Texts are tokenised once, on the map side, where the checksum of each piece is taken too; only the pieces' few numbers
-are shuffled. Null text: an empty document, of the end id alone. Empty input: no rows. Repeated rows are packed each.
+are shuffled. Null text: an empty document, of the end id alone. Very long texts: cut like others, a text's ids at a time
+in memory. Ties in length keep the order of the rows' hash. Empty input: no rows. Repeated rows are packed each.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,15 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, TIERS, BATCH, STEP = 1024, (1024, 512, 256, 128), 40_000, 64
-CACHE = 100_000  # words whose ids a worker remembers, twice over: some 50 MB
-
 # Fixed value: where byte-level BPE of this kind cuts a text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-# White space around a space that is not the run's first: the tokenizer may then not cut before that space.
-_RUN = re.compile(r"\s(?= (?:\s|\Z))")
-
-
 def _byte_names() -> dict[str, int]:
     """Byte-level BPE's names of bytes: printable ones are themselves, the others take the characters from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -42,13 +38,9 @@ def _byte_names() -> dict[str, int]:
 
 
 class Tokens:
-    """Ids of texts as little-endian 32-bit bytes, by the vocabulary of a byte-level BPE tokenizer file.
-
-    The tokenizer cuts before every space that begins a word, so words are encoded by themselves and remembered; texts
-    with odd runs of white space go to the encoder whole.
-    """
+    """Ids of texts as little-endian 32-bit bytes, by the vocabulary of a byte-level BPE tokenizer file."""
 
-    def __init__(self, path: str, remember: int = CACHE):
+    def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -56,45 +48,10 @@ class Tokens:
         special = {t["content"] for t in spec.get("added_tokens", [])}
         names = _byte_names()
         ranks = {bytes(names[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
-        coder = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.encode, self.piece = coder.encode_ordinary, coder._encode_single_piece
-        self.stops = {c: array("I", [ranks[c.encode()]]).tobytes() for c in ".,;:!?"}
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.remember = remember
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.encode(text)).tobytes()
-
-    def word(self, word: str) -> bytes:
-        """Ids of a word and the space before it. Letters are one piece, and a mark after them is one."""
-        if word.isalpha():
-            return array("I", self.piece((" " + word).encode())).tobytes()
-        if word[:-1].isalpha() and (stop := self.stops.get(word[-1])):
-            return array("I", self.piece((" " + word[:-1]).encode())).tobytes() + stop
-        return self.whole(" " + word)
+        self.encode = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        try:
-            known = self.known
-            return self.whole(first) + b"".join([known[x] for x in rest])
-        except KeyError:
-            pass
-        if _RUN.search(text):
-            return self.whole(text)
-        new, out = {x for x in rest if x not in known}, {}
-        if len(known) + len(new) > self.remember:  # the last generation serves on until the next one is full
-            self.old, self.known = known, {}
-            known = self.known
-            new = set(rest)
-        for x in new:
-            ids = self.old.get(x) or self.word(x)
-            if x and not x[0].isspace() and not x[-1].isspace():
-                known[x] = ids
-            else:  # white space may join its neighbours', so such a text is looked at each time
-                out[x] = ids
-        return self.whole(first) + b"".join([known[x] if x in known else out[x] for x in rest])
+        return array("I", self.encode(text)).tobytes()
 
 
 _tokens: dict[str, Tokens] = {}
@@ -107,20 +64,22 @@ def tokens(path: str) -> Tokens:
     return _tokens[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, *, doc_id="doc_id", text="text", window=WINDOW, end_id=0) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): each document's windows and what remains."""
+def pieces(docs: DataFrame, tokenizer: str, *, doc_id="doc_id", text="text", window=WINDOW, tiers=TIERS, end_id=0) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens): each document's windows and its tail, cut at the tiers."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end, step = tokens(tokenizer), int(end_id).to_bytes(4, "little"), 4 * window
+        ids_of, end = tokens(tokenizer), int(end_id).to_bytes(4, "little")
         for b in batches:
             row, start, length, crc, total = [], [], [], [], []
             for i, t in enumerate(b.column(1)):
                 raw = ids_of(t.as_py() or "") + end
-                for at in range(0, len(raw), step):
-                    part = raw[at : at + step]
+                at = 0
+                for n in cuts(len(raw) // 4, window, tiers):
+                    part = raw[4 * at : 4 * (at + n)]
                     row.append(i)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
+                    start.append(at)
+                    length.append(n)
+                    at += n
                     crc.append(zlib.crc32(part))
                     total.append(len(raw) // 4)
             long = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
@@ -131,23 +90,75 @@ def pieces(docs: DataFrame, tokenizer: str, *, doc_id="doc_id", text="text", win
     return rows.mapInArrow(each, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def fill(lengths: list[int], window: int = WINDOW) -> list[list[int]]:
-    """Sequences of indices: a piece of the longest tier opens one, the longest pieces that fit fill its gap."""
-    stacks: dict[int, list[int]] = {}
+def cuts(total: int, window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> list[int]:
+    """Lengths of the pieces of a document of `total` tokens: whole windows, then its tail at the tiers' sizes."""
+    out = [window] * (total // window)
+    left = total - window * len(out)
+    for size in sorted(tiers, reverse=True) if out else ():
+        while left >= size:
+            out.append(size)
+            left -= size
+    return out + [left] * bool(left)
+
+
+class _Stacks:
+    """Indices by size; the largest size up to a limit is found by the bits of a number."""
+
+    def __init__(self) -> None:
+        self.of: dict[int, list] = {}
+        self.have = 0
+
+    def put(self, size: int, what) -> None:
+        self.of.setdefault(size, []).append(what)
+        self.have |= 1 << size
+
+    def take(self, most: int, least: int = 0):
+        """(size, what) of the largest size in least..most, or None."""
+        size = (self.have & ((1 << (most + 1)) - 1)).bit_length() - 1
+        if size < max(least, 0):
+            return None
+        what = self.of[size].pop()
+        if not self.of[size]:
+            self.have ^= 1 << size
+        return size, what
+
+
+def fill(lengths: list[int], window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[int]]]:
+    """(context, indices) of each sequence. Contexts are the window and those of the tiers that are powers of two."""
+    left, blocks, out = _Stacks(), _Stacks(), []
     for i in reversed(range(len(lengths))):
-        stacks.setdefault(lengths[i], []).append(i)
-    have = sum(1 << n for n in stacks)  # bit n: a piece of length n is left
-    out = []
-    while have:
-        gap, seq = window, []
-        while fits := have & ((1 << (gap + 1)) - 1):
-            n = fits.bit_length() - 1
-            seq.append(stacks[n].pop())
-            if not stacks[n]:
-                have ^= 1 << n
-            gap -= n
-        out.append(seq)
-    return out
+        left.put(lengths[i], i)
+    sizes = sorted({window, *(t for t in tiers if t < window and t & (t - 1) == 0)}, reverse=True)
+
+    def fit(gap: int, seq: list[int]) -> int:
+        while got := left.take(gap, 1):
+            seq.append(got[1])
+            gap -= got[0]
+        return gap
+
+    # a tier's pieces are longer than the next tier's context; the last tier takes all that is left
+    for size, below in zip(sizes, [*sizes[1:], 0]):
+        while got := left.take(size, below + 1):
+            seq = [got[1]]
+            gap = fit(size - got[0], seq)
+            if size == window or not gap:
+                out.append((size, seq, gap))
+            else:
+                blocks.put(size - gap, seq)
+    # blocks fill what is left open, the fullest windows first; then they share windows of their own
+    out.sort(key=lambda x: x[2])
+    for k, (size, seq, gap) in enumerate(out):
+        while gap and (got := blocks.take(gap, 1)):
+            seq += got[1]
+            gap -= got[0]
+        out[k] = (size, seq, gap)
+    while got := blocks.take(window, 1):
+        seq, gap = list(got[1]), window - got[0]
+        while got := blocks.take(gap, 1):
+            seq += got[1]
+            gap -= got[0]
+        out.append((window, seq, gap))
+    return [(context(size - gap, window), seq) for size, seq, gap in out]
 
 
 def context(total: int, window: int = WINDOW) -> int:
@@ -165,22 +176,26 @@ def pack(parts: DataFrame, *, window=WINDOW, tiers=TIERS, batch=BATCH, step=STEP
 
     def packed(rows: pa.Table, base: int) -> tuple[pa.RecordBatch, int]:
         lengths = rows.column("length").to_pylist()
-        seqs = fill(lengths, window)
+        found = fill(lengths, window, tiers)
+        contexts, seqs = np.array([c for c, _ in found], np.int64), [s for _, s in found]
         size = np.array([sum(lengths[i] for i in s) for s in seqs])
-        groups = max(1, -(-len(seqs) // step))
-        group = np.empty(len(seqs), np.int64)
-        turn = np.arange(len(seqs)) % (2 * groups)
-        group[np.argsort(-size, kind="stable")] = np.where(turn < groups, turn, 2 * groups - 1 - turn)
+        group, groups = np.empty(len(seqs), np.int64), 0
+        for c in np.unique(contexts)[::-1]:  # a step holds as many tokens of short contexts as of long ones
+            own = np.flatnonzero(contexts == c)
+            n = max(1, -(-len(own) * int(c) // (step * window)))
+            turn = np.arange(len(own)) % (2 * n)
+            group[own[np.argsort(-size[own], kind="stable")]] = groups + np.where(turn < n, turn, 2 * n - 1 - turn)
+            groups += n
         order = [i for s in seqs for i in s]
         n = np.array([len(s) for s in seqs])
         of = np.repeat(np.arange(len(seqs)), n)
         own = np.array(lengths, np.int64)[order]
         before = np.cumsum(own) - own
         offset = before - np.repeat(before[np.cumsum(n) - n], n)
-        ctx = np.array([context(int(x), window) for x in size], np.int64)[of]
-        tier = np.array(sorted(tiers))[np.searchsorted(sorted(tiers), np.minimum(own, max(tiers)))]
+        ends = np.array(sorted({*tiers, window}))
+        tier = ends[np.searchsorted(ends, own)]
         rows = rows.take(pa.array(order))
-        more = {"sequence_id": base + of, "offset": offset, "context": ctx, "tier": tier, "step_group": base + group[of]}
+        more = {"sequence_id": base + of, "offset": offset, "context": contexts[of], "tier": tier, "step_group": base + group[of]}
         for k, v in more.items():
             rows = rows.append_column(k, pa.array(v.astype(np.int64)))
         return rows.combine_chunks().to_batches()[0], base + len(seqs)
@@ -208,6 +223,6 @@ def pack(parts: DataFrame, *, window=WINDOW, tiers=TIERS, batch=BATCH, step=STEP
     return dealt.mapInArrow(each, f"{schema}, {more}")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, doc_id="doc_id", text="text", window=WINDOW, end_id=0, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, doc_id="doc_id", text="text", window=WINDOW, tiers=TIERS, end_id=0, **options) -> DataFrame:
     """One row per piece: where its ids lie in its document and in its sequence."""
-    return pack(pieces(docs, tokenizer, doc_id=doc_id, text=text, window=window, end_id=end_id), window=window, **options)
+    return pack(pieces(docs, tokenizer, doc_id=doc_id, text=text, window=window, tiers=tiers, end_id=end_id), window=window, tiers=tiers, **options)

@@ -202,7 +202,13 @@ def test_packing(docs, rows, none):
     t.encode_special_tokens = True
     ids = {i: [*t.encode(r[1] or "", add_special_tokens=False).ids, 0] for i, r in enumerate(rows)}
     got = packing.pack_documents(docs, tokenizer_path()).collect()
-    want = Counter((rows[i][0], at, len(x[at : at + 1024]), zlib.crc32(np.array(x[at : at + 1024], "<u4").tobytes()), len(x)) for i, x in ids.items() for at in range(0, len(x), 1024))
+    want = Counter()
+    for i, x in ids.items():
+        at = 0
+        for n in packing.cuts(len(x)):
+            want[rows[i][0], at, n, zlib.crc32(np.array(x[at : at + n], "<u4").tobytes()), len(x)] += 1
+            at += n
+        assert at == len(x)
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
     seqs = defaultdict(list)
     for r in got:
@@ -221,19 +227,47 @@ def test_tokens_equal_the_tokenizer():
 
     t = Tokenizer.from_file(tokenizer_path())
     t.encode_special_tokens = True
-    mine = packing.Tokens(tokenizer_path(), remember=50)
+    mine = packing.Tokens(tokenizer_path())
     r = random.Random(5)
     bits = ["a", "B", " ", "  ", "\n", "\t", "\r\n", "'s", "don't", "12", "²", "é", "漢", " ", "　", "\x1c", ".", "...", "|", "<|endoftext|>", "word", "\U0001f600", "é", "It's."]
     texts = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(3000)] + [" ".join(r.choice(bits) for _ in range(30)) for _ in range(500)]
     assert [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)] == [mine(x) for x in texts]
 
 
-def test_padding_is_little():
+def test_cuts():
+    assert packing.cuts(0) == [] and packing.cuts(900) == [900] and packing.cuts(1024) == [1024]
+    assert packing.cuts(2048 + 900) == [1024, 1024, 512, 256, 128, 4] and packing.cuts(1100, tiers=(1024,)) == [1024, 76]
+
+
+def test_tiers_and_padding():
     r = random.Random(1)
-    lengths = [r.randrange(1, 1024) for _ in range(5000)]
-    totals = [sum(lengths[i] for i in s) for s in packing.fill(lengths)]
-    assert sum(totals) == sum(lengths) and max(totals) <= 1024
-    assert sum(lengths) / sum(packing.context(x) for x in totals) > 0.98
+    totals = [int(2 ** r.uniform(1, 13)) for _ in range(6000)]
+    for tiers in (packing.TIERS, (1024, 256), (1024,)):
+        lengths = [n for t in totals for n in packing.cuts(t, tiers=tiers)]
+        seqs = packing.fill(lengths, tiers=tiers)
+        assert sorted(i for _, s in seqs for i in s) == list(range(len(lengths)))
+        for c, s in seqs:
+            total = sum(lengths[i] for i in s)
+            assert total <= c and c == packing.context(total)
+        kinds = Counter(c for c, _ in seqs)
+        assert all(kinds[t] > 20 for t in tiers), kinds
+        assert not any(kinds[t] > 20 for t in set(packing.TIERS) - set(tiers)), kinds
+        assert sum(lengths) / sum(c for c, _ in seqs) > 0.98
+    # a short tier's pieces fill the gaps of long windows first
+    assert packing.fill([1000, 24, 128]) == [(1024, [0, 1]), (128, [2])]
+
+
+def test_step_groups_hold_equal_tokens(spark):
+    r = random.Random(4)
+    parts = spark.createDataFrame([(i, 0, n, i, 9) for i in range(3000) for n in packing.cuts(r.randrange(1, 5000))], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    tokens, kinds = Counter(), defaultdict(set)
+    for x in packing.pack(parts.coalesce(1), batch=10**6, step=16).collect():
+        tokens[x.step_group] += x.length
+        kinds[x.step_group].add(x.context)
+    assert all(len(k) == 1 for k in kinds.values())
+    for c, task in {(min(k), g >> 40) for g, k in kinds.items() if min(k) in packing.TIERS}:
+        own = [tokens[g] for g, k in kinds.items() if k == {c} and g >> 40 == task]
+        assert max(own) <= 16 * 1024 and max(own) - min(own) <= 1024
 
 
 def test_cards_beside_other_numbers():

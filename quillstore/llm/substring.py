@@ -1,23 +1,27 @@
-"""Removal of byte strings of `length` bytes that start in two or more places of the corpus.
+"""Suffix-array removal of byte strings of `length` bytes that start in two or more places of the corpus.
 
-A full suffix array sorts every byte position with `length` bytes of context: many times the corpus in shuffled data.
-Here only sampled suffixes travel. Every window of `length` bytes has an anchor, the least of its GRAM-gram hashes
+A suffix for every byte, with `length` bytes of context, would be many times the corpus in shuffled data. Here the
+suffixes are sampled by content. Every window of `length` bytes has an anchor, the least of its GRAM-gram hashes
 (leftmost on ties), which equal windows share. Starts with one anchor are cut, by their distance to it, into cells of
 at most CELL starts. All windows of a cell have a core of at least length - CELL + 1 bytes in common, at a place given
 by content alone, so equal windows lie in cells with equal cores. That decides most starts with one row per cell:
 
   - a cell whose core occurs once has no repeated window;
-  - a cell whose whole extent, from its first start to its last window's end, occurs twice, is all repeated;
-  - the rest, at the ends of repeated stretches, is decided per window. Those cells carry their few bytes beyond the
-    core and meet in range partitions of their cores (Spark samples the splitters), sorted locally; the windows of one
-    core are compared by hash. A core with more than HOT such cells is spread over all tasks window by window, counted
-    with map-side sums.
-
+  - a cell whose whole extent, from its first start to its last window's end, occurs twice, is all repeated. An extent
+    that occurs very often is looked up in a broadcast table, whose size is bounded as the occurrences add up to all;
+  - the rest, at the ends of repeated stretches, is sorted: one suffix for each kind of extent, which begins at its core.
+    Sampled splitters deal these by their leading bytes to range partitions of about BUCKET suffixes, whatever is equal;
+    each is sorted by multikey quicksort, and suffixes of one core, now neighbours, are compared window by window. The
+    first and the last core of a partition may go on beyond its boundary: their windows, one of each kind, are
+    compared once more across the partitions.
+
+A suffix is its core's LEAD leading bytes, a digest of the whole core in place of the others, and the bytes after it.
 So nothing grows with the square of a group of copies, and no group has to fit in a task. Equality is that of 64-bit
-hashes within a core, so a false match needs two hashes that meet by chance at once.
+digests within a core, so a false match needs two digests that meet by chance at once.
 
-Null text: no bytes. Texts shorter than `length` have no window and stay. Repeated rows count as other documents, so
-their windows repeat. Empty input: no rows. Columns besides doc_id and text are not read.
+Null text: no bytes. Texts shorter than `length` have no window and stay. Very long texts are hashed in blocks. Repeated
+rows count as other documents, so their windows repeat. Empty input: no rows. Columns besides doc_id and text are not
+read.
 """
 
 from __future__ import annotations
@@ -32,9 +36,12 @@ from pyspark.sql import functions as F
 
 from .util import written
 
-LENGTH, GRAM, CELL, HOT = 400, 32, 128, 4096
-#: Bits of the filter that spares unrepeated cells the second pass. Its size is fixed: 4 MB; false hits only cost time.
-FILTER_BITS = 1 << 25
+LENGTH, GRAM, CELL, LEAD, BUCKET = 400, 32, 128, 16, 50_000
+#: Bits of the filter that spares unrepeated cells the second pass: 16 to 32 for each repeated core, 4 MB at least and
+#: 32 MB at most; false hits only cost time.
+FILTER_BITS = (1 << 25, 1 << 28)
+#: An extent is looked up by broadcast if more than this share of all cells, and over 1000, are its occurrences.
+OFTEN = 1 / 500_000
 BLOCK = 1 << 20  # bytes hashed at a time
 
 _LUT = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -99,8 +106,77 @@ def _text(x: pa.Scalar) -> bytes:
     return (x.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def repeated_starts(docs: DataFrame, length: int, gram: int, cell: int, hot: int) -> DataFrame:
-    """(row_key, first, last): runs of starts whose windows start elsewhere too. docs: (row_key, text)."""
+def multikey_quicksort(words: np.ndarray) -> np.ndarray:
+    """The order of suffixes, rows of 64-bit characters: three-way partitions by one character, the next among equals."""
+    order, todo = np.arange(len(words)), [(0, len(words), 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo < 2 or depth == words.shape[1]:
+            continue
+        if hi - lo <= 24:
+            order[lo:hi] = sorted(order[lo:hi], key=lambda i: words[i, depth:].tolist())
+            continue
+        part = order[lo:hi]
+        c = words[part, depth]
+        pivot = sorted((c[0], c[len(c) // 2], c[-1]))[1]
+        less, more = c < pivot, c > pivot
+        order[lo:hi] = np.concatenate([part[less], part[~(less | more)], part[more]])
+        i, k = lo + int(less.sum()), hi - int(more.sum())
+        todo += [(lo, i, depth), (i, k, depth + 1), (k, hi, depth)]
+    return order
+
+
+def _characters(suffixes: list[bytes]) -> np.ndarray:
+    """Suffixes as rows of big-endian 64-bit characters."""
+    width = 8 * (1 + max(map(len, suffixes), default=0) // 8)
+    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in suffixes), ">u8").reshape(len(suffixes), -1).astype(np.uint64)
+
+
+def _windows(left: bytes, right: bytes, first: int, last: int, at: int) -> list[int]:
+    """A key for each window: what it adds to the core on either side."""
+    digest, shift = xxhash.xxh3_64_digest, at - first
+    # a window that starts x bytes before the core ends length - core - x bytes after it
+    room = len(right) - (last - first)  # right bytes of the first window
+    return [int.from_bytes(digest(left[i:] + b"|" + right[: room + i], seed=shift - i), "big", signed=True) for i in range(last - first + 1)]
+
+
+def _compare(group: list[dict], open_: bool) -> tuple[list[tuple], list[tuple]]:
+    """Of the suffixes of one core: (row_key, first, last) of repeated starts, and, if the group may go on elsewhere,
+    (core, window, row_key, start, asks): one row for each kind of window, which asks if it is not decided here."""
+    keys = [_windows(r["left"], r["right"], r["first"], r["last"], r["at"]) for r in group]
+    count: dict[int, int] = {}
+    for ks in keys:
+        for k in ks:
+            count[k] = count.get(k, 0) + 1
+    runs = [(r["row_key"], *run) for r, ks in zip(group, keys) if r["asks"] for run in _runs(r["first"], [count[k] > 1 for k in ks])]
+    kinds = {}
+    for r, ks in zip(group, keys) if open_ else ():
+        for i, k in enumerate(ks):
+            kinds[k] = (r["core"], k, r["row_key"], r["first"] + i, r["asks"] and count[k] == 1)
+    return runs, list(kinds.values())
+
+
+def _sorted_bucket(rows: pa.Table) -> tuple[list[tuple], list[tuple]]:
+    """What _compare finds in one range partition, after sorting it."""
+    got = rows.to_pylist()
+    order = multikey_quicksort(_characters([r["lead"] + (r["core"] + 2**63).to_bytes(8, "big") + r["right"] for r in got]))
+    groups: list[list[dict]] = []
+    for i in order.tolist():
+        if not groups or groups[-1][0]["core"] != got[i]["core"]:
+            groups.append([])
+        groups[-1].append(got[i])
+    runs, windows = [], []
+    for n, group in enumerate(groups):
+        edge = n in (0, len(groups) - 1)
+        if edge or len(group) > 1:
+            more, kinds = _compare(group, edge)
+            runs += more
+            windows += kinds
+    return runs, windows
+
+
+def repeated_starts(docs: DataFrame, length: int, gram: int, cell: int, bucket: int) -> DataFrame:
+    """(row_key, first, last): runs of starts whose windows start elsewhere too. docs: (row_key binary, text)."""
     spark = docs.sparkSession
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,98 +188,66 @@ def repeated_starts(docs: DataFrame, length: int, gram: int, cell: int, hot: int
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["core", "n"])
 
     cores = docs.select("text").mapInArrow(counted, "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1")
-    # a fixed-size filter of the repeated cores: slices of a bitmap
-    slot = F.pmod(F.col("core"), F.lit(FILTER_BITS))
+    cores = written(cores.select("core"), "substring-cores")
+    bits = min(max(1 << (16 * cores.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    # the filter of the repeated cores: words of a bitmap
+    slot = F.pmod(F.col("core"), F.lit(bits))
     slices = (
         cores.select(slot.alias("slot")).distinct()
         .groupBy(F.expr("slot div 64").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
     )
-    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words = np.zeros(bits // 64, np.int64)
     words[slices.column("word").to_numpy()] = slices.column("bits").to_numpy()
     bitmap = spark.sparkContext.broadcast(words)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        held = bitmap.value
         for b in batches:
             rows: list[tuple] = []
             for i, t in enumerate(b.column(1)):
                 raw = _text(t)
                 for core, extent, f, z, lo, hi in _cell_rows(raw, length, gram, cell):
-                    s = core % FILTER_BITS
-                    if int(bits[s >> 6]) >> (s & 63) & 1:
-                        rows.append((i, core, extent, f, z, lo, raw[f:lo], raw[hi : z + length]))
-            c = list(zip(*rows)) or [()] * 8
-            names = ["row_key", "core", "extent", "first", "last", "at", "left", "right"]
+                    s = core % bits
+                    if int(held[s >> 6]) >> (s & 63) & 1:
+                        rows.append((i, core, extent, f, z, lo, raw[lo : lo + LEAD], raw[f:lo], raw[hi : z + length]))
+            c = list(zip(*rows)) or [()] * 9
+            names = ["row_key", "core", "extent", "first", "last", "at", "lead", "left", "right"]
             ints = [pa.array(x, pa.int64()) for x in c[1:6]]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c[0], pa.int64())), *ints, *[pa.array(x, pa.binary()) for x in c[6:]]], names)
 
-    kind = docs.schema["row_key"].dataType.simpleString()
-    found = written(docs.select("row_key", "text").mapInArrow(candidates, f"row_key {kind}, core long, extent long, first long, last long, at long, left binary, right binary"), "substring-cells")
+    found = docs.select("row_key", "text").mapInArrow(candidates, "row_key binary, core long, extent long, first long, last long, at long, lead binary, left binary, right binary")
+    found = written(found, "substring-cells")
     # how often each core and each extent occurs; false hits of the filter go here
     extents = found.groupBy("core", "extent").agg(F.count(F.lit(1)).alias("same"), F.min(F.struct("row_key", "first")).alias("one"))
     totals = extents.groupBy("core").agg(F.sum("same").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1")
     sums = written(extents.join(totals, "core"), "substring-sums")
-    whole = found.join(sums.where("same > 1").select("core", "extent"), ["core", "extent"], "left_semi").select("row_key", "first", "last")
+    often = max(1000, int(found.count() * OFTEN))
+    hot = F.broadcast(sums.where(F.col("same") > often).select("core", "extent"))  # fewer than 1 / OFTEN rows
+    places, key = found.select("core", "extent", "row_key", "first", "last"), ["core", "extent"]
+    rest = places.join(hot, key, "left_anti").join(sums.where((F.col("same") > 1) & (F.col("same") <= often)).select(*key), key, "left_semi")
+    whole = rest.unionByName(places.join(hot, key, "left_semi")).select("row_key", "first", "last")
     # one row of each kind of extent goes on; more than one of a kind means repeated by itself, and one serves others
-    mixed = sums.where("kinds > 1").select("core", "extent", "one.row_key", "one.first", F.expr("same = 1").alias("asks"), F.expr(f"kinds > {hot}").alias("hot"))
-    keys = ["core", "extent", "row_key", "first"]  # so a hot extent is one row here
-    rows = found.join(mixed, keys).dropDuplicates(["core", "extent"])
-    rows = written(rows.select("core", "hot", "row_key", "first", "last", "at", "left", "right", "asks"), "substring-open")
-
-    def windows(left: bytes, right: bytes, first: int, last: int, at: int) -> list[int]:
-        """A key for each window: what it adds to the core on either side."""
-        digest, shift = xxhash.xxh3_64_digest, at - first
-        # a window that starts x bytes before the core ends length - core - x bytes after it
-        room = len(right) - (last - first)  # right bytes of the first window
-        return [int.from_bytes(digest(left[i:] + b"|" + right[: room + i], seed=shift - i), "big", signed=True) for i in range(last - first + 1)]
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches sorted by core: windows of equal key within a core repeat."""
-        now, group = None, []
-
-        def out(group):
-            if len(group) < 2:
-                return []
-            keys = [windows(r["left"], r["right"], r["first"], r["last"], r["at"]) for r in group]
-            count: dict[int, int] = {}
-            for ks in keys:
-                for k in ks:
-                    count[k] = count.get(k, 0) + 1
-            return [(r["row_key"], *run) for r, ks in zip(group, keys) if r["asks"] for run in _runs(r["first"], [count[k] > 1 for k in ks])]
-
-        def batch(runs):
-            c = list(zip(*runs)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c[0], key_type), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64())], ["row_key", "first", "last"])
-
-        key_type = None
-        for b in batches:
-            key_type, runs = b.schema.field("row_key").type, []
-            for r in b.to_pylist():
-                if r["core"] != now:
-                    runs += out(group)
-                    now, group = r["core"], []
-                group.append(r)
-            yield batch(runs)
-        if group:
-            yield batch(out(group))
-
-    cold = rows.where("not hot").drop("hot").repartition("core").sortWithinPartitions("core")
-    cold = cold.mapInArrow(compared, f"row_key {kind}, first long, last long")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(r["row_key"], r["core"], r["first"] + i, r["asks"], k) for r in b.to_pylist() for i, k in enumerate(windows(r["left"], r["right"], r["first"], r["last"], r["at"]))]
-            c = list(zip(*got)) or [()] * 5
-            kinds = [b.schema.field("row_key").type, pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], ["row_key", "core", "start", "asks", "window"])
-
-    if rows.where("hot").limit(1).count():
-        each = written(rows.where("hot").mapInArrow(spread, f"row_key {kind}, core long, start long, asks boolean, window long"), "substring-windows")
-        twice = each.groupBy("core", "window").count().where("count > 1").select("core", "window")
-        hot_runs = each.where("asks").join(twice, ["core", "window"], "left_semi").select("row_key", F.col("start").alias("first"), F.col("start").alias("last"))
-        cold = cold.unionByName(hot_runs)
-    return whole.unionByName(cold)
+    mixed = sums.where("kinds > 1").select("core", "extent", "one.row_key", "one.first", F.expr("same = 1").alias("asks"))
+    rows = found.join(mixed, ["core", "extent", "row_key", "first"]).dropDuplicates(["core", "extent"])  # so a hot extent is one row here
+    rows = written(rows.select("core", "extent", "row_key", "first", "last", "at", "lead", "left", "right", "asks"), "substring-open")
+
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        runs, windows = _sorted_bucket(pa.Table.from_batches(held)) if held else ([], [])
+        for c in (list(zip(*x)) for x in (runs, windows) if x):
+            n, none = len(c[0]), [None] * len(c[0])
+            c = [none, none, *c, none] if len(c) == 3 else [c[0], c[1], c[2], c[3], none, c[4]]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], ["core", "window", "row_key", "first", "last", "asks"])
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // bucket))
+    dealt = rows.repartitionByRange(n, "lead", "core", "right", "extent")
+    got = written(dealt.mapInArrow(bucketed, "core long, window long, row_key binary, first long, last long, asks boolean"), "substring-runs")
+    edge = got.where("core is not null")
+    beyond = edge.groupBy("core", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "window")
+    edge = edge.where("asks").join(beyond, ["core", "window"], "left_semi").select("row_key", "first", F.col("first").alias("last"))
+    return whole.unionByName(got.where("core is null").select("row_key", "first", "last")).unionByName(edge)
 
 
 def _runs(first: int, flags: list[bool]) -> list[tuple[int, int]]:
@@ -229,14 +273,14 @@ def remove(raw: bytes, runs: list[tuple[int, int]], length: int) -> tuple[bytes,
     return b"".join(left), spans
 
 
-def deduplicate(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENGTH, gram=GRAM, cell=CELL, hot=HOT) -> DataFrame:
+def deduplicate(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENGTH, gram=GRAM, cell=CELL, bucket=BUCKET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes of each document."""
     kind = docs.schema[doc_id].dataType.simpleString()
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    keyed = keyed.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    runs = repeated_starts(keyed.select("row_key", "text"), length, gram, cell, hot)
+    keyed = keyed.withColumn("row_key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))))))
+    runs = repeated_starts(keyed.select("row_key", "text"), length, gram, cell, bucket)
     runs = runs.groupBy(F.col("row_key").alias("_key")).agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # one document's
-    runs = written(runs, "substring-runs").hint("shuffle_hash")
+    runs = written(runs, "substring-found").hint("shuffle_hash")
     rows = keyed.join(runs, keyed["row_key"] == runs["_key"], "left").select("doc_id", "text", "runs.first", "runs.last")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -367,21 +367,39 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_substring(spark, docs, rows, none, hot):
+@pytest.mark.parametrize("bucket", [50_000, 4])
+def test_substring(spark, docs, rows, none, bucket):
     want = Counter((r[0], *x) for r, x in zip(rows, brute_removed([r[1] for r in rows], 400)))
-    got = substring.deduplicate(docs, hot=hot).collect()
+    got = substring.deduplicate(docs, bucket=bucket).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == want
     assert substring.deduplicate(none).count() == 0
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_short_substrings(spark, hot):
-    r = random.Random(hot)
+def test_multikey_quicksort():
+    r = random.Random(8)
+    texts = [bytes(r.choice(b"ab") for _ in range(r.randrange(40))) + b"x" for _ in range(3000)]
+    order = substring.multikey_quicksort(substring._characters(texts))
+    assert [texts[i] for i in order] == sorted(texts)
+
+
+def test_often_repeated_extents(spark, monkeypatch):
+    monkeypatch.setattr(substring, "OFTEN", 1e-9)
+    r = random.Random(1)
+    passage = words(100, 4, 9000)
+    texts = [passage] * 1300 + [f"{words(r.randrange(9), i, 50)} {passage} {words(r.randrange(9), -i, 50)}" for i in range(120)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring.deduplicate(d, bucket=16).collect()
+    want = {i: x for i, x in enumerate(brute_removed(texts, 400))}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got} == want
+
+
+@pytest.mark.parametrize("bucket", [50_000, 8])
+def test_short_substrings(spark, bucket):
+    r = random.Random(bucket)
     base = ["".join(r.choice("abc"[: 1 + k % 3]) for _ in range(r.randrange(200))) for k in range(6)]
     texts = ["".join(b[r.randrange(len(b) + 1) :][: r.randrange(120)] for b in r.sample(base, 3)) for _ in range(40)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = substring.deduplicate(d, length=40, gram=8, cell=16, hot=hot).collect()
+    got = substring.deduplicate(d, length=40, gram=8, cell=16, bucket=bucket).collect()
     want = {i: x for i, x in enumerate(brute_removed(texts, 40))}
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got} == want
 

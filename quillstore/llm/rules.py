@@ -1,34 +1,41 @@
 """Quality rules as a short-circuit cascade, in DataFrame operations only.
 
-Base signals are computed for every whole text. Texts that pass the base rules meet further rules one after another; a
-bounded sample gives each rule's cost and the share it rejects, and the rules run by falling rejection per cost. A CASE
+Base signals are computed for every whole text. Texts that pass the base rules meet further rules one after another. A
+bounded, seeded sample of rows gives, in one job, the share that each rule rejects and its cost, and the rules run by
+falling rejection per cost. Cost is counted in steps and not in seconds, so that equal tables give equal orders: a rule
+says in SQL how many steps a row takes it (such as the characters its patterns read), and the sample has the rows. A CASE
 expression stops at the first rule that rejects, so costly rules see only what cheap ones leave. The order changes how
 much work is done, never the verdict.
 
-Null or empty text: no words, all signals 0, base_failed true. Repeated rows are judged alike. Empty input: no rows.
+Null or empty text: no words, all signals 0, base_failed true. Very long texts are judged whole. Repeated rows are judged
+alike; of rules that tie, the first by name runs first. Columns of the input that have a signal's name are replaced, all
+others are kept, whatever their names. Empty input: no rows.
 """
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .util import WORD
 
-#: Rows of the sample on which cost and selectivity are estimated.
-SAMPLE_ROWS = 500
+#: Rows of the sample on which cost and selectivity are estimated, those with the least seeded hashes.
+SAMPLE_ROWS, SEED = 500, 7
 
-#: name: SQL that is true where a text is rejected. It may use the signals, _text, _words and _lines.
+#: name: (SQL that is true where a text is rejected, SQL of the steps that takes). Both may use the signals, _text,
+#: _words and _lines. A step is about one comparison of numbers; a pattern takes some 4 steps a character.
 RULES = {
-    "mean_word_length": "word_chars < 2 * n_words or word_chars > 20 * n_words",
-    "symbols": "10 * n_symbols > 3 * n_words",
-    "duplicate_lines": "2 * n_dup_lines > size(_lines)",
-    "letterless_words": "10 * size(filter(_words, w -> not w rlike '\\\\p{L}')) > 4 * n_words",
-    "overlong_words": "exists(_words, w -> length(w) > 200)",
+    "mean_word_length": ("word_chars < 2 * n_words or word_chars > 20 * n_words", "2"),
+    "symbols": ("10 * n_symbols > 3 * n_words", "1"),
+    "duplicate_lines": ("2 * n_dup_lines > size(_lines)", "1"),
+    "letterless_words": ("10 * size(filter(_words, w -> not w rlike '\\\\p{L}')) > 4 * n_words", "10 * n_words + 4 * word_chars"),
+    "overlong_words": ("exists(_words, w -> length(w) > 200)", "n_words + word_chars"),
 }
 
+#: What `signals` and `judge` add.
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
 
 def _let(name: str, value: str, body: str) -> str:
     """SQL: body with name bound to value, which is computed once (the optimizer may copy a column into its uses)."""
@@ -47,14 +54,14 @@ def _repeat_words(words: str, w: int) -> str:
 
 
 def signals(docs: DataFrame, text: str = "text", windows: int = 5) -> DataFrame:
-    """docs with _text, _words, _lines, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """_in (a row of docs) with _text, _words, _lines, and the signals.
 
     Words in repeated windows are counted without comparing windows pairwise: window hashes are sorted with their
     places, equal neighbours mark places, and the marked stretches are joined. That is n log n, and most texts stop at
     the check that all hashes differ.
     """
     return (
-        docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+        docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_in"), F.coalesce(docs[text], F.lit("")).alias("_text"))
         .withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
         .withColumn("_lines", F.expr(rf"filter(split(_text, '\n', -1), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
         .withColumn("n_words", F.size("_words").cast("long"))
@@ -66,35 +73,29 @@ def signals(docs: DataFrame, text: str = "text", windows: int = 5) -> DataFrame:
     )
 
 
-def rule_order(docs: DataFrame, text: str = "text", rules: dict[str, str] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejection per cost, measured on at most sample_rows rows."""
-    sample = signals(docs.select(F.col(text).alias("text")).limit(sample_rows)).where("not base_failed").cache()
-    try:
-        total = sample.count()
-        if not total:
-            return list(rules)
-        timed = {}
-        for name, sql in [("", "false"), *rules.items()]:
-            took = []
-            for _ in range(2):
-                began = time.perf_counter()
-                n = sample.agg(F.sum(F.expr(sql).cast("int"))).first()[0] or 0
-                took.append(time.perf_counter() - began)
-            timed[name] = (n / total, min(took))
-        base = timed.pop("")[1]
-    finally:
-        sample.unpersist()
-    score = {k: (share + 1 / total) / max(cost - base, 1e-3) for k, (share, cost) in timed.items()}
-    return sorted(rules, key=lambda k: (-score[k], k))
-
-
-def judge(docs: DataFrame, text: str = "text", rules: dict[str, str] = RULES, order: list[str] | None = None) -> DataFrame:
+def rule_order(docs: DataFrame, text: str = "text", rules: dict[str, tuple[str, str]] = RULES, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> list[str]:
+    """Rule names by rejection per cost, measured on at most sample_rows rows that pass the base rules or not."""
+    plain = [docs[f.name] for f in docs.schema if isinstance(f.dataType, (T.StringType, T.NumericType, T.DateType, T.TimestampType))]
+    drawn = docs.select(docs[text].alias("text"), F.xxhash64(F.lit(seed), *plain).alias("h")).orderBy("h").limit(sample_rows)
+    found = signals(drawn).where("not base_failed").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(F.expr(f"cast({sql} as int)")).alias(f"r_{k}") for k, (sql, _) in rules.items()],
+        *[F.sum(F.expr(f"cast({steps} as double)")).alias(f"c_{k}") for k, (_, steps) in rules.items()],
+    ).first().asDict()  # one row
+    if not found["n"]:
+        return sorted(rules)
+    gain = {k: (found[f"r_{k}"] + 1) / max(found[f"c_{k}"], 1.0) for k in rules}  # one more: rules that rejected none differ in cost
+    return sorted(rules, key=lambda k: (-gain[k], k))
+
+
+def judge(docs: DataFrame, text: str = "text", rules: dict[str, tuple[str, str]] = RULES, order: list[str] | None = None) -> DataFrame:
     """docs with the signals, base_failed and kept."""
     order = order or rule_order(docs, text, rules)
     verdict = F.when(F.col("base_failed"), F.lit(False))
     for name in order:
-        verdict = verdict.when(F.expr(rules[name]), F.lit(False))
-    return signals(docs, text).withColumn("kept", verdict.otherwise(F.lit(True)))
+        verdict = verdict.when(F.expr(rules[name][0]), F.lit(False))
+    own = [F.col("_in")[c].alias(c) for c in docs.columns if c not in (*SIGNALS, "kept")]
+    return signals(docs, text).select(*own, *SIGNALS, verdict.otherwise(F.lit(True)).alias("kept"))
 
 
 #: The base signals and the verdict in DuckDB SQL, for documents with distinct doc_id.

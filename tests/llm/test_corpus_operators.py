@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillstore.llm import chat_format, chroma, components, license_scan, mixing, packing, pii, quality_lm, rules, simhash, substring
 from quillstore.llm.queries import KEY, tokenizer_path
@@ -195,6 +196,22 @@ def test_rules(docs, rows, none):
     assert rules.judge(none).count() == 0
 
 
+def test_rule_order(spark):
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["x", "word", "other"]) + str(r.randrange(10**6)) for _ in range(40)) + (" ### ###" * 20 if i % 2 else "") for i in range(300)]
+    d = spark.createDataFrame([(i, t, "a", "b", i % 3 == 0) for i, t in enumerate(texts)], "doc_id long, text string, _text string, _words string, kept boolean")
+    same = "10 * n_symbols > 3 * n_words"
+    mine = {"a_costly": (same, "1000 * word_chars"), "b_cheap": (same, "1"), "c_never": ("false", "1"), "d_unlikely": ("n_words > 1000000", "50")}
+    order = rules.rule_order(d, rules=mine)
+    assert order == ["b_cheap", "c_never", "d_unlikely", "a_costly"]
+    assert order == rules.rule_order(d.repartition(7), rules=mine) == rules.rule_order(d.orderBy(F.rand(3)), rules=mine)
+    assert rules.rule_order(d) == rules.rule_order(d.repartition(5))
+    got = rules.judge(d)
+    assert got.columns == ["doc_id", "text", "_text", "_words", *rules.SIGNALS, "kept"]
+    assert {(x._text, x._words) for x in got.collect()} == {("a", "b")} and rules.rule_order(d.limit(0)) == sorted(rules.RULES)
+    assert all(x.kept == (x.doc_id % 2 == 0) for x in got.collect())
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 

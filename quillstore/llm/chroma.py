@@ -1,15 +1,18 @@
 """Chroma audio fingerprints: integral-image filters over pitch-class frames, packed integers, offset histograms.
 
 A recording becomes frames of 12 pitch-class energies. Over the image of frames, FILTERS compare sums of rectangles,
-read from an integral image; each gives two bits in Gray code, and the 16 of a place are one 32-bit integer. Two
-recordings are aligned where their integers agree: a join on the integer votes for offsets, and the best offset is
-verified by the share of differing bits over the overlap.
+read from an integral image; each gives two bits in Gray code, and the 16 of a place are one 32-bit integer. Recordings
+of one length are computed together. Two recordings are aligned where their integers agree in three of four bytes: a join
+on those votes for offsets, every offset with MIN_VOTES or more is verified by the share of differing bits over the
+overlap, and of those that pass the one with the least share is the pair's. A key that occurs very often is dealt to
+several tasks by its counted frequency.
 
 Recordings with equal fingerprints form one class, so a recording that was stored very often is matched once. Results
 are pairs of classes, and the membership of every recording. Integers within a class are distinct rows; nothing is cut.
 
 Null or short recordings (fewer than WIDTH frames) have no integers: they are members of the empty class and match
-nothing. Null ids are kept as members; a class's id is its smallest member. Empty input: no rows.
+nothing. Long recordings are one row each. Null ids are kept as members; a class's id is its smallest member. Offsets
+that tie: the longer overlap, then the one nearest to 0, then the smaller. Empty input: no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .util import written
 
 PITCHES, WIDTH = 12, 16
 MAX_BER, MIN_OVERLAP, MIN_VOTES = 0.1, 24, 2
+#: A key's members are dealt out in parts of 2000, or of this share of all members if that is more.
+OFTEN = 1 / 100_000
 QUANTISE = (-0.12, 0.0, 0.12)  # limits between a filter's four values
 
 
@@ -33,19 +38,22 @@ def filters() -> list[tuple[int, int, int, int]]:
     return [(i % 6, (5 * i) % 9, 3 + i % 2, (4, 8, 16, 6)[i % 4]) for i in range(16)]
 
 
-def _integral(image: np.ndarray) -> np.ndarray:
-    return np.pad(image.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+def _integral(images: np.ndarray) -> np.ndarray:
+    return np.pad(images.cumsum(axis=1).cumsum(axis=2), ((0, 0), (1, 0), (1, 0)))
 
 
 def codes(frames: np.ndarray) -> np.ndarray:
-    """The packed integers of frames (n, 12), one for each place with WIDTH frames after it."""
-    n = len(frames) - WIDTH + 1
+    """The packed integers of frames (n, 12) or of several recordings' (m, n, 12), one for each place with WIDTH frames after it."""
+    if frames.ndim == 2:
+        return codes(frames[None])[0]
+    n = frames.shape[1] - WIDTH + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
-    total, t, out = _integral(frames), np.arange(n), np.zeros(n, np.int64)
+        return np.zeros((len(frames), 0), np.int64)
+    total, out = _integral(frames), np.zeros((len(frames), n), np.int64)
 
     def area(y0, y1, x0, x1):
-        return total[t + x1, y1] - total[t + x0, y1] - total[t + x1, y0] + total[t + x0, y0]
+        late, early = total[:, x1 : x1 + n], total[:, x0 : x0 + n]
+        return late[:, :, y1] - early[:, :, y1] - late[:, :, y0] + early[:, :, y0]
 
     for kind, y, h, w in filters():
         y1, x1, ym, xm = y + h, w, y + h // 2, w // 2
@@ -86,11 +94,11 @@ def frames_of_pcm(samples: np.ndarray, rate: int = 11025, size: int = 4096, hop:
 
 
 def frames_of_vector(vector: np.ndarray) -> np.ndarray:
-    """Pitch-class frames of a vector read as a score: frame t holds the next 12 components' strengths, unit length."""
-    if len(vector) < PITCHES:
-        return np.zeros((0, PITCHES))
-    v = np.abs(np.lib.stride_tricks.sliding_window_view(np.nan_to_num(vector), PITCHES)).astype(float)
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    """Pitch-class frames of a vector (or of rows of vectors) read as a score: frame t holds the next 12 components' strengths, unit length."""
+    if vector.shape[-1] < PITCHES:
+        return np.zeros((*vector.shape[:-1], 0, PITCHES))
+    v = np.abs(np.lib.stride_tricks.sliding_window_view(np.nan_to_num(vector), PITCHES, axis=-1)).astype(float)
+    return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-9)
 
 
 def fingerprints(rows: DataFrame, *, rec_id: str, media: str, pcm: bool = False) -> DataFrame:
@@ -98,14 +106,17 @@ def fingerprints(rows: DataFrame, *, rec_id: str, media: str, pcm: bool = False)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for x in b.column(1):
-                if x.as_py() is None:
-                    out.append([])
-                elif pcm:
-                    out.append(codes(frames_of_pcm(np.frombuffer(x.as_py(), "<i2") / 32768)).tolist())
-                else:
-                    out.append(codes(frames_of_vector(np.array(x.as_py(), float))).tolist())
+            out, by_size = [[]] * b.num_rows, {}
+            for i, x in enumerate(b.column(1).to_pylist()):
+                if x is not None and pcm:
+                    out[i] = codes(frames_of_pcm(np.frombuffer(x, "<i2") / 32768)).tolist()
+                elif x is not None:
+                    by_size.setdefault(len(x), []).append((i, x))
+            for same in by_size.values():
+                for at in range(0, len(same), 100):
+                    some = same[at : at + 100]
+                    for (i, _), c in zip(some, codes(frames_of_vector(np.array([x for _, x in some], float))).tolist()):
+                        out[i] = c
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["rec_id", "codes"])
 
     kind = rows.schema[rec_id].dataType.simpleString()
@@ -114,7 +125,7 @@ def fingerprints(rows: DataFrame, *, rec_id: str, media: str, pcm: bool = False)
 
 def match(prints: DataFrame, is_query: str, *, max_ber=MAX_BER, min_overlap=MIN_OVERLAP, min_votes=MIN_VOTES) -> DataFrame:
     """Rows of two kinds. member: every recording (rec_id) with its class_id. match: a class that holds a query with
-    another class (other_id), their offset in frames, votes, overlap and share of differing bits (ber).
+    another class (other_id), their offset in frames, its votes, overlap and share of differing bits (ber).
 
     is_query: SQL on rec_id that is true for the recordings to search with.
     """
@@ -122,10 +133,22 @@ def match(prints: DataFrame, is_query: str, *, max_ber=MAX_BER, min_overlap=MIN_
     classes = prints.groupBy("key").agg(F.min("rec_id").alias("class_id"), F.max(F.expr(f"coalesce({is_query}, false)")).alias("asks"), F.count(F.lit(1)).alias("n"))
     reps = prints.join(classes.select(F.col("key").alias("_k"), "class_id", "asks"), F.expr("key = _k and rec_id = class_id")).dropDuplicates(["class_id"])
     reps = written(reps.select("class_id", "asks", "codes"), "chroma-classes")
-    at = lambda d, p: d.select(F.col("class_id").alias(f"{p}_id"), F.posexplode("codes").alias(f"{p}_at", "code"))
-    hits = at(reps.where("asks"), "q").join(at(reps, "m"), "code").where("q_id <> m_id")
-    votes = hits.groupBy("q_id", "m_id", F.expr("m_at - q_at").alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= min_votes)
-    best = votes.groupBy("q_id", "m_id").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("q_id", "m_id", "b.votes", "b.offset")
+    masks = [0xFFFFFF00, 0xFFFF00FF, 0xFF00FFFF, 0x00FFFFFF]
+    keys = F.array(*[F.col("code").bitwiseAND(F.lit(m)) + F.lit(k << 32) for k, m in enumerate(masks)])
+
+    def at(d: DataFrame, p: str) -> DataFrame:
+        places = d.select(F.col("class_id").alias(f"{p}_id"), F.posexplode("codes").alias(f"{p}_at", "code"))
+        return places.select(f"{p}_id", f"{p}_at", F.explode(keys).alias("key"))
+
+    n = reps.agg(F.sum(F.size("codes"))).first()[0] or 0
+    chunk = max(2000, int(4 * n * OFTEN))
+    hot = at(reps, "m").groupBy("key").count().where(F.col("count") > chunk)
+    hot = written(hot.select("key", F.ceil(F.col("count") / chunk).cast("int").alias("parts")), "chroma-hot")  # fewer than 1 / OFTEN rows
+    hot, parts = F.broadcast(hot), F.coalesce("parts", F.lit(1))
+    asked = at(reps.where("asks"), "q").join(hot, "key", "left").select("q_id", "q_at", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    held = at(reps, "m").join(hot, "key", "left").select("m_id", "m_at", "key", F.pmod(F.xxhash64("m_id", "m_at"), parts).cast("int").alias("part"))
+    hits = asked.join(held, ["key", "part"]).where("q_id <> m_id")
+    best = hits.groupBy("q_id", "m_id", F.expr("m_at - q_at").alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= min_votes)
     q = reps.select(F.col("class_id").alias("q_id"), F.col("codes").alias("q"))
     m = reps.select(F.col("class_id").alias("m_id"), F.col("codes").alias("m"))
     pairs = best.join(q, "q_id").join(m, "m_id")
@@ -133,6 +156,8 @@ def match(prints: DataFrame, is_query: str, *, max_ber=MAX_BER, min_overlap=MIN_
     pairs = pairs.withColumn("from", F.greatest(F.lit(0), -F.col("offset"))).withColumn("overlap", F.least(F.size("q"), F.size("m") - F.col("offset")) - F.col("from"))
     bits = F.expr("aggregate(zip_with(slice(q, `from` + 1, greatest(overlap, 0)), slice(m, `from` + offset + 1, greatest(overlap, 0)), (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)")
     pairs = pairs.withColumn("ber", bits / (32.0 * F.greatest(F.col("overlap"), F.lit(1)))).where((F.col("overlap") >= min_overlap) & (F.col("ber") <= max_ber))
+    rank = F.struct(-F.col("ber"), "overlap", -F.abs("offset"), -F.col("offset"))
+    pairs = pairs.groupBy("q_id", "m_id").agg(F.max_by(F.struct("offset", "votes", "overlap", "ber"), rank).alias("x")).select("q_id", "m_id", "x.*")
     found = pairs.select(
         F.lit("match").alias("kind"), F.lit(None).cast(prints.schema["rec_id"].dataType).alias("rec_id"), F.col("q_id").alias("class_id"), F.col("m_id").alias("other_id"),
         F.col("offset").cast("long"), "votes", F.col("overlap").cast("long"), "ber",

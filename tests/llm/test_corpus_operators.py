@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips or planted cases, with nulls, ties, repeats and empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -341,28 +342,78 @@ def test_pseudonyms(spark, none):
     assert pii.pseudonymise(none, KEY).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    r = np.random.default_rng(0)
-    c = r.poisson(0.02, quality_lm.SYMBOLS**quality_lm.ORDER)
-    p = quality_lm.kneser_ney(c)
-    assert np.allclose(p.sum(axis=-1), 1) and p.min() > 0
+def brute_kneser_ney(events, sizes):
+    """p(context, x) of an interpolated modified Kneser-Ney model of (context tuple, x) events, by dictionaries."""
+    orders = [Counter(events)]
+    while orders[-1] and len(next(iter(orders[-1]))[0]):
+        orders.append(Counter((c[1:], x) for c, x in orders[-1]))
+    off = []
+    for o in orders:
+        n = [max(1, sum(v == k for v in o.values())) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        off.append([0.0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k - 0.1) for k in (1, 2, 3))])
+    table = [defaultdict(dict) for _ in orders]
+    for o, by in zip(orders, table):
+        for (c, x), n in o.items():
+            by[c][x] = n
+
+    def p(context, x, level=0):
+        if level == len(orders):
+            return 1 / sizes
+        lower = p(context[1:], x, level + 1)
+        own = table[level].get(context)
+        if not own:
+            return lower
+        total, d = sum(own.values()), off[level]
+        return (own.get(x, 0) - d[min(own.get(x, 0), 3)]) / total + sum(d[min(n, 3)] for n in own.values()) / total * lower
+
+    return p
+
+
+def test_log_probabilities_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(quality_lm, "BLOCK_WORDS", 300)
+    r = random.Random(6)
+    text = lambda n: " ".join(r.choice(["The", "river", "runs", "over", "stone,", "and", "é", "9z"]) if r.random() < 0.8 else "".join(r.choice("abcdé7#") for _ in range(r.randrange(1, 20))) for _ in range(n))
+    trusted, others = [text(r.randrange(1, 90)) for _ in range(60)] + ["", None], [text(r.randrange(1, 60)) for _ in range(25)] + [None, "", "new words", text(2000)]
+    model = quality_lm.train(spark.createDataFrame([(t,) for t in trusted], "text string").repartition(3))
+    low = lambda t: [w.lower() if w.isascii() else w for w in (t or "").split()]
+    counts = Counter(w for t in trusted for w in low(t))
+    token = lambda w: w if counts[w] > 1 else quality_lm.shape(w.encode())
+    word = brute_kneser_ney([((a,), b) for t in trusted for a, b in zip(["<s>", *map(token, low(t))], map(token, low(t)))], 65536)
+    letter = lambda b: quality_lm._LETTER[b]
+    spell = lambda w: [((x, y), z) for s in [[0, 0, *(int(letter(b)) for b in w.encode()), 0]] for x, y, z in zip(s, s[1:], s[2:])]
+    letters = brute_kneser_ney([e for w, n in counts.items() if n == 1 for e in spell(w)], 38)
+
+    def log_prob(t):
+        words, out = low(t), 0.0
+        for a, b in zip(["<s>", *map(token, words)], words):
+            out += math.log(word((a,), token(b))) + (sum(math.log(letters(c, x)) for c, x in spell(b)) if counts[b] < 2 else 0.0)
+        return out
+
+    docs = spark.createDataFrame([(i, t, "en", 1) for i, t in enumerate(trusted + others)], "doc_id long, text string, lang string, block int").repartition(4)
+    got = {x.doc_id: (x.n_words, x.log_prob) for x in quality_lm.score(docs, *model).collect()}
+    assert len(got) == len(trusted + others)
+    for i, t in enumerate(trusted + others):
+        assert got[i][0] == len(low(t)) and abs(got[i][1] - log_prob(t)) < 1e-4 * (1 + abs(got[i][1])), (i, t, got[i], log_prob(t))
 
 
 def test_classifier(spark, none):
     r = random.Random(3)
     good = lambda: " ".join(r.choice(["the", "river", "runs", "over", "stone", "and", "light", "falls"]) for _ in range(60)) + "."
-    bad = lambda: "".join(r.choice("|#$%&*<>@0123456789QZXJ") for _ in range(300))
+    bad = lambda: " ".join("".join(r.choice("|#$%&*<>@0123456789QZXJ") for _ in range(9)) for _ in range(30))
     data = [(i, good() if i % 4 else bad(), "en") for i in range(400)] + [(900, None, "en"), (901, "", None), (902, good(), None), (None, good(), "xx")]
-    d = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    data.append((903, " ".join(good() for _ in range(800)), "en"))
+    d = spark.createDataFrame([(*x, 0, "t", "w") for x in data], "doc_id long, text string, lang string, n_words int, _held string, _trusted string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(200) if i % 4] + [(1, 1, 0), (None, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality_lm.classify(d, labels).collect()
     assert len(got) == len(data)
     held_out = [x for x in got if x.doc_id is not None and 200 <= x.doc_id < 400]
     assert all(x.accepted == bool(x.doc_id % 4) for x in held_out)
     by = {x.doc_id: x for x in got}
-    assert by[900].perplexity is None and not by[900].accepted and not by[901].accepted and by[902].accepted and by[None].accepted
-    assert quality_lm.keep_good(d, labels).count() == sum(x.accepted for x in got)
-    assert all(x.accepted == (x.n_symbols > 0) for x in quality_lm.classify(d, labels.limit(0)).collect())
+    assert by[900].perplexity is None and not by[900].accepted and not by[901].accepted and by[902].accepted and by[903].accepted and by[None].accepted
+    kept = quality_lm.keep_good(d, labels)
+    assert kept.columns == d.columns and kept.count() == sum(x.accepted for x in got)
+    assert all(x.accepted == (x.n_words > 0) for x in quality_lm.classify(d, labels.limit(0)).collect())
     assert quality_lm.classify(none, labels).count() == 0
 
 

@@ -12,8 +12,8 @@ by content alone, so equal windows lie in cells with equal cores. That decides m
   - the rest, at the ends of repeated stretches, is sorted: one suffix for each kind of extent, which begins at its core.
     Sampled splitters deal these by their leading bytes to range partitions of about BUCKET suffixes, whatever is equal;
     each is sorted by multikey quicksort, and suffixes of one core, now neighbours, are compared window by window. The
-    first and the last core of a partition may go on beyond its boundary: their windows, one of each kind, are
-    compared once more across the partitions.
+    first and the last core of a partition may go on beyond its boundary: their windows, one of each kind, are dealt
+    in slices, as many as the core's size asks for, and compared once more across the partitions.
 
 A suffix is its core's LEAD leading bytes, a digest of the whole core in place of the others, and the bytes after it.
 So nothing grows with the square of a group of copies, and no group has to fit in a task. Equality is that of 64-bit
@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 
 from .util import written
 
-LENGTH, GRAM, CELL, LEAD, BUCKET = 400, 32, 128, 16, 50_000
+LENGTH, GRAM, CELL, LEAD, BUCKET, SLICE = 400, 32, 128, 16, 50_000, 1000
 #: Bits of the filter that spares unrepeated cells the second pass: 16 to 32 for each repeated core, 4 MB at least and
 #: 32 MB at most; false hits only cost time.
 FILTER_BITS = (1 << 25, 1 << 28)
-#: An extent is looked up by broadcast if more than this share of all cells, and over 1000, are its occurrences.
+#: An extent (or a core) is looked up by broadcast if it has over 1000 rows, and more than this share of them.
 OFTEN = 1 / 500_000
 BLOCK = 1 << 20  # bytes hashed at a time
 
@@ -140,23 +140,26 @@ def _windows(left: bytes, right: bytes, first: int, last: int, at: int) -> list[
     return [int.from_bytes(digest(left[i:] + b"|" + right[: room + i], seed=shift - i), "big", signed=True) for i in range(last - first + 1)]
 
 
-def _compare(group: list[dict], open_: bool) -> tuple[list[tuple], list[tuple]]:
+def _compare(group: list[dict], open_: bool, per_slice: int) -> tuple[list[tuple], list[tuple]]:
     """Of the suffixes of one core: (row_key, first, last) of repeated starts, and, if the group may go on elsewhere,
-    (core, window, row_key, start, asks): one row for each kind of window, which asks if it is not decided here."""
+    (core, slice, windows, row_keys, starts, asks): one of each kind of window, which asks if it is not decided here."""
     keys = [_windows(r["left"], r["right"], r["first"], r["last"], r["at"]) for r in group]
     count: dict[int, int] = {}
     for ks in keys:
         for k in ks:
             count[k] = count.get(k, 0) + 1
     runs = [(r["row_key"], *run) for r, ks in zip(group, keys) if r["asks"] for run in _runs(r["first"], [count[k] > 1 for k in ks])]
-    kinds = {}
+    kinds: dict[int, tuple] = {}
     for r, ks in zip(group, keys) if open_ else ():
         for i, k in enumerate(ks):
-            kinds[k] = (r["core"], k, r["row_key"], r["first"] + i, r["asks"] and count[k] == 1)
-    return runs, list(kinds.values())
+            kinds[k] = (k, r["row_key"], r["first"] + i, r["asks"] and count[k] == 1)
+    slices: dict[int, list[tuple]] = {}
+    for k, kind in kinds.items():
+        slices.setdefault(k % -(-group[0]["kinds"] // per_slice), []).append(kind)
+    return runs, [(group[0]["core"], k, *zip(*some)) for k, some in slices.items()]
 
 
-def _sorted_bucket(rows: pa.Table) -> tuple[list[tuple], list[tuple]]:
+def _sorted_bucket(rows: pa.Table, per_slice: int = SLICE) -> tuple[list[tuple], list[tuple]]:
     """What _compare finds in one range partition, after sorting it."""
     got = rows.to_pylist()
     order = multikey_quicksort(_characters([r["lead"] + (r["core"] + 2**63).to_bytes(8, "big") + r["right"] for r in got]))
@@ -169,7 +172,7 @@ def _sorted_bucket(rows: pa.Table) -> tuple[list[tuple], list[tuple]]:
     for n, group in enumerate(groups):
         edge = n in (0, len(groups) - 1)
         if edge or len(group) > 1:
-            more, kinds = _compare(group, edge)
+            more, kinds = _compare(group, edge, per_slice)
             runs += more
             windows += kinds
     return runs, windows
@@ -220,36 +223,65 @@ def repeated_starts(docs: DataFrame, length: int, gram: int, cell: int, bucket:
     found = written(found, "substring-cells")
     # how often each core and each extent occurs; false hits of the filter go here
     extents = found.groupBy("core", "extent").agg(F.count(F.lit(1)).alias("same"), F.min(F.struct("row_key", "first")).alias("one"))
+    extents = written(extents, "substring-extents")
     totals = extents.groupBy("core").agg(F.sum("same").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1")
-    sums = written(extents.join(totals, "core"), "substring-sums")
-    often = max(1000, int(found.count() * OFTEN))
-    hot = F.broadcast(sums.where(F.col("same") > often).select("core", "extent"))  # fewer than 1 / OFTEN rows
-    places, key = found.select("core", "extent", "row_key", "first", "last"), ["core", "extent"]
-    rest = places.join(hot, key, "left_anti").join(sums.where((F.col("same") > 1) & (F.col("same") <= often)).select(*key), key, "left_semi")
-    whole = rest.unionByName(places.join(hot, key, "left_semi")).select("row_key", "first", "last")
+    sums = written(_looked_up(extents, totals, ["core"], "kinds", extents.count()), "substring-sums")
+    places = found.select("core", "extent", "row_key", "first", "last")
+    whole = _looked_up(places, sums.where("same > 1").select("core", "extent", "same"), ["core", "extent"], "same", found.count()).select("row_key", "first", "last")
     # one row of each kind of extent goes on; more than one of a kind means repeated by itself, and one serves others
-    mixed = sums.where("kinds > 1").select("core", "extent", "one.row_key", "one.first", F.expr("same = 1").alias("asks"))
+    mixed = sums.where("kinds > 1").select("core", "extent", "one.row_key", "one.first", "kinds", F.expr("same = 1").alias("asks"))
     rows = found.join(mixed, ["core", "extent", "row_key", "first"]).dropDuplicates(["core", "extent"])  # so a hot extent is one row here
-    rows = written(rows.select("core", "extent", "row_key", "first", "last", "at", "lead", "left", "right", "asks"), "substring-open")
+    rows = written(rows.select("core", "extent", "row_key", "first", "last", "at", "lead", "left", "right", "kinds", "asks"), "substring-open")
+
+    per_slice = SLICE
+    edges = "core long, slice long, windows array<long>, row_keys array<binary>, starts array<long>, asks array<boolean>"
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
-        runs, windows = _sorted_bucket(pa.Table.from_batches(held)) if held else ([], [])
-        for c in (list(zip(*x)) for x in (runs, windows) if x):
-            n, none = len(c[0]), [None] * len(c[0])
-            c = [none, none, *c, none] if len(c) == 3 else [c[0], c[1], c[2], c[3], none, c[4]]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], ["core", "window", "row_key", "first", "last", "asks"])
-
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // bucket))
+        runs, windows = _sorted_bucket(pa.Table.from_batches(held), per_slice) if held else ([], [])
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.int64(), pa.int64()]
+        rows = [(*[None] * 6, *x) for x in runs] + [(*x, None, None, None) for x in windows]
+        for at in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[at : at + 1000]), kinds)], ["core", "slice", "windows", "row_keys", "starts", "asks", "row_key", "first", "last"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices in order: windows of one core that are in two partitions repeat."""
+        now, parts = None, []
+
+        def out():
+            count: dict[int, int] = {}
+            for r in parts if len(parts) > 1 else ():
+                for k in r["windows"]:
+                    count[k] = count.get(k, 0) + 1
+            hits = [(key, start, start) for r in parts if len(parts) > 1 for k, key, start, asks in zip(r["windows"], r["row_keys"], r["starts"], r["asks"]) if asks and count[k] > 1]
+            c = list(zip(*hits)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, (pa.binary(), pa.int64(), pa.int64()))], ["row_key", "first", "last"])
+
+        for b in batches:
+            for r in b.to_pylist():
+                if (r["core"], r["slice"]) != now:
+                    yield out()
+                    now, parts = (r["core"], r["slice"]), []
+                parts.append(r)
+        yield out()
+
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(shuffles, -(-rows.count() // bucket))
     dealt = rows.repartitionByRange(n, "lead", "core", "right", "extent")
-    got = written(dealt.mapInArrow(bucketed, "core long, window long, row_key binary, first long, last long, asks boolean"), "substring-runs")
-    edge = got.where("core is not null")
-    beyond = edge.groupBy("core", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "window")
-    edge = edge.where("asks").join(beyond, ["core", "window"], "left_semi").select("row_key", "first", F.col("first").alias("last"))
+    got = written(dealt.mapInArrow(bucketed, f"{edges}, row_key binary, first long, last long"), "substring-runs")
+    edge = got.where("core is not null").select("core", "slice", "windows", "row_keys", "starts", "asks")
+    edge = edge.repartition(shuffles, "core", "slice").sortWithinPartitions("core", "slice").mapInArrow(across, "row_key binary, first long, last long")
     return whole.unionByName(got.where("core is null").select("row_key", "first", "last")).unionByName(edge)
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: list[str], size: str, n: int) -> DataFrame:
+    """rows joined with table on key. size: how many of the n rows have that key; where they are many, it is broadcast."""
+    often = max(1000, int(n * OFTEN))
+    hot = F.broadcast(table.where(F.col(size) > often))  # fewer than 1 / OFTEN rows, as sizes add up to n at most
+    rest = rows.join(hot.select(*key), key, "left_anti").join(table.where(F.col(size) <= often), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def _runs(first: int, flags: list[bool]) -> list[tuple[int, int]]:
     """(first, last) of the stretches that are true."""
     out = []

@@ -452,6 +452,7 @@ def test_multikey_quicksort():
 
 def test_often_repeated_extents(spark, monkeypatch):
     monkeypatch.setattr(substring, "OFTEN", 1e-9)
+    monkeypatch.setattr(substring, "SLICE", 5)
     r = random.Random(1)
     passage = words(100, 4, 9000)
     texts = [passage] * 1300 + [f"{words(r.randrange(9), i, 50)} {passage} {words(r.randrange(9), -i, 50)}" for i in range(120)]

@@ -523,6 +523,39 @@ def test_licenses(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    mit = """The MIT License (MIT)\n\nCopyright (c) 2020 A. Author\n
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+   disclaimer in the documentation and/or other materials provided with the distribution."""
+    third = """\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+    lgpl = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version."""
+    texts = {
+        "MIT": mit, "MIT ": " ".join(mit.split()), "BSD-2-Clause": bsd, "BSD-3-Clause": bsd + third, "LGPL-2.1-or-later": lgpl, "MPL-2.0": "// SPDX-License-Identifier: MPL-2.0",
+        "GPL-3.0-or-later": "# SPDX-License-Identifier: GPL-3.0-or-later\nprint()", "MIT,Apache-2.0": "SPDX-License-Identifier: MIT\nspdx-license-identifier: Apache-2.0",
+        "MPL-2.0 ": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://x",
+        "": "a licence to read, submitted with permission", "MIT  ": "x " * 300_000 + "released under the MIT license. " + "y " * 100_000,
+    }
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate([*texts.values(), mit])], "doc_id long, text string, sentence_ids string, _wide string")
+    got = {r.doc_id: r.licenses for r in license_scan.scan(d).collect()}
+    assert [got[i] for i in range(len(got))] == [k.strip() for k in texts] + ["MIT"]
+
+
 def test_chats(spark):
     def conv(c, *texts):
         return [(c, i, "user" if i % 2 == 0 else "assistant", t, 0) for i, t in enumerate(texts)]

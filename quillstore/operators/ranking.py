@@ -116,16 +116,50 @@ def neighbour_boost(scores: DataFrame, edges: DataFrame, boost: float = sc.NEIGH
     return scores.join(folded.select("query_id", "n", added.alias("added")), ["query_id", "n"], "left").withColumn("boosted", F.col("score") + F.coalesce("added", F.lit(0.0)))
 
 
+def _within(ranked: DataFrame, most, *by: str) -> DataFrame:
+    """ranked without rows that no fill can take: a gap only shrinks, so of rows of one size the first `most` tokens' worth count."""
+    w = Window.partitionBy("query_id", *by, "tokens").orderBy("rank")
+    return ranked.where("tokens > 0").withColumn("_k", F.row_number().over(w)).where(F.col("_k") * F.col("tokens") <= most).drop("_k")
+
+
 def greedy_fill(ranked: DataFrame, budget: int) -> DataFrame:
-    """(query_id, n): rows of (query_id, rank, n, tokens) that fit a token budget, in rank order; rows too large are skipped."""
-    rows = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "n", "tokens"))).alias("r"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
-    fits = lambda a, x: a["used"] + x["tokens"] <= budget
-    fold = F.aggregate(
-        "r", zero,
-        lambda a, x: F.when(fits(a, x), F.struct((a["used"] + x["tokens"]).cast("long").alias("used"), F.concat(a["kept"], F.array(x["n"])).alias("kept"))).otherwise(a),
-    )
-    return rows.select("query_id", F.explode(fold["kept"]).alias("n"))
+    """(query_id, n): rows of (query_id, rank, n, tokens) that fit a token budget, in rank order; rows too large are skipped.
+
+    Rows without tokens always fit. Of the others some budget * ln(budget) at most can matter, whatever the ranking's length.
+    """
+    return reserved_fill(ranked.withColumn("type", F.lit("")), budget, {}).select("query_id", "n")
+
+
+def reserved_fill(ranked: DataFrame, budget: int, reservations: dict[str, int] = sc.RESERVATIONS, share: float = 0.3) -> DataFrame:
+    """(query_id, n, own): rows of (query_id, rank, n, type, tokens) within a budget of which types have quotas.
+
+    Quotas are scaled to `share` of the budget. First each type fills its quota in rank order, then all other rows the
+    rest; rows too large are skipped. own: the row is in its type's quota.
+    """
+    raw = sum(reservations.values())
+    scale = min(1.0, int(budget * share) / raw) if raw else 1.0
+    quotas = {k: int(v * scale) for k, v in reservations.items() if int(v * scale) > 0}
+    free = ranked.where("tokens = 0").select("query_id", "n", F.col("type").isin(*quotas).alias("own") if quotas else F.lit(False).alias("own"))
+    rows = _within(ranked, budget + max(quotas.values(), default=0), "type").withColumn("_quota", F.lit(0))
+    for name, quota in quotas.items():
+        rows = rows.withColumn("_quota", F.when(F.col("type") == name, quota).otherwise(F.col("_quota")))
+
+    def fold(items, limit):
+        """(used, kept, left) of items in rank order."""
+        none = F.array().cast("array<struct<rank:bigint,n:bigint,tokens:bigint>>")
+        zero = F.struct(F.lit(0).cast("long").alias("used"), none.alias("kept"), none.alias("left"))
+        put = lambda a, x: F.struct((a["used"] + x["tokens"]).alias("used"), F.concat(a["kept"], F.array(x)).alias("kept"), a["left"].alias("left"))
+        skip = lambda a, x: F.struct(a["used"].alias("used"), a["kept"].alias("kept"), F.concat(a["left"], F.array(x)).alias("left"))
+        return F.aggregate(items, zero, lambda a, x: F.when(a["used"] + x["tokens"] <= limit, put(a, x)).otherwise(skip(a, x)))
+
+    item = F.struct(F.col("rank").cast("long").alias("rank"), F.col("n").cast("long").alias("n"), F.col("tokens").cast("long").alias("tokens"))
+    first = rows.groupBy("query_id", F.when(F.col("_quota") > 0, F.col("type")).alias("type"), "_quota").agg(F.array_sort(F.collect_list(item)).alias("r"))
+    first = first.withColumn("f", fold(F.col("r"), F.col("_quota").cast("long")))
+    second = first.groupBy("query_id").agg(F.sum("f.used").alias("own"), F.flatten(F.collect_list("f.kept")).alias("kept"), F.array_sort(F.flatten(F.collect_list("f.left"))).alias("left"))
+    second = second.withColumn("f", fold(F.col("left"), F.lit(budget).cast("long") - F.col("own")))
+    mark = lambda items, own: F.transform(items, lambda x: F.struct(x["n"].alias("n"), F.lit(own).alias("own")))
+    taken = second.select("query_id", F.explode(F.concat(mark("kept", True), mark(F.col("f")["kept"], False))).alias("x")).select("query_id", "x.n", "x.own")
+    return taken.unionByName(free)
 
 
 def mmr(ranked: DataFrame, lam: float = sc.MMR_LAMBDA) -> DataFrame:
@@ -141,7 +175,7 @@ def mmr(ranked: DataFrame, lam: float = sc.MMR_LAMBDA) -> DataFrame:
     def each(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "n"], ascending=[False, True]).reset_index(drop=True)
         low, high = rows.score.min(), rows.score.max()
-        rel = [(s - low) / (high - low) if high > low else 1.0 for s in rows.score]
+        rel = [(s - low) / (high - low) if high > low else 0.0 for s in rows.score]
         size = np.array([len(g) for g in rows.grams])
         ends = np.cumsum(size)
         _, gram = np.unique(np.concatenate(rows.grams.to_list()), return_inverse=True)

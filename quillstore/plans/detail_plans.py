@@ -104,19 +104,12 @@ def x13(spark, sf):
     return tb.table(spark, sf, "events").select("event_id", F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
 
 
-@query("X17_sanitised_query", ATOMS, sql="SELECT n, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(left(body, 200), '[\"''*(){}:^~.,;!?\\[\\]/-]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '' AND x NOT IN ('AND', 'OR', 'NOT', 'NEAR')), ' OR ') AS q FROM atoms")
+@query("X17_sanitised_query", ATOMS, sql="SELECT n, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(body, '[\"''*(){}:^~.,;!?\\[\\]/-]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '' AND x NOT IN ('AND', 'OR', 'NOT', 'NEAR')), ' OR ') AS q FROM atoms")
 def x17(spark, sf):
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.substring("body", 1, 200), "[\"'*(){}:^~.,;!?\\[\\]/-]", " "), "\\s+", " "))
+    clean = F.trim(F.regexp_replace(F.regexp_replace("body", "[\"'*(){}:^~.,;!?\\[\\]/-]", " "), "\\s+", " "))
     return tb.atoms(spark, sf).select("n", F.array_join(F.filter(F.split(clean, " "), lambda x: ~x.isin("", "AND", "OR", "NOT", "NEAR")), " OR ").alias("q"))
 
 
-@query("X20_relation_type", ATOMS, sql="SELECT n, CASE WHEN regexp_matches(lower(left(body, 200)), 'extend|build') THEN 'extends' WHEN regexp_matches(lower(left(body, 200)), 'contra|not') THEN 'contradicts' WHEN regexp_matches(lower(left(body, 200)), 'support|evid') THEN 'supports' ELSE 'related' END AS rel FROM atoms")
-def x20(spark, sf):
-    near = F.lower(F.substring("body", 1, 200))
-    rel = F.when(near.rlike("extend|build"), "extends").when(near.rlike("contra|not"), "contradicts").when(near.rlike("support|evid"), "supports").otherwise("related")
-    return tb.atoms(spark, sf).select("n", rel.alias("rel"))
-
-
 @query("X27_id_match", ATOMS, sql="SELECT n FROM atoms WHERE atom_id = 'FACT-2024' OR starts_with(atom_id, 'FACT-2024' || '-') OR starts_with('FACT-2024', atom_id || '-')")
 def x27(spark, sf):
     e, i = F.lit("FACT-2024"), F.col("atom_id")
@@ -134,11 +127,11 @@ def x32(spark, sf):
     return tb.atoms(spark, sf).select("n", F.md5(F.concat_ws("\n", F.concat(F.lit("["), "type", F.lit("]")), F.array_join("tags", ", "), "body")).alias("h"))
 
 
-@query("X33_model_output", sql="SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) * 2 AS k FROM events WHERE event_id % 10 = 0")
+@query("X33_model_output", sql="SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) * 2 AS k FROM events")
 def x33(spark, sf):
     raw = F.concat(F.lit("```json\n[{\"k\": "), F.get_json_object("props", "$.k"), F.lit("}, {\"k\": "), F.get_json_object("props", "$.k"), F.lit("}]\n```"))
     parsed = F.from_json(F.regexp_extract(raw, "(?s)(\\[.*\\])", 1), "array<struct<k: bigint>>")
-    return tb.table(spark, sf, "events").where("event_id % 10 = 0").select("event_id", F.aggregate(parsed, F.lit(0).cast("long"), lambda a, x: a + x["k"]).alias("k"))
+    return tb.table(spark, sf, "events").select("event_id", F.aggregate(parsed, F.lit(0).cast("long"), lambda a, x: a + x["k"]).alias("k"))
 
 
 @query("X34_versions", ATOMS, sql="SELECT n, list_transform(string_split('1.' || n || '.3', '.'), lambda x: x::INT) > [1, 50, 2] AS newer FROM atoms")
@@ -147,18 +140,25 @@ def x34(spark, sf):
     return tb.atoms(spark, sf).select("n", (v > F.array(F.lit(1), F.lit(50), F.lit(2))).alias("newer"))
 
 
-def _quota(kind, n):
-    return f"SELECT query_id, n, type, rank, tokens, sum(CASE WHEN type = '{kind}' THEN tokens ELSE 0 END) OVER (PARTITION BY query_id, type ORDER BY rank) <= {n} AND type = '{kind}' AS own FROM ranked"
+PASS1 = """, quota(type, quota) AS (VALUES ('decision', 600), ('constraint', 300), ('conflict', 300)),
+mine AS (SELECT r.*, quota, row_number() OVER (PARTITION BY query_id, r.type ORDER BY rank) AS k FROM ranked r JOIN quota USING (type)),
+one(query_id, type, k, n, used, taken) AS (
+  SELECT DISTINCT query_id, type, 0::BIGINT, NULL::BIGINT, 0::BIGINT, false FROM mine UNION ALL
+  SELECT o.query_id, o.type, m.k, m.n, CASE WHEN o.used + m.tokens <= m.quota THEN o.used + m.tokens ELSE o.used END, o.used + m.tokens <= m.quota
+  FROM one o JOIN mine m ON m.query_id = o.query_id AND m.type = o.type AND m.k = o.k + 1),
+own AS (SELECT query_id, n FROM one WHERE taken),
+gap AS (SELECT q.query_id, 4000 - coalesce(sum(tokens) FILTER (o.n IS NOT NULL), 0)::BIGINT AS gap FROM ranked q LEFT JOIN own o USING (query_id, n) GROUP BY q.query_id),
+rest AS (SELECT r.query_id, r.n, r.tokens, row_number() OVER (PARTITION BY r.query_id ORDER BY rank) AS k FROM ranked r ANTI JOIN own o USING (query_id, n)),
+two(query_id, k, n, gap, taken) AS (
+  SELECT query_id, 0::BIGINT, NULL::BIGINT, gap, false FROM gap UNION ALL
+  SELECT t.query_id, r.k, r.n, CASE WHEN r.tokens <= t.gap THEN t.gap - r.tokens ELSE t.gap END, r.tokens <= t.gap FROM two t JOIN rest r ON r.query_id = t.query_id AND r.k = t.k + 1)
+SELECT query_id, n, true AS own FROM own UNION ALL SELECT query_id, n, false FROM two WHERE taken"""
 
 
-@query("R13_reservations", *CHAIN, EDGES, SCORES, BOOST, RANKED, f"q AS ({_quota('decision', 600)})", sql="SELECT query_id, n, own FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id, own ORDER BY rank) AS used FROM q) WHERE own OR used <= 3400")
+@query("R13_reservations", sql=_recursive((*CHAIN, EDGES, SCORES, BOOST, RANKED), PASS1))
 def r13(spark, sf):
-    """Decisions have a quota of their own in rank order; the others share what is left, up to the first that overflows."""
-    r = ranked_of(spark, sf).select("query_id", "n", "type", "rank", "tokens")
-    by_type = Window.partitionBy("query_id", "type").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("own", (F.col("type") == "decision") & (F.sum("tokens").over(by_type) <= 600))
-    rest = Window.partitionBy("query_id", "own").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return r.withColumn("used", F.sum("tokens").over(rest)).where("own or used <= 3400").select("query_id", "n", "own")
+    """Each reserved type fills its quota in rank order, then the others what is left; rows too large are skipped."""
+    return rk.reserved_fill(ranked_of(spark, sf).select("query_id", "n", "type", "rank", "tokens"), 4000)
 
 
 @query("R17_episode_scores", EPISODES, sql="SELECT episode, round((len(list_intersect(list_distinct(regexp_extract_all(lower(summary), '[\\p{L}\\p{N}]+')), ['the', 'thea', 'erin'])) / 3.0) * 0.8 + pow(0.5, greatest(366 - hours / 24.0, 0) / 30) * 0.2, 6) AS score FROM (SELECT * FROM episodes ORDER BY hours DESC LIMIT 20)")
@@ -168,11 +168,16 @@ def r17(spark, sf):
     return e.select("episode", F.round(found * 0.8 + F.pow(F.lit(0.5), F.greatest(366 - F.col("hours") / 24.0, F.lit(0)) / 30) * 0.2, 6).alias("score"))
 
 
-@query("R16_recency_budget", ATOMS, VIS, CAND, sql="SELECT n FROM (SELECT n, sum(ceil(length(body) / 4)) OVER (ORDER BY created_at DESC, n) AS used FROM cand WHERE type = 'decision') WHERE used <= 4000")
+@query("R16_recency_recall")
 def r16(spark, sf):
-    a = fl.candidates(tb.atoms(spark, sf), types=("decision",)).orderBy(F.desc("created_at"), "n").limit(4000)  # each takes a token at least
-    w = Window.orderBy(F.desc("created_at"), "n").rowsBetween(Window.unboundedPreceding, 0)
-    return a.withColumn("used", F.sum(F.ceil(F.length("body") / 4)).over(w)).where("used <= 4000").select("n")
+    """Recall without a task: by status and creation, then by diversity, then the budget with reservations by last update."""
+    a = fl.candidates(tb.atoms(spark, sf))
+    w = Window.orderBy(fl.priority(), F.desc("created_at"), "n")  # one store's order, of narrow rows
+    scored = a.select(F.lit("all").alias("query_id"), "n", (-F.row_number().over(w)).cast("double").alias("score"))
+    rows = scored.join(a.select("n", _grams().alias("words")), "n")
+    order = rk.mmr(rows.select("query_id", "n", "score", "words")).join(a.select("n", "type", "updated_at", F.ceil(F.length("body") / 4).alias("tokens")), "n")
+    last = Window.partitionBy("query_id").orderBy(F.desc("updated_at"), "position")
+    return rk.reserved_fill(order.withColumn("rank", F.row_number().over(last)), 4000)
 
 
 @query("R19_isolated_recall", *CHAIN, SCORES, sql="SELECT query_id, n FROM (SELECT query_id, n, sum(ceil(length(body) / 4)) OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, n) AS used FROM scores WHERE n % 3 = 0 OR n % 2 = 0) WHERE used <= 16000")
@@ -184,13 +189,6 @@ def r19(spark, sf):
     return both.withColumn("used", F.sum(F.ceil(F.length("body") / 4)).over(w)).where("used <= 16000").select("query_id", "n")
 
 
-@query("L17_relation_backfill", EDGES, sql="SELECT DISTINCT src, tgt FROM (SELECT src, tgt FROM edges WHERE rel = 'related' UNION ALL SELECT tgt, src FROM edges WHERE src % 3 = 0) EXCEPT SELECT src, tgt FROM edges WHERE rel = 'extends'")
-def l17(spark, sf):
-    e = tb.edges(spark, sf)
-    found = e.where("rel = 'related'").select("src", "tgt").union(e.where("src % 3 = 0").select("tgt", "src")).distinct()
-    return found.join(e.where("rel = 'extends'").select("src", "tgt"), ["src", "tgt"], "left_anti")
-
-
 @query("L14_extraction", ATOMS, sql="SELECT type, slug, count(*) AS candidates, max(conf) AS confidence FROM (SELECT type, string_split(atom_id, '-')[6] AS slug, confidence AS conf FROM atoms WHERE status = 'draft' AND type IN ('fact', 'decision', 'belief')) GROUP BY type, slug")
 def l14(spark, sf):
     a = tb.atoms(spark, sf).where("status = 'draft' and type in ('fact', 'decision', 'belief')")
@@ -232,21 +230,14 @@ def h11(spark, sf):
     return e.where(F.size(F.array_except("rels", section)) > 0).select("src")
 
 
-@query("H12_prose_references", EDGES, sql="SELECT DISTINCT tgt AS n, src AS other FROM edges WHERE src % 2 = 0 AND NOT EXISTS (SELECT 1 FROM edges f WHERE f.src = edges.tgt AND f.tgt = edges.src)")
-def h12(spark, sf):
-    e = tb.edges(spark, sf)
-    mention = e.where("src % 2 = 0").select(F.col("tgt").alias("n"), F.col("src").alias("other")).distinct()
-    return mention.join(e.select(F.col("src").alias("n"), F.col("tgt").alias("other")), ["n", "other"], "left_anti")
-
-
 @query("H13_freshness", LOG, sql="SELECT session_id, count(*) AS events, max(event_id) < 500 AS stale FROM log GROUP BY session_id")
 def h13(spark, sf):
     return tb.log(spark, sf).groupBy("session_id").agg(count().alias("events"), (F.max("event_id") < 500).alias("stale"))
 
 
-@query("M3_insert_triples", TRIPLES, sql="SELECT atom, 'part:' || subject AS subject, 'supplier:' || object AS object, 1.0 AS confidence FROM triples WHERE atom % 50 = 3")
+@query("M3_insert_triples", TRIPLES, sql="SELECT atom, 'part:' || subject AS subject, 'supplier:' || object AS object, 1.0 AS confidence FROM triples")
 def m3(spark, sf):
-    t = tb.triples(spark, sf).where("atom % 50 = 3")
+    t = tb.triples(spark, sf)
     return t.select("atom", F.concat(F.lit("part:"), "subject").alias("subject"), F.concat(F.lit("supplier:"), "object").alias("object"), F.lit(1.0).alias("confidence"))
 
 

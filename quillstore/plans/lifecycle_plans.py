@@ -38,17 +38,18 @@ promoted AS (SELECT n, type FROM atoms WHERE status = 'draft' AND (type = 'open_
   AND ((type IN ('fact', 'preference', 'decision') AND {AGE} >= 2) OR (type = 'procedure' AND executed_at IS NOT NULL)))))"""
 
 
-def promoted(spark, sf):
-    a = tb.atoms(spark, sf)
+def promoted(a):
+    """Drafts among the atoms `a` that become active."""
     drafts = a.where("status = 'draft'")
-    free = drafts.where("confidence >= 0.7").join(j7(spark, sf), "n", "left_anti")
+    blocked = lc.conflict_pairs(drafts, a.where("status = 'active'")).select(F.col("a").alias("n")).distinct()
+    free = drafts.where("confidence >= 0.7").join(blocked, "n", "left_anti")
     old = F.col("type").isin("fact", "preference", "decision") & (age() >= 2)
     return drafts.where("type = 'open_question'").select("n", "type").unionByName(free.where(old | ((F.col("type") == "procedure") & F.col("executed_at").isNotNull())).select("n", "type"))
 
 
 @query("L3_promotion", ATOMS, PROMOTE, sql="SELECT n, type FROM promoted")
 def l3(spark, sf):
-    return promoted(spark, sf)
+    return promoted(tb.atoms(spark, sf))
 
 
 @query("L4_conflict_records", ATOMS, sql=f"SELECT x.n AS a, y.n AS b, 'CONF-' || x.n || '-' || y.n AS record FROM atoms x JOIN atoms y ON {_CLASH} AND x.n < y.n WHERE x.status = 'active' AND y.status = 'active' AND (x.n + y.n) % 5 <> 0")
@@ -57,19 +58,41 @@ def l4(spark, sf):
     return j6(spark, sf).join(known, ["a", "b"], "left_anti").select("a", "b", F.concat(F.lit("CONF-"), "a", F.lit("-"), "b").alias("record"))
 
 
-@query("L5_reflect", ATOMS, PROMOTE, sql=f"""SELECT 'expired' AS stage, count(*) AS n FROM atoms WHERE ttl_days IS NOT NULL AND {AGE} > ttl_days AND status NOT IN ('archived', 'expired') UNION ALL
-  SELECT 'deduplicated', count(*) FROM (SELECT row_number() OVER (PARTITION BY type, trim(body, ' ' || chr(10) || chr(9) || chr(13)) ORDER BY updated_at DESC, n) AS r FROM atoms WHERE status NOT IN ('archived', 'expired') AND NOT (ttl_days IS NOT NULL AND {AGE} > ttl_days)) WHERE r > 1 UNION ALL
-  SELECT 'promoted', count(*) FROM promoted""")
+_TRIMMED = "trim(body, ' ' || chr(10) || chr(9) || chr(13))"
+REFLECT = (
+    f"late AS (SELECT n FROM atoms WHERE ttl_days IS NOT NULL AND {AGE} > ttl_days AND status NOT IN ('archived', 'expired')), alive0 AS (SELECT * FROM atoms WHERE n NOT IN (SELECT n FROM late))",
+    "same_id AS (SELECT n, atom_id FROM (SELECT *, row_number() OVER (PARTITION BY atom_id ORDER BY updated_at DESC, n) AS r FROM alive0 WHERE status NOT IN ('archived', 'expired')) WHERE r > 1)",
+    "alive1 AS (SELECT * FROM alive0 WHERE atom_id NOT IN (SELECT atom_id FROM same_id))",
+    f"same_body AS (SELECT n FROM (SELECT n, row_number() OVER (PARTITION BY type, {_TRIMMED} ORDER BY updated_at DESC, n) AS r FROM alive1 WHERE status NOT IN ('archived', 'expired')) WHERE r > 1)",
+    "alive2 AS (SELECT * FROM alive1 WHERE n NOT IN (SELECT n FROM same_body))",
+    PROMOTE.replace("FROM atoms", "FROM alive2").replace("JOIN atoms", "JOIN alive2"),
+    "alive3 AS (SELECT * REPLACE (CASE WHEN n IN (SELECT n FROM promoted) THEN 'active' ELSE status END AS status) FROM alive2)",
+)
+
+
+@query("L5_reflect", ATOMS, *REFLECT, sql=f"""SELECT 'expired' AS stage, count(*) AS n FROM late UNION ALL SELECT 'same_id', count(*) FROM same_id UNION ALL SELECT 'same_body', count(*) FROM same_body UNION ALL
+  SELECT 'promoted', count(*) FROM promoted UNION ALL SELECT 'conflicts', count(*) FROM alive3 x JOIN alive3 y ON {_CLASH} AND x.n < y.n WHERE x.status = 'active' AND y.status = 'active'""")
 def l5(spark, sf):
-    """The maintenance run: each stage works on what the one before left."""
+    """The maintenance run: each stage works on what the one before left; promoted drafts are active for the conflicts."""
     a = tb.atoms(spark, sf)
     gone = l1(spark, sf)
+    alive = a.join(gone, "n", "left_anti")
+    live = ~F.col("status").isin("archived", "expired")
+    w = Window.partitionBy("atom_id").orderBy(F.desc("updated_at"), "n")
+    ids = alive.where(live).select("n", "atom_id", "updated_at").withColumn("r", F.row_number().over(w)).where("r > 1").select("n", "atom_id")
+    alive = alive.join(ids.select("atom_id").distinct(), "atom_id", "left_anti")  # a survivor waits for the next run too
     body = F.md5(F.regexp_replace("body", r"^[ \n\t\r]+|[ \n\t\r]+$", ""))
     w = Window.partitionBy("type", "h").orderBy(F.desc("updated_at"), "n")
-    left = a.where("status not in ('archived', 'expired')").join(gone, "n", "left_anti").select("n", "type", "updated_at", body.alias("h"))
-    duplicate = left.withColumn("r", F.row_number().over(w)).where("r > 1")
+    bodies = alive.where(live).select("n", "type", "updated_at", body.alias("h")).withColumn("r", F.row_number().over(w)).where("r > 1").select("n")
+    alive = alive.join(bodies, "n", "left_anti")
+    new = promoted(alive)
+    active = alive.where("status = 'active'").unionByName(alive.join(new.select("n"), "n", "left_semi"))
+    pairs = lc.conflict_pairs(active, active).where("a < b")
     stage = lambda name, d: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
-    return stage("expired", gone).unionByName(stage("deduplicated", duplicate)).unionByName(stage("promoted", promoted(spark, sf)))
+    out = stage("expired", gone)
+    for name, d in (("same_id", ids), ("same_body", bodies), ("promoted", new), ("conflicts", pairs)):
+        out = out.unionByName(stage(name, d))
+    return out
 
 
 @query("L6_replay", LOG, sql="SELECT ref, arg_max(value, event_id) AS value FROM log WHERE action IN ('atom_updated', 'conflict_detected') GROUP BY ref HAVING arg_max(action, event_id) <> 'conflict_detected'")
@@ -111,36 +134,16 @@ def l13(spark, sf):
 
 
 @query("L15_triple_resolution", TRIPLES, sql="""SELECT new_atom, old_atom, CASE WHEN new_day < old_day THEN 'wrong-direction' WHEN NOT old_live THEN 'stale' WHEN (new_atom + old_atom) % 2 = 0 THEN 'superseded' ELSE 'rejected' END AS outcome
-  FROM (SELECT DISTINCT a.atom AS new_atom, b.atom AS old_atom, a.day AS new_day, b.day AS old_day, b.live AS old_live FROM triples a JOIN triples b ON a.subject = b.subject AND a.object <> b.object AND a.atom <> b.atom WHERE a.atom % 100 = 1)""")
+  FROM (SELECT DISTINCT a.atom AS new_atom, b.atom AS old_atom, a.day AS new_day, b.day AS old_day, b.live AS old_live FROM triples a JOIN triples b ON a.subject = b.subject AND a.object <> b.object AND a.atom <> b.atom WHERE a.atom % 100 = 0)""")
 def l15(spark, sf):
     t = tb.triples(spark, sf)
-    a = t.where("atom % 100 = 1").select(F.col("atom").alias("new_atom"), "subject", "object", F.col("day").alias("new_day"))
+    a = t.where("atom % 100 = 0").select(F.col("atom").alias("new_atom"), "subject", "object", F.col("day").alias("new_day"))
     b = t.select(F.col("atom").alias("old_atom"), F.col("subject").alias("s"), F.col("object").alias("o"), F.col("day").alias("old_day"), F.col("live").alias("old_live"))
     j = a.join(b, (a.subject == b.s) & (a.object != b.o) & (a.new_atom != b.old_atom)).select("new_atom", "old_atom", "new_day", "old_day", "old_live").distinct()
     outcome = F.when(F.col("new_day") < F.col("old_day"), "wrong-direction").when(~F.col("old_live"), "stale").when((F.col("new_atom") + F.col("old_atom")) % 2 == 0, "superseded").otherwise("rejected")
     return j.select("new_atom", "old_atom", outcome.alias("outcome"))
 
 
-@query("J13_concept_references", sql="SELECT doc_id, phrase, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2])) AS phrase FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)) WHERE phrase IN ('of the', 'and the', 'de la', 'und die', 'thea the') GROUP BY ALL")
-def j13(spark, sf):
-    """Phrases of a concept dictionary in bodies, as an equality on word pairs, not a scan per concept."""
-    names = spark.createDataFrame([(x,) for x in ("of the", "and the", "de la", "und die", "thea the")], "phrase string")
-    d = tb.table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)).alias("w"))
-    pairs = d.select("doc_id", F.explode(F.zip_with("w", F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda x, y: F.concat(x, F.lit(" "), y))).alias("phrase"))
-    return pairs.join(F.broadcast(names), "phrase").groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("L16_relink", EDGES, sql="SELECT DISTINCT tgt AS n, src AS other FROM edges EXCEPT SELECT src, tgt FROM edges")
-def l16(spark, sf):
-    e = tb.edges(spark, sf)
-    return e.select(F.col("tgt").alias("n"), F.col("src").alias("other")).distinct().join(e.select(F.col("src").alias("n"), F.col("tgt").alias("other")), ["n", "other"], "left_anti")
-
-
-@query("L18_citation_index", EDGES, sql="SELECT tgt, rel, count(*) AS n FROM edges GROUP BY GROUPING SETS ((tgt), (rel), ())")
-def l18(spark, sf):
-    return tb.edges(spark, sf).groupingSets([["tgt"], ["rel"], []], "tgt", "rel").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("L20_observe", EPISODES, sql="SELECT episode, left(summary, 60000) AS observed FROM episodes WHERE length(summary) >= 50 AND episode % 5 <> 0")
 def l20(spark, sf):
     e = tb.episodes(spark, sf).where("length(summary) >= 50")
@@ -187,13 +190,6 @@ def h2(spark, sf):
     return a.withColumn("created_at", F.coalesce("t", "updated_at")).where(age() > 90).select("n")
 
 
-@query("H3_orphans", ATOMS, EDGES, sql="SELECT n FROM atoms WHERE type NOT IN ('preference', 'entity_summary') AND n NOT IN (SELECT tgt FROM edges) AND n NOT IN (SELECT src FROM edges WHERE src % 4 = 0)")
-def h3(spark, sf):
-    e = tb.edges(spark, sf)
-    linked = e.select(F.col("tgt").alias("n")).union(e.where("src % 4 = 0").select("src"))
-    return tb.atoms(spark, sf).where("type not in ('preference', 'entity_summary')").select("n").join(linked, "n", "left_anti")
-
-
 @query("H5_belief_drift", ATOMS, sql=f"SELECT n FROM atoms WHERE type = 'belief' AND confidence < 0.5 AND {AGE} > 30")
 def h5(spark, sf):
     return tb.atoms(spark, sf).where("type = 'belief' and confidence < 0.5").where(age() > 30).select("n")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import filters as fl
+from ..operators import lifecycle as lc
 from ..sources import tables as tb
 from ..sources.tables import AS_OF, ATOMS, EDGES, EPISODES, EVENTS_AS_OF, LOG, TRIPLES
 from .registry import query
@@ -48,9 +49,9 @@ def s7(spark, sf):
     return tb.log(spark, sf).agg(F.count(F.lit(1)).alias("n_events"), F.max("event_id").alias("last_id"), F.max_by("action", "event_id").alias("last_action"))
 
 
-@query("S10_triple_scan", TRIPLES, sql="SELECT atom, subject, object, day FROM triples WHERE live AND subject % 50 = 7")
+@query("S10_triple_scan", TRIPLES, sql="SELECT atom, subject, object, day FROM triples WHERE live")
 def s10(spark, sf):
-    return tb.triples(spark, sf).where("live and subject % 50 = 7").select("atom", "subject", "object", "day")
+    return tb.triples(spark, sf).where("live").select("atom", "subject", "object", "day")
 
 
 @query("S11_episodes", EPISODES, sql="SELECT episode, n_turns, length(summary) AS chars FROM episodes WHERE hours % 3 <> 1 ORDER BY hours DESC, episode LIMIT 20")
@@ -162,24 +163,22 @@ def f10(spark, sf):
 
 
 @query("J4_triple_conflicts", TRIPLES, sql="""SELECT a.atom AS new_atom, b.atom AS old_atom, a.subject, a.object AS new_object, b.object AS old_object
-  FROM triples a JOIN triples b ON a.subject = b.subject AND a.object <> b.object AND a.atom <> b.atom AND b.live WHERE a.day >= 3900 AND b.day < 1900""")
+  FROM triples a JOIN triples b ON a.subject = b.subject AND a.object <> b.object AND a.atom <> b.atom AND b.live WHERE a.atom % 100 = 0""")
 def j4(spark, sf):
     t = tb.triples(spark, sf)
-    a = t.where("day >= 3900").select(F.col("atom").alias("new_atom"), "subject", F.col("object").alias("new_object"))
-    b = t.where("live and day < 1900").select(F.col("atom").alias("old_atom"), F.col("subject").alias("s"), F.col("object").alias("old_object"))
+    a = t.where("atom % 100 = 0").select(F.col("atom").alias("new_atom"), "subject", F.col("object").alias("new_object"))
+    b = t.where("live").select(F.col("atom").alias("old_atom"), F.col("subject").alias("s"), F.col("object").alias("old_object"))
     return a.join(b, (a.subject == b.s) & (a.new_object != b.old_object) & (a.new_atom != b.old_atom)).select("new_atom", "old_atom", "subject", "new_object", "old_object")
 
 
-@query("J5_fuzzy_triples", TRIPLES, sql="""SELECT new_atom, subject, old_atom, old_subject FROM (
-  SELECT a.atom AS new_atom, a.subject, b.atom AS old_atom, b.subject AS old_subject, row_number() OVER (PARTITION BY a.atom, a.subject, a.object ORDER BY b.day DESC, b.atom, b.subject) AS r
-  FROM triples a JOIN triples b ON a.object = b.object AND a.subject <> b.subject AND a.atom <> b.atom AND b.live WHERE a.atom % 500 = 1) WHERE r <= 20""")
+@query("J5_fuzzy_triples", TRIPLES, sql="""SELECT new_atom, subject, object, old_atom, old_subject, old_object FROM (
+  SELECT a.atom AS new_atom, a.subject, a.object, b.atom AS old_atom, b.subject AS old_subject, b.object AS old_object,
+    row_number() OVER (PARTITION BY a.atom, a.subject, a.object ORDER BY b.day DESC, b.atom, b.subject, b.object) AS r
+  FROM triples a JOIN triples b ON a.subject <> b.subject AND a.object <> b.object AND a.atom <> b.atom AND b.live WHERE a.atom % 100 = 0) WHERE r <= 20""")
 def j5(spark, sf):
-    t = tb.triples(spark, sf)
-    a = t.where("atom % 500 = 1").select(F.col("atom").alias("new_atom"), "subject", "object")
-    b = t.where("live").select(F.col("atom").alias("old_atom"), F.col("subject").alias("old_subject"), F.col("object").alias("o"), "day")
-    w = Window.partitionBy("new_atom", "subject", "object").orderBy(F.desc("day"), "old_atom", "old_subject")
-    j = a.join(b, (a.object == b.o) & (a.subject != b.old_subject) & (a.new_atom != b.old_atom))
-    return j.withColumn("r", F.row_number().over(w)).where("r <= 20").select("new_atom", "subject", "old_atom", "old_subject")
+    """The fixture has one predicate, so a new triple's fuzzy conflicts are the newest of all other live triples."""
+    t = tb.triples(spark, sf).withColumn("predicate", F.lit("supplied_by"))
+    return lc.fuzzy_conflicts(t.where("atom % 100 = 0"), t.where("live"), 20)
 
 
 @query("J8_left_default", ATOMS, LOG, sql="SELECT n, coalesce(r, 0) AS reads FROM atoms LEFT JOIN (SELECT ref, count(*) AS r FROM log WHERE action = 'atom_read' GROUP BY ref) ON n = ref")
@@ -188,11 +187,11 @@ def j8(spark, sf):
     return tb.atoms(spark, sf).select("n").join(reads, "n", "left").select("n", F.coalesce("r", F.lit(0)).alias("reads"))
 
 
-@query("J9_neighbours", EDGES, sql="SELECT DISTINCT m AS n FROM (SELECT src AS a, tgt AS m FROM edges UNION ALL SELECT tgt, src FROM edges) WHERE a % 50 = 0")
+@query("J9_neighbours", EDGES, sql="SELECT DISTINCT m AS n FROM (SELECT src AS a, tgt AS m FROM edges UNION ALL SELECT tgt, src FROM edges) WHERE a % 100 = 0")
 def j9(spark, sf):
     e = tb.edges(spark, sf)
     both = e.select(F.col("src").alias("a"), F.col("tgt").alias("n")).union(e.select("tgt", "src"))
-    return both.where("a % 50 = 0").select("n").distinct()
+    return both.where("a % 100 = 0").select("n").distinct()
 
 
 @query("J10_own_wins", ATOMS, sql="SELECT n, 'own' AS store FROM atoms WHERE n % 3 = 0 UNION ALL SELECT n, 'shared' FROM atoms WHERE n % 2 = 0 AND n % 3 <> 0")
@@ -231,16 +230,16 @@ def j15(spark, sf):
     return e.join(tb.atoms(spark, sf).select(F.col("n").alias("missing")), "missing", "left_anti").select("src", "missing")
 
 
-@query("J17_sessions_since", ATOMS, LOG, sql="""SELECT n, (SELECT count(*) FROM (SELECT min(ts) AS t FROM log GROUP BY session_id) s WHERE t >= created_at) AS sessions FROM atoms WHERE n % 365 < 40""")
+@query("J17_sessions_since", ATOMS, LOG, sql="""SELECT n, (SELECT count(*) FROM (SELECT min(ts) AS t FROM log GROUP BY session_id) s WHERE t >= created_at) AS sessions FROM atoms""")
 def j17(spark, sf):
     # both sides merged in one ordered pass: counts per day, then running sums, no range join
     starts = tb.log(spark, sf).groupBy("session_id").agg(F.min("ts").alias("t"))
-    a = tb.atoms(spark, sf).where("n % 365 < 40").select("n", "created_at")
+    a = tb.atoms(spark, sf).select("n", "created_at")
     hours = starts.groupBy(F.date_trunc("hour", "t").cast("timestamp_ntz").alias("at")).agg(F.count(F.lit(1)).alias("c"))
     at = a.select(F.col("created_at").alias("at")).distinct().withColumn("c", F.lit(0).cast("long"))  # created on full hours
     later = Window.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
     counts = hours.unionByName(at).withColumn("sessions", F.sum("c").over(later)).select(F.col("at").alias("created_at"), "sessions").distinct()
-    return a.join(counts, "created_at").select("n", "sessions")
+    return a.join(F.broadcast(counts), "created_at").select("n", "sessions")  # a row for each hour
 
 
 @query("A1_counts", ATOMS, EDGES, sql="SELECT 'type' AS what, type AS v, count(*) AS n FROM atoms GROUP BY type UNION ALL SELECT 'relation', rel, count(*) FROM edges GROUP BY rel")

@@ -30,7 +30,12 @@ def read_atoms(spark: SparkSession, *folders: str) -> DataFrame:
     Text before and after exact `---` fences is header and body; without fences, all is body (and so no atom).
     """
     files = spark.read.option("pathGlobFilter", "*.md").text(list(folders), wholetext=True)
-    cut = files.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", FENCE, 1).alias("h"), F.regexp_extract("value", FENCE, 2).alias("body"))
+    return parse_atoms(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parse_atoms(files: DataFrame) -> DataFrame:
+    """Atoms of (path, value): file texts."""
+    cut = files.select("path", F.regexp_extract("value", FENCE, 1).alias("h"), F.regexp_extract("value", FENCE, 2).alias("body"))
     h = F.col("h")
     rows = cut.select(
         "path", _scalar(h, "id").alias("atom_id"), _scalar(h, "type").alias("type"), _scalar(h, "status").alias("status"),
@@ -45,8 +50,9 @@ def read_atoms(spark: SparkSession, *folders: str) -> DataFrame:
 def atom_text() -> Column:
     """An atom row as file text, keys in fixed order."""
     line = lambda k, c: F.concat(F.lit(f"{k}: "), F.coalesce(c.cast("string"), F.lit("null")))
+    when = lambda k: F.date_format(k, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     listed = lambda k: F.concat(F.lit(f"{k}: ["), F.array_join(k, ", "), F.lit("]"))
-    head = F.concat_ws("\n", line("id", F.col("atom_id")), *[line(k, F.col(k)) for k in ("type", "status", "confidence", "classification", "ttl_days")], listed("tags"), listed("paths"))
+    head = F.concat_ws("\n", line("id", F.col("atom_id")), *[line(k, F.col(k)) for k in ("type", "status", "confidence")], *[line(k, when(k)) for k in ("created_at", "updated_at")], *[line(k, F.col(k)) for k in ("classification", "ttl_days")], listed("tags"), listed("paths"))
     return F.concat(F.lit("---\n"), head, F.lit("\n---\n"), F.col("body"))
 
 

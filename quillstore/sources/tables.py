@@ -137,3 +137,29 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRIPLES = """triples AS (
   SELECT DISTINCT l_orderkey AS atom, l_partkey AS subject, l_suppkey AS object, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS day, o_orderstatus <> 'F' AS live
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+# How the fixture's bodies mention the atom that their relation names.
+MENTIONS = ("extends", "contradicts", "confirms", "due to", "replaces", "uses", "see")
+
+
+def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms whose body ends in a sentence that names their relation's target by id and a topic by its words."""
+    a = atoms(spark, sf_dir)
+    ids = a.select(F.col("n").alias("tgt"), F.col("atom_id").alias("target_id"))
+    refs = edges(spark, sf_dir).join(ids, "tgt").select(F.col("src").alias("n"), "target_id")
+    verb = pick(MENTIONS, F.col("n") % 7)
+    tail = F.concat(F.lit("\nThis "), verb, F.lit(" "), F.coalesce("target_id", F.lit("nothing")), F.lit(". Compare topic SRC"), (F.col("n") * 7 % 23).cast("string"), F.lit("!"))
+    return a.join(refs, "n", "left").withColumn("body", F.concat("body", tail)).drop("target_id")
+
+
+MINED = f"""mined AS (SELECT a.* REPLACE (a.body || chr(10) || 'This ' || {_list(MENTIONS)}[a.n % 7 + 1] || ' ' || coalesce(b.atom_id, 'nothing') || '. Compare topic SRC' || (a.n * 7 % 23) || '!' AS body)
+  FROM atoms a LEFT JOIN edges e ON e.src = a.n LEFT JOIN atoms b ON b.n = e.tgt)"""
+
+
+def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, tgt, rel): the relations that atoms' headers hold; two of three mentions have one."""
+    return edges(spark, sf_dir).where("src % 3 <> 0")
+
+
+DECLARED = "declared AS (SELECT * FROM edges WHERE src % 3 <> 0)"

@@ -50,8 +50,8 @@ def concept_references(atoms: DataFrame, longest: int = 5) -> DataFrame:
     """
     names = atoms.select(F.explode(concept_names()).alias("concept")).distinct()
     names = names.withColumn("words", F.size(F.split("concept", "-"))).where(F.col("words") <= longest)
-    runs = F.regexp_extract_all(F.lower("body"), F.lit("[a-z0-9]+(?:[-_ ][a-z0-9]+)+"), F.lit(0))  # words that may form a name
-    words = atoms.select("n", F.explode(runs).alias("run")).select("n", F.split("run", "[-_ ]").alias("w"))
+    runs = F.split(F.lower("body"), "[^a-z0-9_ -]+|[-_ ]{2,}")  # words that may form a name
+    words = atoms.select("n", F.explode(runs).alias("run")).select("n", F.filter(F.split("run", "[-_ ]"), lambda x: x != "").alias("w")).where("size(w) > 1")
     grams = words.select("n", F.explode(F.flatten(F.array(*[
         F.expr(f"if(size(w) < {k}, cast(array() as array<string>), transform(sequence(0, size(w) - {k}), i -> array_join(slice(w, i + 1, {k}), '-')))") for k in range(2, longest + 1)
     ]))).alias("concept"))

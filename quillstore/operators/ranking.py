@@ -139,7 +139,8 @@ def reserved_fill(ranked: DataFrame, budget: int, reservations: dict[str, int] =
     raw = sum(reservations.values())
     scale = min(1.0, int(budget * share) / raw) if raw else 1.0
     quotas = {k: int(v * scale) for k, v in reservations.items() if int(v * scale) > 0}
-    free = ranked.where("tokens = 0").select("query_id", "n", F.col("type").isin(*quotas).alias("own") if quotas else F.lit(False).alias("own"))
+    # it asks for the rank, so that both branches share one exchange of the ranking
+    free = ranked.where("tokens = 0 and rank > 0").select("query_id", "n", F.col("type").isin(*quotas).alias("own") if quotas else F.lit(False).alias("own"))
     rows = _within(ranked, budget + max(quotas.values(), default=0), "type").withColumn("_quota", F.lit(0))
     for name, quota in quotas.items():
         rows = rows.withColumn("_quota", F.when(F.col("type") == name, quota).otherwise(F.col("_quota")))

@@ -74,25 +74,26 @@ REFLECT = (
   SELECT 'promoted', count(*) FROM promoted UNION ALL SELECT 'conflicts', count(*) FROM alive3 x JOIN alive3 y ON {_CLASH} AND x.n < y.n WHERE x.status = 'active' AND y.status = 'active'""")
 def l5(spark, sf):
     """The maintenance run: each stage works on what the one before left; promoted drafts are active for the conflicts."""
-    a = tb.atoms(spark, sf)
-    gone = l1(spark, sf)
-    alive = a.join(gone, "n", "left_anti")
-    live = ~F.col("status").isin("archived", "expired")
-    w = Window.partitionBy("atom_id").orderBy(F.desc("updated_at"), "n")
-    ids = alive.where(live).select("n", "atom_id", "updated_at").withColumn("r", F.row_number().over(w)).where("r > 1").select("n", "atom_id")
-    alive = alive.join(ids.select("atom_id").distinct(), "atom_id", "left_anti")  # a survivor waits for the next run too
     body = F.md5(F.regexp_replace("body", r"^[ \n\t\r]+|[ \n\t\r]+$", ""))
-    w = Window.partitionBy("type", "h").orderBy(F.desc("updated_at"), "n")
-    bodies = alive.where(live).select("n", "type", "updated_at", body.alias("h")).withColumn("r", F.row_number().over(w)).where("r > 1").select("n")
-    alive = alive.join(bodies, "n", "left_anti")
+    a = tb.atoms(spark, sf).select("n", "atom_id", "type", "status", "confidence", "paths", "created_at", "updated_at", "ttl_days", "executed_at", body.alias("h"))
+    # which stage takes an atom out, by windows over one pass: no join of a stage's result with the rows
+    live, last = ~F.col("status").isin("archived", "expired"), [F.desc("updated_at"), "n"]
+    a = a.withColumn("out", F.when(live & F.coalesce(age() > F.col("ttl_days"), F.lit(False)), "expired"))
+    left = live & F.col("out").isNull()
+    a = a.withColumn("k", F.when(left, F.row_number().over(Window.partitionBy("atom_id", left).orderBy(*last))))
+    twice = F.max("k").over(Window.partitionBy("atom_id")) > 1  # a survivor waits for the next run too
+    a = a.withColumn("out", F.coalesce("out", F.when(twice, F.when(F.col("k") > 1, "same_id").otherwise("waits"))))
+    a = a.withColumn("k", F.when(left, F.row_number().over(Window.partitionBy("type", "h", left).orderBy(*last))))
+    a = a.withColumn("out", F.coalesce("out", F.when(F.col("k") > 1, "same_body")))
+    alive = a.where("out is null").select("n", "type", "status", "confidence", "paths", "created_at", "executed_at")
     new = promoted(alive)
     active = alive.where("status = 'active'").unionByName(alive.join(new.select("n"), "n", "left_semi"))
     pairs = lc.conflict_pairs(active, active).where("a < b")
+    stages = spark.createDataFrame([(x,) for x in ("expired", "same_id", "same_body")], "stage string")
+    taken = a.where("out is not null").groupBy(F.col("out").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+    out = stages.join(taken, "stage", "left").select("stage", F.coalesce("n", F.lit(0)).alias("n"))
     stage = lambda name, d: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
-    out = stage("expired", gone)
-    for name, d in (("same_id", ids), ("same_body", bodies), ("promoted", new), ("conflicts", pairs)):
-        out = out.unionByName(stage(name, d))
-    return out
+    return out.unionByName(stage("promoted", new)).unionByName(stage("conflicts", pairs))
 
 
 @query("L6_replay", LOG, sql="SELECT ref, arg_max(value, event_id) AS value FROM log WHERE action IN ('atom_updated', 'conflict_detected') GROUP BY ref HAVING arg_max(action, event_id) <> 'conflict_detected'")

@@ -15,7 +15,7 @@ nears AS (SELECT n, ref, lower(body[greatest(instr(body, ref) - 100, 1):instr(bo
 refs AS (SELECT x.n, b.n AS target, {_CASE} AS rel FROM nears x JOIN atoms b ON b.atom_id = x.ref)"""
 PROSE = (ATOMS, EDGES, MINED, DECLARED, REFS)
 CONCEPTS = """names AS (SELECT DISTINCT lower(array_to_string(string_split(atom_id, '-')[5:-2], '-')) AS concept FROM atoms),
-runs AS (SELECT n, regexp_split_to_array(unnest(regexp_extract_all(lower(body), '[a-z0-9]+(?:[-_ ][a-z0-9]+)+')), '[-_ ]') AS w FROM mined),
+runs AS (SELECT n, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(lower(body), '[^a-z0-9_ -]+|[-_ ]{2,}')), '[-_ ]'), lambda x: x <> '') AS w FROM mined),
 pairs AS (SELECT n, w[i] || '-' || w[i + 1] AS concept FROM (SELECT n, w, unnest(range(1, len(w))) AS i FROM runs))"""
 
 

@@ -51,7 +51,7 @@ def plan_mix(docs: DataFrame, *, doc_id="doc_id", text="text", source="source",
     """One row per document: doc_id, size, source_size, target, taken, and how it was chosen.
 
     row_hash (of doc_id and text) finds the document again. full is how often the whole document is taken; beyond that,
-    word i of it is taken if block (start + i) div block_words of its shard is selected: `extra_taken` has the rule.
+    word i of it is taken if block (start + i) div block_words of its shard is selected: `_before` has the rule.
     """
     sized = written(
         docs.select(

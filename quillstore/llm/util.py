@@ -46,9 +46,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset in a local session (tests), a folder of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quillstore-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

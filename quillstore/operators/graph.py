@@ -1,4 +1,4 @@
-"""Graph operators: neighbour types, spreading activation, bounded search, arcs. Steps are joins, never driver loops over rows."""
+"""Graph operators: neighbour types, spreading activation, bounded search, arcs. Steps are joins; of a step only its bounded frontier reaches the driver."""
 
 from __future__ import annotations
 
@@ -55,6 +55,8 @@ def spread(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, steps=3, thr
         new = new.select("n", F.round(F.coalesce(F.col("act") * (1 - decay * 0.5), F.lit(0.0)) + F.coalesce(F.col("got") * boost, F.lit(0.0)), 9).alias("act"))
         best = new.where("act > 0").orderBy(F.desc("act"), "n").limit(top).collect()
         active = [(r.n, r.act) for r in best if r.act >= threshold]
+    nodes.unpersist()
+    near.unpersist()
     return spark.createDataFrame(active, "n long, act double")
 
 

@@ -2,10 +2,12 @@
 
 A recording becomes frames of 12 pitch-class energies. Over the image of frames, FILTERS compare sums of rectangles,
 read from an integral image; each gives two bits in Gray code, and the 16 of a place are one 32-bit integer. Recordings
-of one length are computed together. Two recordings are aligned where their integers agree in three of four bytes: a join
-on those votes for offsets, every offset with MIN_VOTES or more is verified by the share of differing bits over the
-overlap, and of those that pass the one with the least share is the pair's. A key that occurs very often is dealt to
-several tasks by its counted frequency.
+of one length are computed together. Two recordings are aligned where their integers agree in the same three of four
+bytes at two places APART frames from each other: a join on those pairs of places votes for offsets, every offset with
+MIN_VOTES or more is verified by the share of differing bits over the overlap, and of those that pass the one with the
+least share is the pair's. One place alone agrees by chance so often that its votes outgrow the input; places close
+together share their frames, so that errors that spare one spare the other. The queries' keys are broadcast if they are
+few; else both sides shuffle, and a key that occurs very often is dealt to several tasks by its counted frequency.
 
 Recordings with equal fingerprints form one class, so a recording that was stored very often is matched once. Results
 are pairs of classes, and the membership of every recording. Integers within a class are distinct rows; nothing is cut.
@@ -17,6 +19,7 @@ that tie: the longer overlap, then the one nearest to 0, then the smaller. Empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import util
 from .util import written
 
 PITCHES, WIDTH = 12, 16
-MAX_BER, MIN_OVERLAP, MIN_VOTES = 0.1, 24, 2
+MAX_BER, MIN_OVERLAP, MIN_VOTES = 0.1, 24, 1
+#: Frames between the two places of a vote.
+APART = (3, 6, 9, 12)
+MASKS = (0xFFFFFF00, 0xFFFF00FF, 0xFF00FFFF, 0x00FFFFFF)
+#: Recordings a task makes keys of, until there are 20,000 tasks.
+TASK_ROWS = 4096
 #: A key's members are dealt out in parts of 2000, or of this share of all members if that is more.
 OFTEN = 1 / 100_000
 QUANTISE = (-0.12, 0.0, 0.12)  # limits between a filter's four values
@@ -123,6 +132,31 @@ def fingerprints(rows: DataFrame, *, rec_id: str, media: str, pcm: bool = False)
     return rows.select(F.col(rec_id).alias("rec_id"), F.col(media).alias("media")).mapInArrow(each, f"rec_id {kind}, codes array<bigint>")
 
 
+def _votes(reps: DataFrame, p: str) -> DataFrame:
+    """A row for each pair of places and mask: the bytes kept of both, and in the bytes left out the mask and the distance."""
+    places = reps.select(F.col("class_id").alias(f"{p}_id"), "codes", F.posexplode("codes").alias(f"{p}_at", "code"))
+    places = places.select(f"{p}_id", f"{p}_at", "code", *[F.get("codes", F.col(f"{p}_at") + d).alias(f"_{d}") for d in APART])
+    keys = []
+    for k, mask in enumerate(MASKS):
+        for i, d in enumerate(APART):
+            early = F.col("code").bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(k << 8 * k))
+            late = F.col(f"_{d}").bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(i << 8 * k))
+            keys.append(F.shiftleft(early, 32).bitwiseOR(late))
+    return places.select(f"{p}_id", f"{p}_at", F.explode(F.array(*keys)).alias("key")).where("key is not null")
+
+
+def _dealt(asked: DataFrame, held: DataFrame, reps: DataFrame) -> DataFrame:
+    """The join of two large sides, with a frequent key's held rows dealt to several tasks."""
+    n = reps.agg(F.sum(F.size("codes"))).first()[0] or 0
+    chunk = max(2000, int(len(MASKS) * len(APART) * n * OFTEN))
+    hot = held.groupBy("key").count().where(F.col("count") > chunk)
+    hot = written(hot.select("key", F.ceil(F.col("count") / chunk).cast("int").alias("parts")), "chroma-hot")  # fewer than 1 / OFTEN rows
+    hot, parts = F.broadcast(hot), F.coalesce("parts", F.lit(1))
+    asked = asked.join(hot, "key", "left").select("q_id", "q_at", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    held = held.join(hot, "key", "left").select("m_id", "m_at", "key", F.pmod(F.xxhash64("m_id", "m_at"), parts).cast("int").alias("part"))
+    return asked.join(held, ["key", "part"])
+
+
 def match(prints: DataFrame, is_query: str, *, max_ber=MAX_BER, min_overlap=MIN_OVERLAP, min_votes=MIN_VOTES) -> DataFrame:
     """Rows of two kinds. member: every recording (rec_id) with its class_id. match: a class that holds a query with
     another class (other_id), their offset in frames, its votes, overlap and share of differing bits (ber).
@@ -132,22 +166,14 @@ def match(prints: DataFrame, is_query: str, *, max_ber=MAX_BER, min_overlap=MIN_
     prints = written(prints.withColumn("key", F.xxhash64("codes")), "chroma-prints")
     classes = prints.groupBy("key").agg(F.min("rec_id").alias("class_id"), F.max(F.expr(f"coalesce({is_query}, false)")).alias("asks"), F.count(F.lit(1)).alias("n"))
     reps = prints.join(classes.select(F.col("key").alias("_k"), "class_id", "asks"), F.expr("key = _k and rec_id = class_id")).dropDuplicates(["class_id"])
-    reps = written(reps.select("class_id", "asks", "codes"), "chroma-classes")
-    masks = [0xFFFFFF00, 0xFFFF00FF, 0xFF00FFFF, 0x00FFFFFF]
-    keys = F.array(*[F.col("code").bitwiseAND(F.lit(m)) + F.lit(k << 32) for k, m in enumerate(masks)])
-
-    def at(d: DataFrame, p: str) -> DataFrame:
-        places = d.select(F.col("class_id").alias(f"{p}_id"), F.posexplode("codes").alias(f"{p}_at", "code"))
-        return places.select(f"{p}_id", f"{p}_at", F.explode(keys).alias("key"))
-
-    n = reps.agg(F.sum(F.size("codes"))).first()[0] or 0
-    chunk = max(2000, int(4 * n * OFTEN))
-    hot = at(reps, "m").groupBy("key").count().where(F.col("count") > chunk)
-    hot = written(hot.select("key", F.ceil(F.col("count") / chunk).cast("int").alias("parts")), "chroma-hot")  # fewer than 1 / OFTEN rows
-    hot, parts = F.broadcast(hot), F.coalesce("parts", F.lit(1))
-    asked = at(reps.where("asks"), "q").join(hot, "key", "left").select("q_id", "q_at", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    held = at(reps, "m").join(hot, "key", "left").select("m_id", "m_at", "key", F.pmod(F.xxhash64("m_id", "m_at"), parts).cast("int").alias("part"))
-    hits = asked.join(held, ["key", "part"]).where("q_id <> m_id")
+    tasks = min(20_000, max(1, math.ceil(prints.count() / TASK_ROWS)))
+    reps = written(reps.select("class_id", "asks", "codes").repartition(tasks, "class_id"), "chroma-classes")
+    asked, held = written(_votes(reps.where("asks"), "q"), "chroma-asked"), _votes(reps, "m")
+    if asked.count() <= util.BROADCAST_ROWS:
+        hits = held.join(F.broadcast(asked), "key")
+    else:
+        hits = _dealt(asked, held, reps)
+    hits = hits.where("q_id <> m_id")
     best = hits.groupBy("q_id", "m_id", F.expr("m_at - q_at").alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= min_votes)
     q = reps.select(F.col("class_id").alias("q_id"), F.col("codes").alias("q"))
     m = reps.select(F.col("class_id").alias("m_id"), F.col("codes").alias("m"))

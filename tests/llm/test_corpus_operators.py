@@ -605,6 +605,34 @@ def test_chroma(spark):
     assert chroma.frames_of_pcm(tone).argmax(axis=1).tolist() == [0] * len(chroma.frames_of_pcm(tone))
 
 
+def test_chroma_by_shuffled_keys(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    v = [r.normal(size=64) for _ in range(60)]
+    v += [x + r.normal(size=64) * 0.03 for x in v[:20] for _ in range(3)] + [r.normal(size=200), r.normal(size=30)]
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    prints = chroma.fingerprints(d, rec_id="vec_id", media="embedding")
+    want = sorted(map(str, chroma.match(prints, "rec_id % 2 = 0").collect()))
+    monkeypatch.setattr(chroma.util, "BROADCAST_ROWS", 0)
+    assert sum("kind='match'" in x for x in want) >= 60
+    assert sorted(map(str, chroma.match(prints, "rec_id % 2 = 0").collect())) == want
+
+
+def test_chroma_recall_of_noisy_copies(spark):
+    """At least 0.9 of noisy copies within MAX_BER are found, the noisiest tenth of the range included."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(1500, 64))
+    noisy = v + r.normal(size=v.shape) * r.uniform(0.02, 0.4, 1500)[:, None]
+    a, b = (chroma.codes(chroma.frames_of_vector(x)) for x in (v, noisy))
+    ber = np.bitwise_count(a ^ b).sum(axis=1) / 32 / a.shape[1]
+    true = np.flatnonzero((ber > 0) & (ber <= chroma.MAX_BER))
+    rows = [(int(i), v[i].tolist()) for i in true] + [(int(i) + 10_000, noisy[i].tolist()) for i in true]
+    prints = chroma.fingerprints(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rec_id="vec_id", media="embedding")
+    found = {(x.class_id, x.other_id) for x in chroma.match(prints, "rec_id < 10000").collect() if x.kind == "match"}
+    hit = np.array([(int(i), int(i) + 10_000) in found for i in true])
+    edge = ber[true] > 0.9 * chroma.MAX_BER
+    assert len(true) > 300 and hit.mean() >= 0.95 and edge.sum() > 30 and hit[edge].mean() >= 0.85
+
+
 def test_every_batch_holds_all_lengths(spark):
     r = random.Random(2)
     parts = spark.createDataFrame([(i, 0, r.randrange(1, 1024), i, 9) for i in range(8000)], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

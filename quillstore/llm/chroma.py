@@ -3,7 +3,7 @@
 A recording becomes frames of 12 pitch-class energies. Over the image of frames, FILTERS compare sums of rectangles,
 read from an integral image; each gives two bits in Gray code, and the 16 of a place are one 32-bit integer. Recordings
 of one length are computed together. Two recordings are aligned where their integers agree in the same three of four
-bytes at two places APART frames from each other: a join on those pairs of places votes for offsets, every offset with
+bytes at two places, 2 to 12 frames (APART) from each other: a join on those pairs of places votes for offsets, every offset with
 MIN_VOTES or more is verified by the share of differing bits over the overlap, and of those that pass the one with the
 least share is the pair's. One place alone agrees by chance so often that its votes outgrow the input; places close
 together share their frames, so that errors that spare one spare the other. The queries' keys are broadcast if they are
@@ -33,7 +33,7 @@ from .util import written
 PITCHES, WIDTH = 12, 16
 MAX_BER, MIN_OVERLAP, MIN_VOTES = 0.1, 24, 1
 #: Frames between the two places of a vote.
-APART = (3, 6, 9, 12)
+APART = (2, 4, 6, 8, 10, 12)
 MASKS = (0xFFFFFF00, 0xFFFF00FF, 0xFF00FFFF, 0x00FFFFFF)
 #: Recordings a task makes keys of, until there are 20,000 tasks.
 TASK_ROWS = 4096

@@ -131,7 +131,7 @@ def greedy_fill(ranked: DataFrame, budget: int) -> DataFrame:
 
 
 def reserved_fill(ranked: DataFrame, budget: int, reservations: dict[str, int] = sc.RESERVATIONS, share: float = 0.3) -> DataFrame:
-    """(query_id, n, own): rows of (query_id, rank, n, type, tokens) within a budget of which types have quotas.
+    """(query_id, n, own): rows of (query_id, rank from 0 or 1, n, type, tokens) within a budget of which types have quotas.
 
     Quotas are scaled to `share` of the budget. First each type fills its quota in rank order, then all other rows the
     rest; rows too large are skipped. own: the row is in its type's quota.
@@ -140,7 +140,7 @@ def reserved_fill(ranked: DataFrame, budget: int, reservations: dict[str, int] =
     scale = min(1.0, int(budget * share) / raw) if raw else 1.0
     quotas = {k: int(v * scale) for k, v in reservations.items() if int(v * scale) > 0}
     # it asks for the rank, so that both branches share one exchange of the ranking
-    free = ranked.where("tokens = 0 and rank > 0").select("query_id", "n", F.col("type").isin(*quotas).alias("own") if quotas else F.lit(False).alias("own"))
+    free = ranked.where("tokens = 0 and rank >= 0").select("query_id", "n", F.col("type").isin(*quotas).alias("own") if quotas else F.lit(False).alias("own"))
     rows = _within(ranked, budget + max(quotas.values(), default=0), "type").withColumn("_quota", F.lit(0))
     for name, quota in quotas.items():
         rows = rows.withColumn("_quota", F.when(F.col("type") == name, quota).otherwise(F.col("_quota")))

@@ -3,11 +3,13 @@
 A recording becomes frames of 12 pitch-class energies. Over the image of frames, FILTERS compare sums of rectangles,
 read from an integral image; each gives two bits in Gray code, and the 16 of a place are one 32-bit integer. Recordings
 of one length are computed together. Two recordings are aligned where their integers agree in the same three of four
-bytes at two places, 2 to 12 frames (APART) from each other: a join on those pairs of places votes for offsets, every offset with
-MIN_VOTES or more is verified by the share of differing bits over the overlap, and of those that pass the one with the
-least share is the pair's. One place alone agrees by chance so often that its votes outgrow the input; places close
-together share their frames, so that errors that spare one spare the other. The queries' keys are broadcast if they are
-few; else both sides shuffle, and a key that occurs very often is dealt to several tasks by its counted frequency.
+bytes at two places, 2 to 12 frames (APART) from each other: a join on those pairs of places votes for offsets, every
+offset with MIN_VOTES or more is verified by the share of differing bits over the overlap, and of those that pass the
+one with the least share is the pair's. One place alone agrees by chance so often that its votes outgrow the input;
+places close together share their frames, so that errors that spare one spare the other. The queries' keys are broadcast
+if they are few; else both sides shuffle, and a key that occurs very often is dealt to several tasks by its counted
+frequency. Links near MAX_BER can lack such a pair of places: brute force on 51,282 recordings, of which 513 ask, has
+4,240 links without offset, and 4,201 of them get a vote.
 
 Recordings with equal fingerprints form one class, so a recording that was stored very often is matched once. Results
 are pairs of classes, and the membership of every recording. Integers within a class are distinct rows; nothing is cut.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, chroma, license_scan, mixing, packing, pii, quality_lm, rules, simhash, substring
+from . import chat_format, chroma, clustering, codebooks, decontam, license_scan, mixing, packing, pii, quality_lm, rules, simhash, substring
 from .util import ship
 
 #: The key of the pseudonyms. A deployment passes its own.
@@ -67,6 +67,22 @@ def op10_substring(spark, sf_dir):
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_decontamination(spark, sf_dir):
+    found = decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op12_vector_codes(spark, sf_dir):
+    found = codebooks.compress(_table(spark, sf_dir, "embeddings"))
+    rows = codebooks.with_label_error(found.codes)
+    return rows.select("vec_id", codebooks.hex_code("code").alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def op13_centroids(spark, sf_dir):
+    found = clustering.cluster(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -75,7 +91,9 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_chat_format, op3_quality_classifier, op4_simhash, op5_mixing, op6_chroma, op7_quality_rules,
-    op8_packing, op9_pii, op10_substring, pipeline,
+    op8_packing, op9_pii, op10_substring, op11_decontamination, op12_vector_codes, op13_centroids, pipeline,
 )}
 
-ORACLE_SQL = {"op1_license_scan": license_scan.oracle(), "op2_chat_format": chat_format.ORACLE, "op7_quality_rules": rules.ORACLE}
+ORACLE_SQL = {"op1_license_scan": license_scan.oracle(), "op2_chat_format": chat_format.ORACLE, "op7_quality_rules": rules.ORACLE} | {
+    "op11_decontamination": decontam.ORACLE, "op12_vector_codes": codebooks.ORACLE, "op13_centroids": clustering.ORACLE,
+}

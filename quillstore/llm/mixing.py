@@ -1,15 +1,16 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Sizes are words. Targets share the total size by weight, capped at `max_repeat` times a source's size (water filling).
-Blocks are of `max_block` words, for every source with a target of 32 blocks or more; a smaller source has blocks of
-its own, 1/32 of its target. Blocks of equal size are apportioned to sources by highest quotients v / (2s + 1), then,
-within a source, to its shards. A shard is a stream of documents in seeded order, cut into blocks; it takes every block
-`quota // blocks` times
-and, of the rest, a seeded systematic selection. That selection has a closed form, so a document's taken words follow
-from its place in the stream and no block is ever a row. Everything is DataFrame operations.
+Blocks of `block` words, one size for all sources, are apportioned to sources by highest quotients v / (2s + 1), then,
+within a source, to its shards. A shard is a stream of documents in seeded order. Its quota in words decides how often it
+is taken whole; what is left is a run of blocks from a seeded block on, over the stream's end to its beginning if need be.
+The stream's order is seeded, so a run is a sample like any other, and it cuts two or three documents only. It is counted in
+words, so the short block at the end of a stream counts as what it is. A document's taken words follow from its place in the
+stream, and no block is ever a row. Everything is DataFrame operations. A source comes within about a block of its target.
 
 Nulls: a null text has size 0; a null source is a source, last in order; a null doc_id is kept. Empty input: no rows.
-Equal rows are separate documents. Only the named columns are read, so further columns never clash.
+Equal rows are separate documents. plan_mix reads the named columns only; mix_documents carries each row as one struct, so
+further columns never clash, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,11 +48,11 @@ def _seats(parties: DataFrame, by: list[str], votes: str, seats: str, out: str)
     return ranked.groupBy(*keys, votes, seats).agg((F.first("_lo") + won).cast("long").alias(out))
 
 
-def plan_mix(docs: DataFrame, *, doc_id="doc_id", text="text", source="source", weights=(1, 2, 3), max_repeat=3, seed=42, max_block=4096) -> DataFrame:
+def plan_mix(docs: DataFrame, *, doc_id="doc_id", text="text", source="source", weights=(1, 2, 3), max_repeat=3, seed=42, block=16) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, and how it was chosen.
 
-    row_hash (of doc_id and text) finds the document again. full is how often the whole document is taken; beyond that,
-    word i of it is taken if block (start + i) div block_words of its shard is selected: `_before` has the rule.
+    row_hash (of doc_id and text) finds the document again, whose words are start, start + 1, ... of its shard's stream. full
+    is how often the whole document is taken; beyond that, its words in lo..hi - 1 and in 0..wrap - 1 of the stream are.
     """
     sized = written(
         docs.select(
@@ -78,52 +79,36 @@ def plan_mix(docs: DataFrame, *, doc_id="doc_id", text="text", source="source",
         per.withColumn("level", level)
         .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(one)["level"])
         .withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("w")))
-        .withColumn("block_words", F.greatest(F.lit(1), F.least(F.lit(max_block), F.floor(F.col("target") / 32))).cast("long"))
         .withColumn("_order", F.col("rank"))
-        .withColumn("_all", F.col("block_words"))  # sources with blocks of one size share out their targets' sum
-        .withColumn("all_blocks", F.round(F.sum("target").over(Window.partitionBy("_all")) / F.col("block_words")).cast("long"))
-        .select("source", "source_size", "rank", "block_words", "_order", "_all", "target", "all_blocks")
+        .withColumn("_all", F.lit(0))
+        .withColumn("all_blocks", F.round(F.sum("target").over(one) / block).cast("long"))
+        .select("source", "source_size", "rank", "_order", "_all", "target", "all_blocks")
     )
     quota = _seats(per, ["_all"], "target", "all_blocks", "source_blocks").withColumn(
         "shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long")
     )
-    quota = written(quota.select("source", "source_size", "rank", "target", "block_words", "source_blocks", "shards"), "mix-sources")
+    quota = written(quota.select("source", "source_size", "rank", "target", "source_blocks", "shards"), "mix-sources")
     q = small(quota)
     placed = sized.join(q, same(sized, q, "source"), "inner").drop(quota["source"]).withColumn(
         "shard", F.pmod(F.xxhash64(F.lit(seed + 1), "row_hash"), F.col("shards"))
     )
-    shards = placed.groupBy("rank", "shard", "source_blocks", "block_words").agg(F.sum("size").alias("shard_size")).withColumn("_order", F.col("shard"))
-    shards = _seats(shards, ["rank"], "shard_size", "source_blocks", "shard_blocks").select(
-        "rank", "shard", F.ceil(F.col("shard_size") / F.col("block_words")).cast("long").alias("blocks"), "shard_blocks"
-    )
+    shards = placed.groupBy("rank", "shard", "source_blocks").agg(F.sum("size").alias("shard_size")).withColumn("_order", F.col("shard"))
+    shards = _seats(shards, ["rank"], "shard_size", "source_blocks", "shard_blocks")
+    words, size = F.least(F.col("shard_blocks") * block, F.col("shard_size") * max_repeat), F.greatest(F.col("shard_size"), F.lit(1))
+    first = F.pmod(F.xxhash64(F.lit(seed + 2), "rank", "shard"), F.ceil(size / block)) * block
+    shards = shards.withColumn("full", F.floor(words / size).cast("long")).withColumn("lo", first).withColumn("end", F.col("lo") + words % size)
+    shards = shards.select("rank", "shard", "full", "lo", F.least("end", "shard_size").alias("hi"), F.greatest(F.col("end") - F.col("shard_size"), F.lit(0)).alias("wrap"))
     shards = small(written(shards, "mix-shards"))
     stream = Window.partitionBy("rank", "shard").orderBy("row_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     chosen = placed.withColumn("start", F.sum("size").over(stream) - F.col("size")).join(shards, ["rank", "shard"])
-    taken_blocks = F.least(F.col("shard_blocks"), F.col("blocks") * max_repeat)
-    chosen = (
-        chosen.withColumn("full", F.when(F.col("blocks") > 0, F.floor(taken_blocks / F.col("blocks"))).otherwise(F.lit(0)).cast("long"))
-        .withColumn("extra", F.when(F.col("blocks") > 0, taken_blocks - F.col("full") * F.col("blocks")).otherwise(F.lit(0)).cast("long"))
-        .withColumn("first", F.pmod(F.xxhash64(F.lit(seed + 2), "rank", "shard"), F.greatest(F.col("blocks"), F.lit(1))))
-    )
-    taken = F.col("full") * F.col("size") + _selected(F.col("start") + F.col("size")) - _selected(F.col("start"))
+    to = F.col("start") + F.col("size")
+    run = F.greatest(F.least(to, "hi") - F.greatest("start", "lo"), F.lit(0)) + F.greatest(F.least(to, "wrap") - F.col("start"), F.lit(0))
     return chosen.select(
-        "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"),
-        F.col("rank").alias("source_rank"), "shard", "start", "full", "extra", "first", "blocks", "block_words", "row_hash",
+        "doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + run).cast("long").alias("taken"),
+        F.col("rank").alias("source_rank"), "shard", "start", "full", "lo", "hi", "wrap", "row_hash",
     )
 
 
-def _before(block):
-    """Number of selected blocks below `block`: `extra` of `blocks`, evenly spaced from the seeded `first`."""
-    return F.when(F.col("blocks") > 0, F.floor((block * F.col("extra") + F.col("first")) / F.greatest(F.col("blocks"), F.lit(1)))).otherwise(F.lit(0)).cast("long")
-
-
-def _selected(place):
-    """Words of selected blocks among the first `place` words of the shard."""
-    block = F.floor(place / F.col("block_words")).cast("long")
-    here = _before(block + 1) - _before(block)
-    return _before(block) * F.col("block_words") + here * (place - block * F.col("block_words"))
-
-
 def mix_documents(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:
     """The mixed documents, with the columns of docs: whole copies, and the selected words of partly taken ones.
 
@@ -132,22 +117,22 @@ def mix_documents(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -
     seed = options.get("seed", 42)
     plan = written(
         plan_mix(docs, doc_id=doc_id, text=text, **options).where("taken > 0")
-        .select("row_hash", "start", "full", "extra", "first", "blocks", "block_words", F.expr("taken > full * size").alias("part")),
+        .select("row_hash", "start", "full", "lo", "hi", "wrap", F.expr("taken > full * size").alias("part")),
         "mix-plan",
     )
-    keyed = docs.withColumn("_row_hash", F.xxhash64(F.lit(seed), F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
+    keyed = docs.select(F.struct("*").alias("row"), F.col(text).alias("body"), F.xxhash64(F.lit(seed), F.col(doc_id), F.coalesce(F.col(text), F.lit(""))).alias("key"))
     repeated = small(written(plan.groupBy("row_hash").count().where("count > 1").select("row_hash"), "mix-repeated"))
-    again = keyed["_row_hash"] == repeated["row_hash"]
-    once = keyed.join(repeated, again, "left_anti").unionByName(keyed.join(repeated, again, "left_semi").dropDuplicates(["_row_hash"]))
-    plan = small(plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns]).withColumnRenamed("_row_hash", "_key"))
-    rows = once.join(plan, once["_row_hash"] == plan["_key"])
-    copies = F.when(F.col("_full") > 0, F.sequence(F.lit(1), F.col("_full").cast("int"))).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("_copy", F.explode(F.concat(copies, F.when(F.col("_part"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))))
+    again = keyed["key"] == repeated["row_hash"]
+    once = keyed.join(repeated, again, "left_anti").unionByName(keyed.join(repeated, again, "left_semi").dropDuplicates(["key"]))
+    plan = small(plan)
+    rows = once.join(plan, once["key"] == plan["row_hash"])
+    copies = F.when(F.col("full") > 0, F.sequence(F.lit(1), F.col("full").cast("int"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("copy", F.explode(F.concat(copies, F.when(F.col("part"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))))
     # words with the white space after them, so that what is kept reads as before
-    pieces = F.regexp_extract_all(F.col(text), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    below = "((((_start + i) div _block_words) + {}) * _extra + _first) div _blocks"  # _before, in a lambda
-    kept = F.expr(f"array_join(filter(_pieces, (p, i) -> {below.format(1)} > {below.format(0)}), '')")
-    rows = rows.withColumn("_pieces", F.when(F.col("_copy") == 0, pieces)).withColumn(text, F.when(F.col("_copy") == 0, kept).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    pieces = F.regexp_extract_all("body", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    kept = F.expr("array_join(filter(pieces, (p, i) -> (start + i >= lo and start + i < hi) or start + i < wrap), '')")
+    rows = rows.withColumn("pieces", F.when(F.col("copy") == 0, pieces)).withColumn("body", F.when(F.col("copy") == 0, kept).otherwise(F.col("body")))
+    new = {text: F.col("body")}
+    if "n_chars" in docs.columns and text != "n_chars":
+        new["n_chars"] = F.length("body").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

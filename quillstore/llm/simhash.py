@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", shingle=3,
 
 
 def one_of_each(docs: DataFrame, *, doc_id="doc_id", text="text", near=near_duplicates, **options) -> DataFrame:
-    """docs with one row of each component that `near` finds, that of its component_id."""
+    """docs with one row of each component that `near` finds, that of its component_id. Further columns come along, whatever their names."""
     found = near(docs, doc_id=doc_id, text=text, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.doc_id", "x.text_hash")
     keep = first.select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_hash"))
@@ -250,7 +250,7 @@ def one_of_each(docs: DataFrame, *, doc_id="doc_id", text="text", near=near_dupl
     copies = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_copies"))
     match = F.col("_kept").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
     keep = small(written(keep.join(copies, match).select("_kept", "_hash", "_copies"), "simhash-keep"))
-    rows = docs.join(keep, docs[doc_id].eqNullSafe(keep["_kept"]) & (_text_hash(text) == keep["_hash"]))
-    once = rows.where("_copies = 1").select(*[docs[c] for c in docs.columns])
-    more = rows.where("_copies > 1").dropDuplicates(["_kept", "_hash"]).select(*[docs[c] for c in docs.columns])
-    return once.unionByName(more)
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), _text_hash(text).alias("hash"))  # so that no name of docs clashes
+    rows = rows.join(keep, rows["id"].eqNullSafe(keep["_kept"]) & (rows["hash"] == keep["_hash"]))
+    once = rows.where("_copies = 1").select("row.*")
+    return once.unionByName(rows.where("_copies > 1").dropDuplicates(["_kept", "_hash"]).select("row.*"))

@@ -141,7 +141,7 @@ def test_mixing(docs, rows, none):
     for i, (s, t) in enumerate(zip(sizes, want)):
         own = [r for r in got if r.source_rank == i + 1]
         assert {(r.source_size, round(r.target, 6)) for r in own} == {(s, round(t, 6))}
-        assert abs(sum(r.taken for r in own) - t) <= max(0.1 * t, 3)
+        assert abs(sum(r.taken for r in own) - t) <= max(0.01 * t, 16)  # a block, where 1 % is less
     assert all(0 <= r.taken <= 3 * r["size"] for r in got)
     key = lambda rs: sorted((r.doc_id or -1, r["size"], r.taken) for r in rs)
     assert key(got) == key(mixing.plan_mix(docs.repartition(5)).collect())
@@ -160,13 +160,35 @@ def test_a_tiny_source_leaves_other_blocks_alone(spark):
     big = {r.doc_id: r for r in mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     tiny = spark.createDataFrame([*rows, (5000, "one two three four five", "tiny")], "doc_id long, text string, source string")
     got = {r.doc_id: r for r in mixing.plan_mix(tiny).collect()}
-    assert min(r.block_words for k, r in got.items() if k < 5000) > 3000 and min(r.block_words for r in big.values()) > 3000
-    assert got[5000].block_words == 1 and got[5000].taken == 15
+    assert got[5000].taken == 15 and sum(0 < r.taken % 300 for r in big.values()) < 10
     assert sum(0 < r.taken % 300 for r in got.values() if r.doc_id < 900) < 100
     parts = [r.text for r in mixing.mix_documents(tiny).where("source = 'big'").collect()]
     assert sum(len(t.split()) >= 100 for t in parts) > 0.9 * len(parts)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_mixed_sources_meet_their_targets(spark, sf):
+    """Every source within 1 % of its target."""
+    got = mixing.plan_mix(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).groupBy("source_rank").agg(F.first("target").alias("t"), F.sum("taken").alias("n")).collect()
+    assert len(got) > 5 and all(abs(r.n - r.t) <= 0.01 * r.t for r in got)
+
+
+def test_stages_with_clashing_columns(spark):
+    """Columns named like everything that the mixing and near-duplicate stages use come through."""
+    from quillstore.llm import similar
+    from quillstore.llm.util import ship
+
+    ship(spark)
+    names = "row body key row_hash copy copies pieces full lo hi wrap start part size shard rank plan _copies _kept _hash id hash root component_id text_hash fp _row_hash _full _key taken".split()
+    texts = [words(60, 1), words(60, 1), words(60, 2), None, "", words(60, 3)]
+    d = spark.createDataFrame([(i, t, f"s{i % 2}", *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    for out in (mixing.mix_documents(d), simhash.one_of_each(d), simhash.one_of_each(d, near=similar.near_duplicates)):
+        assert out.columns == d.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+    assert {r.doc_id for r in simhash.one_of_each(d).collect()} == {0, 2, 3, 5}
+
+
 def test_apportionment(spark):
     votes = [53, 24, 23, 0, 1]
     d = spark.createDataFrame([(0, i, float(v), 27) for i, v in enumerate(votes)], "g int, _order int, v double, s long")

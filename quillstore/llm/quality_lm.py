@@ -4,8 +4,8 @@ Words (A-Z lower-cased) are the VOCABULARY most frequent ones of the trusted tex
 are classes by their shape, and a class word is also spelled, by a Kneser-Ney model of LETTERS letter classes, trigrams,
 of the words without a number of their own. A bigram is two 16-bit numbers, so the statistics of histories and of
 continuations are arrays of a proven size, which the driver holds and broadcasts, as is the table of letter trigrams. The
-bigrams' counts grow with the corpus. They never leave their shards: GRID x GRID of them, by history and by word, so that
-a frequent history is spread over GRID shards.
+bigrams' counts grow with the corpus. They never leave their shards: grid x grid of them, by history and by word, so that
+a frequent history is spread over grid shards. The grid grows with the trusted text, a shard for SHARD_WORDS words of it.
 
   - counting: tasks count their trusted texts' bigrams, pack them by shard, and a shard adds up what it gets;
   - scoring: a text's bigrams are packed by shard, each distinct one of a document once with its number, and meet the
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .util import small, written
 
-SYMBOLS, CLASSES, GRID, BLOCK_WORDS = 1 << 16, 256, 8, 500_000
+SYMBOLS, CLASSES, BLOCK_WORDS = 1 << 16, 256, 500_000
+SHARD_WORDS, GRIDS = 1 << 18, (8, 256)  # words of trusted text for a shard, and the least and greatest grid
 VOCABULARY = SYMBOLS - CLASSES
 START = 0  # no word has this class: it stands before the first word
 QUANTILE, SLACK, PRIOR, HELD, SEED = 0.995, 1.25, 20, 10, 11
@@ -84,16 +85,24 @@ def bigrams(numbers: np.ndarray) -> np.ndarray:
     return np.concatenate([[START], numbers[:-1]])[: len(numbers)] * SYMBOLS + numbers
 
 
-def _split(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grid_for(words: int) -> int:
+    """A power of two, so that grid x grid shards have some SHARD_WORDS words each."""
+    grid, most = GRIDS
+    while grid < most and grid * grid * SHARD_WORDS < words:
+        grid *= 2
+    return grid
+
+
+def _split(grams: np.ndarray, grid: int) -> tuple[np.ndarray, np.ndarray]:
     """(shard, number within the shard) of bigrams."""
     h, w = grams // SYMBOLS, grams % SYMBOLS
-    return h % GRID * GRID + w % GRID, h // GRID * (SYMBOLS // GRID) + w // GRID
+    return h % grid * grid + w % grid, h // grid * (SYMBOLS // grid) + w // grid
 
 
-def _joined(shard: int, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _joined(shard: int, inner: np.ndarray, grid: int) -> tuple[np.ndarray, np.ndarray]:
     """(history, word) of numbers within a shard."""
-    n = SYMBOLS // GRID
-    return inner // n * GRID + shard // GRID, inner % n * GRID + shard % GRID
+    n = SYMBOLS // grid
+    return inner // n * grid + shard // grid, inner % n * grid + shard % grid
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -138,15 +147,15 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(each, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _shards(table: DataFrame, *order: str) -> DataFrame:
-    n = max(GRID * GRID, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _shards(table: DataFrame, grid: int, *order: str) -> DataFrame:
+    n = max(grid * grid, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return table.repartition(n, "shard").sortWithinPartitions("shard", *order)
 
 
 COUNTS = "shard int, grams binary, counts binary, histories binary, continuations binary, kinds binary"
 
 
-def count_bigrams(texts: DataFrame, vocabulary) -> DataFrame:
+def count_bigrams(texts: DataFrame, vocabulary, grid: int) -> DataFrame:
     """A row for each shard: its bigrams in order with their counts, and its part of the statistics."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +163,10 @@ def count_bigrams(texts: DataFrame, vocabulary) -> DataFrame:
 
         def out():
             grams, n = np.unique(np.concatenate(held), return_counts=True)
-            shard, inner = _split(grams)
+            shard, inner = _split(grams, grid)
             order = np.lexsort((inner, shard))
-            at = np.searchsorted(shard[order], np.arange(GRID * GRID + 1))
-            parts = [(k, order[at[k] : at[k + 1]]) for k in range(GRID * GRID)]
+            at = np.searchsorted(shard[order], np.arange(grid * grid + 1))
+            parts = [(k, order[at[k] : at[k + 1]]) for k in range(grid * grid)]
             return _rows("shard int, grams binary, counts binary", [(k, _packed(np.diff(inner[i], prepend=0)), _packed(n[i])) for k, i in parts if len(i)])
 
         for b in batches:
@@ -174,8 +183,8 @@ def count_bigrams(texts: DataFrame, vocabulary) -> DataFrame:
 
         def out():
             g, n = _sums(np.concatenate(grams), np.concatenate(counts))
-            h, w = (x // GRID for x in _joined(now, g))
-            size, few = SYMBOLS // GRID, [np.bincount(h[n == k] if k < 3 else h[n >= 3], minlength=SYMBOLS // GRID) for k in (1, 2, 3)]
+            h, w = (x // grid for x in _joined(now, g, grid))
+            size, few = SYMBOLS // grid, [np.bincount(h[n == k] if k < 3 else h[n >= 3], minlength=SYMBOLS // grid) for k in (1, 2, 3)]
             histories = np.stack([np.bincount(h, weights=n, minlength=size), *few]).astype("<i8").tobytes()
             kinds = np.array([(n == k).sum() for k in (1, 2, 3, 4)], "<i8").tobytes()
             return _rows(COUNTS, [(now, _packed(np.diff(g, prepend=0)), _packed(n), histories, np.bincount(w, minlength=size).astype("<i8").tobytes(), kinds)])
@@ -193,7 +202,20 @@ def count_bigrams(texts: DataFrame, vocabulary) -> DataFrame:
         if grams:
             yield out()
 
-    return _shards(texts.mapInArrow(each, "shard int, grams binary, counts binary")).mapInArrow(added, COUNTS)
+    return _shards(texts.mapInArrow(each, "shard int, grams binary, counts binary"), grid).mapInArrow(added, COUNTS)
+
+
+def _added_up(rows: DataFrame) -> list:
+    """(k, v) with the arrays v (longs, as binary) of each k of rows (k, v) added up."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(*(c.to_pylist() for c in b.columns)):
+                sums[k] = sums.get(k, 0) + np.frombuffer(v, "<i8")
+        yield _rows("k int, v binary", [(k, v.astype("<i8").tobytes()) for k, v in sums.items()])
+
+    return [(r["k"], np.frombuffer(r["v"], "<i8")) for r in rows.repartition("k").mapInArrow(each, "k int, v binary").collect()]
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -219,14 +241,13 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
 class Model:
     """All of the model but the bigrams' counts: arrays of a size that is known beforehand."""
 
-    def __init__(self, rows: list, letters: np.ndarray):
-        size = SYMBOLS // GRID
-        histories, continuations, kinds = np.zeros((4, SYMBOLS)), np.zeros(SYMBOLS, np.int64), np.zeros(4, np.int64)
-        for r in rows:  # at most GRID * GRID
-            a, b = divmod(r["shard"], GRID)
-            histories[:, a::GRID] += np.frombuffer(r["histories"], "<i8").reshape(4, size)
-            continuations[b::GRID] += np.frombuffer(r["continuations"], "<i8")
-            kinds += np.frombuffer(r["kinds"], "<i8")
+    def __init__(self, grid: int, histories_: list, continuations_: list, kinds: np.ndarray, letters: np.ndarray):
+        self.grid = grid
+        histories, continuations = np.zeros((4, SYMBOLS)), np.zeros(SYMBOLS, np.int64)
+        for a, v in histories_:
+            histories[:, a::grid] = v.reshape(4, -1)
+        for b, v in continuations_:
+            continuations[b::grid] = v
         self.total = histories[0]
         self.off = discounts(*kinds)
         with np.errstate(all="ignore"):
@@ -264,13 +285,17 @@ def train(trusted: DataFrame, text: str = "text"):
     found = words.select("word").mapInArrow(spelled, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most LETTERS ** 3
     letters = np.zeros(LETTERS**3, np.int64)
     letters[[r["gram"] for r in found]] = [r["n"] for r in found]
-    counts = written(count_bigrams(texts, vocabulary), "lm-counts")
-    rows = counts.select("shard", "histories", "continuations", "kinds").collect()  # at most GRID * GRID
-    return context.broadcast(Model(rows, letters)), vocabulary, counts.select("shard", "grams", "counts")
+    grid = grid_for(words.agg(F.sum("n")).first()[0] or 0)
+    counts = written(count_bigrams(texts, vocabulary, grid), "lm-counts")
+    part = lambda k, v: _added_up(counts.select(k.cast("int").alias("k"), F.col(v).alias("v")))  # noqa: E731  SYMBOLS numbers or so, whatever the grid
+    kinds = sum((v for _, v in part(F.lit(0), "kinds")), np.zeros(4, np.int64))
+    model = Model(grid, part(F.expr(f"shard div {grid}"), "histories"), part(F.col("shard") % grid, "continuations"), kinds, letters)
+    return context.broadcast(model), vocabulary, counts.select("shard", "grams", "counts")
 
 
 def score(docs: DataFrame, model, vocabulary, counts: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, lang, n_words, log_prob) of every document."""
+    grid = model.value.grid
     asked_of = "shard int, kind int, block long, grams binary, docs binary, counts binary"
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,11 +311,11 @@ def score(docs: DataFrame, model, vocabulary, counts: DataFrame, *, doc_id: str
                     base.append(m.backed_off(numbers[-1], words))
                     total += len(words)
                 size = [len(x) for x in numbers]
-                shard, inner = _split(np.concatenate([bigrams(x) for x in numbers]))
+                shard, inner = _split(np.concatenate([bigrams(x) for x in numbers]), grid)
                 key, n = np.unique((shard << 42) + (inner << 16) + np.repeat(np.arange(len(size)), size), return_counts=True)
-                cut = np.searchsorted(key >> 42, np.arange(GRID * GRID + 1))
+                cut = np.searchsorted(key >> 42, np.arange(grid * grid + 1))
                 rows = []
-                for k in range(GRID * GRID):
+                for k in range(grid * grid):
                     own = key[cut[k] : cut[k + 1]] - (k << 42)
                     if len(own):
                         rows.append((k, 1, block, _packed(np.diff(own >> 16, prepend=0)), _packed(own & 0xFFFF), _packed(n[cut[k] : cut[k + 1]])))
@@ -317,7 +342,7 @@ def score(docs: DataFrame, model, vocabulary, counts: DataFrame, *, doc_id: str
                     g = np.cumsum(_unpacked(grams))
                     at = np.minimum(np.searchsorted(have, g), len(have) - 1)
                     hit = np.flatnonzero(have[at] == g)
-                    gain = m.gains(*_joined(shard, g[hit]), n[at[hit]]) * _unpacked(counts_)[hit]
+                    gain = m.gains(*_joined(shard, g[hit], grid), n[at[hit]]) * _unpacked(counts_)[hit]
                     rows.append((block, kind, shard, np.bincount(_unpacked(docs_)[hit], weights=gain).astype("<f4").tobytes()))
             yield _rows("block long, kind int, shard int, data binary", rows)
 
@@ -345,7 +370,7 @@ def score(docs: DataFrame, model, vocabulary, counts: DataFrame, *, doc_id: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     none = F.lit(None).cast("binary")
     counted = counts.select("shard", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"), "grams", none.alias("docs"), "counts")
-    sums = _shards(counted.unionByName(rows.mapInArrow(asked, asked_of)), "kind", "block").mapInArrow(met, "block long, kind int, shard int, data binary")
+    sums = _shards(counted.unionByName(rows.mapInArrow(asked, asked_of)), grid, "kind", "block").mapInArrow(met, "block long, kind int, shard int, data binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = sums.repartition(n, "block").sortWithinPartitions("block", F.desc("kind"), "shard")
     return blocks.mapInArrow(summed, f"doc_id {kind}, lang string, n_words long, log_prob double")

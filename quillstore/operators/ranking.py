@@ -6,8 +6,6 @@ literal; postings are filtered to the queries' terms before anything is grouped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +46,11 @@ def bm25(words: DataFrame, terms: DataFrame) -> DataFrame:
     size = words.select(F.size("words").alias("dl")).agg(F.count(F.lit(1)).alias("total"), F.avg("dl").alias("mean"))
     hit = words.select("n", F.size("words").alias("dl"), F.filter("words", lambda w: w.isin(*wanted)).alias("hits")).where("size(hits) > 0")
     tf = hit.select("n", "dl", F.explode("hits").alias("term")).groupBy("n", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return bm25_parts(tf, size, terms)
+
+
+def bm25_parts(tf: DataFrame, size: DataFrame, terms: DataFrame) -> DataFrame:
+    """As bm25, from the queries' postings (n, dl, term, tf) and the corpus's size (total, mean; one row)."""
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rows = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(size)).join(F.broadcast(terms), "term")  # terms: the queries' words; size: one row
     idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -55,6 +58,13 @@ def bm25(words: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.withColumn("part", part)
 
 
+def search_index(index, terms: DataFrame) -> DataFrame:
+    """As bm25, from a SegmentedIndex: only the buckets of the queries' terms are read."""
+    total, mean = index.size()
+    size = terms.sparkSession.createDataFrame([(total, mean)], "total long, mean double")
+    return bm25_parts(index.postings([r[0] for r in terms.select("term").distinct().collect()]), size, terms)
+
+
 def signals(words: DataFrame, terms: DataFrame, *, damping: float = 1.0, power: float = sc.COVERAGE_POWER) -> DataFrame:
     """(query_id, n, bm25, fts, specificity, coverage) of every hit.
 
@@ -205,30 +215,37 @@ def mmr(ranked: DataFrame, lam: float = sc.MMR_LAMBDA) -> DataFrame:
     return rows.groupBy("query_id").applyInPandas(each, "query_id string, n long, position long")
 
 
+#: Rows of a block of vectors, and of a block of query vectors: what one group of a block join holds.
+VECTOR_BLOCK, QUERY_BLOCK = 20_000, 1000
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 20, least: float = 0.3) -> DataFrame:
-    """(query_id, n, similarity): the k nearest unit vectors of each query vector (query_id, q), by an Arrow matrix product.
+    """(query_id, n, similarity): the k nearest unit vectors (n, v) of each query vector (query_id, q), by matrix products.
 
-    The query frame is bounded by the caller's batch; every vector is scored where it lies, and only each task's k best
-    are shuffled.
+    Vectors and queries are dealt to blocks, and each pair of blocks is a bounded group of its own, whose k best for each
+    query go on. Neither side is collected or broadcast.
     """
     import numpy as np
 
-    ids, q = zip(*[(r[0], r[1]) for r in queries.collect()])
-    q = np.array(q, float)
-    q = vectors.sparkSession.sparkContext.broadcast(q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12))
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            v = np.array(b.v.tolist(), float)
-            s = np.round((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ q.value.T, 6)
-            n = b.n.to_numpy()
-            for j, name in enumerate(ids):
-                keep = np.lexsort((n, -s[:, j]))[:k]
-                keep = keep[s[keep, j] >= least]
-                yield pd.DataFrame({"query_id": name, "n": n[keep], "similarity": s[keep, j]})
-
-    best = vectors.select("n", "v").mapInPandas(each, "query_id string, n long, similarity double")
+    spread = lambda d, key, size: (d.withColumn("_of", F.pmod(F.xxhash64(key), F.lit(size))), size)
+    v, n_v = spread(vectors, "n", max(1, -(-vectors.count() // VECTOR_BLOCK)))
+    q, n_q = spread(queries.toDF("query_id", "q"), "query_id", max(1, -(-queries.count() // QUERY_BLOCK)))
+    v = v.select(F.col("_of").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), "n", F.col("v").cast("array<double>").alias("v"))
+    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"), F.col("_of").alias("qb"), "query_id", F.col("q").cast("array<double>").alias("q"))
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def each(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": pd.Series(dtype=object), "n": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})]
+        if len(left) and len(right):
+            a, b, n = unit(np.array(left.v.tolist(), float)), unit(np.array(right.q.tolist(), float)), left.n.to_numpy()
+            for at in range(0, len(b), 100):
+                s = np.round(a @ b[at : at + 100].T, 6)
+                for j, name in enumerate(right.query_id[at : at + 100]):
+                    keep = np.lexsort((n, -s[:, j]))[:k]
+                    keep = keep[s[keep, j] >= least]
+                    out.append(pd.DataFrame({"query_id": name, "n": n[keep], "similarity": s[keep, j]}))
+        return pd.concat(out[1:] or out)
+
+    best = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(each, "query_id string, n long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "n")
     return best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")

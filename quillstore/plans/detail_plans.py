@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as fl
 from ..operators import ranking as rk
+from ..operators import topk as tk
+from ..operators.orders import numbered
 from ..sources import tables as tb
 from ..sources.tables import AS_OF, ATOMS, EDGES, EPISODES, LOG, TRIPLES
-from .recall_plans import BOOST, CHAIN, RANKED, SCORES, _recursive, ranked_of, scores_of, signals_of
+from .recall_plans import BOOST, CHAIN, FTS, RANKED, SCORES, _recursive, ranked_of, scores_of, signals_of
 from .registry import query
 from .store_plans import CAND, GRAPH, VIS, age, graph_edges, graph_nodes, title
 
@@ -161,9 +163,9 @@ def r13(spark, sf):
     return rk.reserved_fill(ranked_of(spark, sf).select("query_id", "n", "type", "rank", "tokens"), 4000)
 
 
-@query("R17_episode_scores", EPISODES, sql="SELECT episode, round((len(list_intersect(list_distinct(regexp_extract_all(lower(summary), '[\\p{L}\\p{N}]+')), ['the', 'thea', 'erin'])) / 3.0) * 0.8 + pow(0.5, greatest(366 - hours / 24.0, 0) / 30) * 0.2, 6) AS score FROM (SELECT * FROM episodes ORDER BY hours DESC LIMIT 20)")
+@query("R17_episode_scores", EPISODES, sql="SELECT episode, round((len(list_intersect(list_distinct(regexp_extract_all(lower(summary), '[\\p{L}\\p{N}]+')), ['the', 'thea', 'erin'])) / 3.0) * 0.8 + pow(0.5, greatest(366 - hours / 24.0, 0) / 30) * 0.2, 6) AS score FROM (SELECT * FROM episodes ORDER BY hours DESC, episode LIMIT 20)")
 def r17(spark, sf):
-    e = tb.episodes(spark, sf).orderBy(F.desc("hours")).limit(20)
+    e = tb.episodes(spark, sf).orderBy(F.desc("hours"), "episode").limit(20)
     found = F.size(F.array_intersect(rk.tokens(F.col("summary")), F.array(F.lit("the"), F.lit("thea"), F.lit("erin")))) / 3.0
     return e.select("episode", F.round(found * 0.8 + F.pow(F.lit(0.5), F.greatest(366 - F.col("hours") / 24.0, F.lit(0)) / 30) * 0.2, 6).alias("score"))
 
@@ -172,8 +174,8 @@ def r17(spark, sf):
 def r16(spark, sf):
     """Recall without a task: by status and creation, then by diversity, then the budget with reservations by last update."""
     a = fl.candidates(tb.atoms(spark, sf))
-    w = Window.orderBy(fl.priority(), F.desc("created_at"), "n")  # one store's order, of narrow rows
-    scored = a.select(F.lit("all").alias("query_id"), "n", (-F.row_number().over(w)).cast("double").alias("score"))
+    ranked = numbered(a.select("n", fl.priority().alias("p"), "created_at"), ["p", F.desc("created_at"), "n"])
+    scored = ranked.select(F.lit("all").alias("query_id"), "n", (-F.col("rank")).cast("double").alias("score"))
     rows = scored.join(a.select("n", _grams().alias("words")), "n")
     order = rk.mmr(rows.select("query_id", "n", "score", "words")).join(a.select("n", "type", "updated_at", F.ceil(F.length("body") / 4).alias("tokens")), "n")
     last = Window.partitionBy("query_id").orderBy(F.desc("updated_at"), "position")
@@ -208,12 +210,21 @@ def l27(spark, sf):
     return top.groupBy("query_id").agg((F.max(F.when(F.col("n") % 7 == 0, 1).otherwise(0)) == 1).alias("passed"))
 
 
-@query("H4_near_duplicates", ATOMS, sql="SELECT x.n AS a, y.n AS b FROM atoms x JOIN atoms y ON x.n < y.n AND left(trim(string_split(x.body, chr(10))[1]), 80) = left(trim(string_split(y.body, chr(10))[1]), 80) WHERE len(list_intersect(x.tags, y.tags)) / len(list_distinct(x.tags || y.tags)) > 0.5 AND length(trim(string_split(x.body, chr(10))[1])) >= 5")
+_LINE = "trim(regexp_replace(coalesce(list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '\\S'))[1], ''), '^#+\\s*', ''))"
+TITLES = f"""heads AS (SELECT n, tags, {_LINE} AS title FROM atoms WHERE status = 'active'),
+asked AS (SELECT q, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(title, '\\b(AND|OR|NOT|NEAR)\\b', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+'))) AS term
+  FROM (SELECT title, min(n) AS q FROM heads WHERE length(title) >= 5 GROUP BY title)),
+tf0 AS (SELECT n, dl, term, count(*) AS tf FROM (SELECT n, len(words) AS dl, unnest(words) AS term FROM words) GROUP BY ALL), df0 AS (SELECT term, count(*) AS df FROM tf0 GROUP BY term),
+top AS (SELECT q, n FROM (SELECT q, n, round(sum(greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM asked JOIN tf0 USING (term) JOIN df0 USING (term) CROSS JOIN size GROUP BY q, n) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, n) <= 5)"""
+
+
+@query("H4_near_duplicates", ATOMS, VIS, FTS, TITLES, sql="""SELECT DISTINCT least(x.n, y.n) AS a, greatest(x.n, y.n) AS b, round(len(list_intersect(x.tags, y.tags)) / len(list_distinct(x.tags || y.tags)), 6) AS overlap
+  FROM heads x JOIN (SELECT title, min(n) AS q FROM heads WHERE length(title) >= 5 GROUP BY title) USING (title) JOIN top ON top.q = x_q.q JOIN heads y ON y.n = top.n AND y.n <> x.n WHERE len(list_intersect(x.tags, y.tags)) / len(list_distinct(x.tags || y.tags)) > 0.5""".replace("GROUP BY title) USING (title)", "GROUP BY title) x_q ON x_q.title = x.title"))
 def h4(spark, sf):
-    t = tb.atoms(spark, sf).select("n", "tags", F.substring(F.trim(F.split("body", "\n")[0]), 1, 80).alias("t")).where("length(t) >= 5")
-    a, b = [t.select(F.col("n").alias(k), F.col("tags").alias(f"{k}_tags"), "t") for k in "ab"]
-    near = F.size(F.array_intersect("a_tags", "b_tags")) / F.size(F.array_union("a_tags", "b_tags")) > 0.5
-    return a.join(b, "t").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    """Titles as search queries, five best each; active pairs whose tags overlap by more than half. Five rows an atom at most."""
+    a = tb.atoms(spark, sf)
+    return tk.near_duplicates(a, rk.documents_terms(a.where(fl.visible())))
 
 
 @query("H7_composition", ATOMS, sql="SELECT count(*) >= 20 AND count(*) FILTER (type = 'belief') / count(*) > 0.8 AS skewed, count(DISTINCT type) FILTER (type IN ('decision', 'fact', 'procedure')) AS core_types FROM atoms WHERE status = 'active'")

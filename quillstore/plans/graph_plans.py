@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import distance as ds
+from ..operators import forest as fo
 from ..operators import graph as gr
 from ..sources import schema as sc
 from ..sources import tables as tb
-from ..sources.tables import AS_OF, ATOMS, EDGES, EVENTS_AS_OF, LOG
+from ..sources.tables import AS_OF, ATOMS, EDGES, EVENTS_AS_OF, EXTENSIONS, LOG
 from .recall_plans import weight_sql
 from .registry import query
 from .store_plans import GRAPH, USE, VIS, age, graph_edges, graph_nodes, usage
@@ -136,19 +138,50 @@ def g7(spark, sf):
     return gr.hops(tb.edges(spark, sf), tb.atoms(spark, sf).where("n % 100 = 0").select("n"))
 
 
-ARCS = "ARC(n, root, depth) AS (SELECT n, n, 0 FROM atoms WHERE type = 'belief' AND ((n // 9) % 5 = 0 OR n < 9) UNION ALL SELECT a.n, r.root, r.depth + 1 FROM atoms a JOIN ARC r ON a.n - 9 = r.n WHERE a.type = 'belief' AND (a.n // 9) % 5 <> 0)"
+_NEAREST = """nearest AS (SELECT source, n, min(hops) AS hops FROM t4 GROUP BY source, n)"""
 
 
-@query("G8_belief_arcs", sql=f"WITH RECURSIVE {ATOMS},\n{ARCS}\nSELECT root, count(*) AS size, max(depth) AS depth FROM ARC GROUP BY root HAVING count(*) >= 2")
+def _tag_hops(start: str) -> str:
+    """Breadth-first search from atom to tag to atom, four hops, from the atoms that `start` selects."""
+    out = [f"bag AS (SELECT n, unnest(tags) AS tag FROM nodes), t0 AS (SELECT n AS source, n, 0 AS hops FROM ({start}))"]
+    for i in range(1, 5):
+        out.append(f"""g{i} AS (SELECT DISTINCT source, tag FROM t{i - 1} JOIN bag USING (n) WHERE hops = {i - 1}),
+t{i} AS MATERIALIZED (SELECT * FROM t{i - 1} UNION ALL SELECT source, n, {i} FROM (SELECT DISTINCT g.source, b.n FROM g{i} g JOIN bag b USING (tag) WHERE (g.source, b.n) NOT IN (SELECT (source, n) FROM t{i - 1})))""")
+    return ",\n".join([*out, _NEAREST])
+
+
+@query("G7_tag_distance", ATOMS, EDGES, VIS, GRAPH, _tag_hops("SELECT n FROM nodes WHERE n % 100 = 0"), sql="""SELECT s.n AS source, coalesce(hops, 5) AS distance, count(*) AS atoms
+  FROM (SELECT n FROM nodes WHERE n % 100 = 0) s CROSS JOIN nodes x LEFT JOIN nearest t ON t.source = s.n AND t.n = x.n GROUP BY ALL""")
+def g7_tags(spark, sf):
+    """How many atoms each hundredth atom has at each distance by shared tags; 5: out of reach."""
+    nodes = graph_nodes(spark, sf).select("n", "tags")
+    return ds.distance_counts(nodes, nodes.where("n % 100 = 0"))
+
+
+@query("G7_edge_distance", ATOMS, EDGES, VIS, GRAPH, _tag_hops("SELECT DISTINCT src AS n FROM links"), sql="""SELECT src AS a, tgt AS b, coalesce(hops, 5) AS distance
+  FROM links LEFT JOIN nearest t ON t.source = src AND t.n = tgt""")
+def g7_edges(spark, sf):
+    """How far apart by tags the ends of relations lie."""
+    pairs = graph_edges(spark, sf).select(F.col("src").alias("a"), F.col("tgt").alias("b"))
+    return ds.pair_distances(graph_nodes(spark, sf).select("n", "tags"), pairs)
+
+
+ARC = """beliefs AS (SELECT n, created_at FROM atoms WHERE type = 'belief'),
+up AS (SELECT b.n, b.created_at, p.n AS parent FROM beliefs b LEFT JOIN extensions x ON x.child = b.n LEFT JOIN beliefs p ON p.n = x.parent),
+arc AS (SELECT n, n AS root, 0::BIGINT AS depth, [(created_at, n)] AS path FROM up WHERE parent IS NULL
+  UNION ALL SELECT u.n, a.root, a.depth + 1, list_append(a.path, (u.created_at, u.n)) FROM up u JOIN arc a ON u.parent = a.n)"""
+
+
+@query("G8_belief_arcs", sql=f"""WITH RECURSIVE {ATOMS},
+{EDGES},
+{EXTENSIONS},
+{ARC},
+walked AS (SELECT n, root, depth, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS position, count(*) OVER (PARTITION BY root) AS size FROM arc)
+SELECT b.n, root, depth, position FROM beliefs b LEFT JOIN (SELECT * FROM walked WHERE size > 1) w ON w.n = b.n""")
 def g8(spark, sf):
-    """Chains of beliefs by their parent; a chain is broken every fifth link, so it has five levels at most."""
-    b = tb.atoms(spark, sf).where("type = 'belief'").select("n")
-    level = b.where("(n div 9) % 5 = 0 or n < 9").select("n", F.col("n").alias("root"), F.lit(0).alias("depth"))
-    rest, out = b.where("(n div 9) % 5 <> 0 and n >= 9"), level
-    for d in range(1, 6):
-        level = rest.withColumn("p", F.col("n") - 9).join(level.select(F.col("n").alias("p"), "root"), "p").select("n", "root", F.lit(d).alias("depth"))
-        out = out.unionByName(level)
-    return out.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.max("depth").alias("depth")).where("size >= 2")
+    """Beliefs in trees of what they extend, of any depth, in depth-first order by creation; those alone or on cycles have nulls."""
+    beliefs = tb.atoms(spark, sf).where("type = 'belief'").select("n", "created_at")
+    return fo.arcs(beliefs, tb.extensions(spark, sf), ["created_at", "n"])
 
 
 @query("G9_edges_of_an_atom", EDGES, sql="SELECT tgt AS other, rel, 'out' AS direction FROM edges WHERE src = 42 UNION ALL SELECT src, rel, 'in' FROM edges WHERE tgt = 42")

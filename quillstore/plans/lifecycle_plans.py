@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import conflicts as cf
 from ..operators import filters as fl
 from ..operators import lifecycle as lc
+from ..operators.orders import sums_before
 from ..sources import tables as tb
+from ..sources.scratch import held
 from ..sources.tables import AS_OF, ATOMS, EDGES, EPISODES, LOG, TRIPLES
 from .registry import query
 from .store_plans import AGE, CAND, VIS, age
@@ -25,7 +28,13 @@ def j6(spark, sf):
 @query("J7_blocked_drafts", ATOMS, sql=f"SELECT x.n FROM atoms x WHERE x.status = 'draft' AND EXISTS (SELECT 1 FROM atoms y WHERE y.status = 'active' AND {_CLASH})")
 def j7(spark, sf):
     a = tb.atoms(spark, sf)
-    return lc.conflict_pairs(a.where("status = 'draft'"), a.where("status = 'active'")).select(F.col("a").alias("n")).distinct()
+    return cf.blocked(a.where("status = 'draft'"), a.where("status = 'active'"))
+
+
+@query("J6_conflict_links", ATOMS, sql=f"SELECT x.n, count(y.n) AS links FROM atoms x LEFT JOIN atoms y ON {_CLASH} AND y.status = 'active' WHERE x.status = 'active' GROUP BY x.n")
+def j6_links(spark, sf):
+    """With how many others each active atom conflicts: all of J6's pairs, counted without a row for each."""
+    return cf.conflict_links(tb.atoms(spark, sf).where("status = 'active'"))
 
 
 @query("L1_expiry", ATOMS, sql=f"SELECT n FROM atoms WHERE ttl_days IS NOT NULL AND {AGE} > ttl_days AND status NOT IN ('archived', 'expired')")
@@ -41,7 +50,7 @@ promoted AS (SELECT n, type FROM atoms WHERE status = 'draft' AND (type = 'open_
 def promoted(a):
     """Drafts among the atoms `a` that become active."""
     drafts = a.where("status = 'draft'")
-    blocked = lc.conflict_pairs(drafts, a.where("status = 'active'")).select(F.col("a").alias("n")).distinct()
+    blocked = cf.blocked(drafts, a.where("status = 'active'"))
     free = drafts.where("confidence >= 0.7").join(blocked, "n", "left_anti")
     old = F.col("type").isin("fact", "preference", "decision") & (age() >= 2)
     return drafts.where("type = 'open_question'").select("n", "type").unionByName(free.where(old | ((F.col("type") == "procedure") & F.col("executed_at").isNotNull())).select("n", "type"))
@@ -85,15 +94,15 @@ def l5(spark, sf):
     a = a.withColumn("out", F.coalesce("out", F.when(twice, F.when(F.col("k") > 1, "same_id").otherwise("waits"))))
     a = a.withColumn("k", F.when(left, F.row_number().over(Window.partitionBy("type", "h", left).orderBy(*last))))
     a = a.withColumn("out", F.coalesce("out", F.when(F.col("k") > 1, "same_body")))
-    alive = a.where("out is null").select("n", "type", "status", "confidence", "paths", "created_at", "executed_at")
-    new = promoted(alive)
+    a = held(a.select("n", "type", "status", "confidence", "paths", "created_at", "executed_at", "out"), "reflect")
+    alive = a.where("out is null")
+    new = held(promoted(alive), "promoted")
     active = alive.where("status = 'active'").unionByName(alive.join(new.select("n"), "n", "left_semi"))
-    pairs = lc.conflict_pairs(active, active).where("a < b")
     stages = spark.createDataFrame([(x,) for x in ("expired", "same_id", "same_body")], "stage string")
     taken = a.where("out is not null").groupBy(F.col("out").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
     out = stages.join(taken, "stage", "left").select("stage", F.coalesce("n", F.lit(0)).alias("n"))
     stage = lambda name, d: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
-    return out.unionByName(stage("promoted", new)).unionByName(stage("conflicts", pairs))
+    return out.unionByName(stage("promoted", new)).unionByName(cf.n_conflicts(active).select(F.lit("conflicts").alias("stage"), "n"))
 
 
 @query("L6_replay", LOG, sql="SELECT ref, arg_max(value, event_id) AS value FROM log WHERE action IN ('atom_updated', 'conflict_detected') GROUP BY ref HAVING arg_max(action, event_id) <> 'conflict_detected'")
@@ -170,10 +179,12 @@ def l23(spark, sf):
     return first.groupBy(F.split("first", "-")[0].alias("agent")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("L25_views", ATOMS, VIS, CAND, sql="SELECT type, string_agg('- ' || atom_id, chr(10) ORDER BY atom_id) AS view FROM cand WHERE status = 'active' AND type IN ('decision', 'constraint', 'open_question') GROUP BY type")
+@query("L25_views", ATOMS, VIS, CAND, sql="SELECT type, row_number() OVER (PARTITION BY type ORDER BY atom_id) AS line, '- ' || atom_id AS text FROM cand WHERE status = 'active' AND type IN ('decision', 'constraint', 'open_question')")
 def l25(spark, sf):
+    """The lines of each type's view, numbered over partitions: no view is one row or one task."""
     a = fl.candidates(tb.atoms(spark, sf), types=("decision", "constraint", "open_question"), statuses=("active",))
-    return a.groupBy("type").agg(F.array_join(F.transform(F.array_sort(F.collect_list("atom_id")), lambda x: F.concat(F.lit("- "), x)), "\n").alias("view"))
+    rows = sums_before(a.select("type", "atom_id"), ["type"], ["atom_id"], F.lit(1).cast("long"), "before")
+    return rows.select("type", (F.col("before") + 1).alias("line"), F.concat(F.lit("- "), "atom_id").alias("text"))
 
 
 @query("H1_contradictions", ATOMS, EDGES, sql="SELECT DISTINCT least(src, tgt) AS a, greatest(src, tgt) AS b FROM edges JOIN atoms x ON x.n = src AND x.status = 'active' JOIN atoms y ON y.n = tgt AND y.status = 'active' WHERE rel = 'contradicts'")

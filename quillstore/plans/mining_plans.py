@@ -14,9 +14,11 @@ REFS = f"""mentions AS (SELECT DISTINCT n, atom_id, body, unnest(regexp_extract_
 nears AS (SELECT n, ref, lower(body[greatest(instr(body, ref) - 100, 1):instr(body, ref) + 99]) AS near FROM mentions WHERE ref <> atom_id),
 refs AS (SELECT x.n, b.n AS target, {_CASE} AS rel FROM nears x JOIN atoms b ON b.atom_id = x.ref)"""
 PROSE = (ATOMS, EDGES, MINED, DECLARED, REFS)
-CONCEPTS = """names AS (SELECT DISTINCT lower(array_to_string(string_split(atom_id, '-')[5:-2], '-')) AS concept FROM atoms),
-runs AS (SELECT n, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(lower(body), '[^a-z0-9_ -]+|[-_ ]{2,}')), '[-_ ]'), lambda x: x <> '') AS w FROM mined),
-pairs AS (SELECT n, w[i] || '-' || w[i + 1] AS concept FROM (SELECT n, w, unnest(range(1, len(w))) AS i FROM runs))"""
+# every name searched in every body by a pattern of its own
+CONCEPTS = """names AS (SELECT n AS target, lower(array_to_string(string_split(atom_id, '-')[5:-2], '-')) AS concept FROM atoms),
+dictionary AS (SELECT concept, count(*) AS holders FROM names GROUP BY concept),
+spotted AS (SELECT n, concept, holders, len(regexp_extract_all(lower(body), '\\b' || replace(concept, '-', '[-_ ]') || '\\b')) AS count FROM mined, dictionary),
+spots AS (SELECT s.n, s.concept, count, holders - (t.target IS NOT NULL)::BIGINT AS targets FROM spotted s LEFT JOIN names t ON t.target = s.n AND t.concept = s.concept WHERE count > 0)"""
 
 
 def references(spark, sf):
@@ -29,7 +31,7 @@ def x20(spark, sf):
     return references(spark, sf)
 
 
-@query("J13_concept_references", ATOMS, EDGES, MINED, CONCEPTS, sql="SELECT n, concept, count(*) AS count FROM pairs JOIN names USING (concept) GROUP BY ALL")
+@query("J13_concept_references", ATOMS, EDGES, MINED, CONCEPTS, sql="SELECT n, concept, count, targets FROM spots WHERE targets > 0")
 def j13(spark, sf):
     return mi.concept_references(tb.mined(spark, sf).select("n", "atom_id", "body"))
 
@@ -53,12 +55,15 @@ def l17(spark, sf):
     return found.join(tb.declared(spark, sf).select(F.col("src").alias("n"), F.col("tgt").alias("target")), ["n", "target"], "left_anti")
 
 
-@query("L18_citation_index", *PROSE, CONCEPTS, sql="SELECT 'atom_id' AS kind, b.atom_id AS cited, count(*) AS citations, count(DISTINCT r.n) AS sources FROM refs r JOIN atoms b ON b.n = r.target GROUP BY 2 UNION ALL SELECT 'concept_name', concept, count(*), count(DISTINCT n) FROM pairs JOIN names USING (concept) GROUP BY 2")
+@query("L18_citation_index", *PROSE, CONCEPTS, sql="""SELECT 'atom_id' AS kind, b.atom_id AS cited, count(*) AS citations, count(DISTINCT r.n) AS sources FROM refs r JOIN atoms b ON b.n = r.target GROUP BY 2 UNION ALL
+  SELECT 'concept_name', a.atom_id, sum(count)::BIGINT, count(DISTINCT s.n) FROM spots s JOIN names t ON t.concept = s.concept AND t.target <> s.n JOIN atoms a ON a.n = t.target GROUP BY 2""")
 def l18(spark, sf):
+    """How often, and by how many, each atom is cited: by its id, and by its concept's name."""
     a = tb.mined(spark, sf).select("n", "atom_id", "body")
-    ids = references(spark, sf).join(a.select(F.col("n").alias("target"), F.col("atom_id").alias("cited")), "target").groupBy("cited").agg(F.count(F.lit(1)).alias("citations"), F.countDistinct("n").alias("sources"))
-    names = mi.concept_references(a).groupBy(F.col("concept").alias("cited")).agg(F.sum("count").alias("citations"), F.countDistinct("n").alias("sources"))
-    return ids.select(F.lit("atom_id").alias("kind"), "*").unionByName(names.select(F.lit("concept_name").alias("kind"), "*"))
+    ids = a.select(F.col("n").alias("target"), F.col("atom_id").alias("cited"))
+    by_id = references(spark, sf).groupBy("target").agg(F.count(F.lit(1)).alias("citations"), F.countDistinct("n").alias("sources"))
+    both = by_id.select(F.lit("atom_id").alias("kind"), "*").unionByName(mi.concept_citations(a).select(F.lit("concept_name").alias("kind"), "*"))
+    return both.join(ids, "target").select("kind", "cited", "citations", "sources")
 
 
 @query("H3_orphans", *PROSE, sql="SELECT n FROM atoms WHERE type NOT IN ('preference', 'entity_summary') AND n NOT IN (SELECT src FROM declared UNION ALL SELECT tgt FROM declared UNION ALL SELECT target FROM refs)")

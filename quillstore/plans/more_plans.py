@@ -173,10 +173,15 @@ def r8(spark, sf):
     return rows.where("similarity >= 0.3")
 
 
-@query("R14_reservation_rule", sql="SELECT has_task, explicit, CASE explicit WHEN 'on' THEN true WHEN 'off' THEN false ELSE NOT has_task END AS reserved FROM (VALUES (true), (false)) t(has_task), (VALUES ('on'), ('off'), ('unset')) e(explicit)")
+@query("R14_reservation_rule", sql="""SELECT conv_id, has_task, explicit, CASE explicit WHEN 'on' THEN true WHEN 'off' THEN false ELSE NOT has_task END AS reserved FROM (
+  SELECT conv_id, count(*) FILTER (role = 'user' AND trim(text) <> '') > 0 AS has_task, CASE arg_min(role, turn) WHEN 'system' THEN 'on' WHEN 'assistant' THEN 'off' ELSE 'unset' END AS explicit FROM conversations GROUP BY conv_id)""")
 def r14(spark, sf):
-    """Quotas apply without a task, unless the caller says."""
-    rows = spark.createDataFrame([(t, e) for t in (True, False) for e in ("on", "off", "unset")], "has_task boolean, explicit string")
+    """Quotas apply without a task, unless the caller says. A conversation's user turns are its task; who opens it says."""
+    c = tb.table(spark, sf, "conversations").groupBy("conv_id").agg(
+        (F.count_if((F.col("role") == "user") & (F.trim("text") != "")) > 0).alias("has_task"), F.min_by("role", "turn").alias("opens")
+    )
+    explicit = F.when(F.col("opens") == "system", "on").when(F.col("opens") == "assistant", "off").otherwise("unset")
+    rows = c.select("conv_id", "has_task", explicit.alias("explicit"))
     return rows.withColumn("reserved", F.when(F.col("explicit") == "unset", ~F.col("has_task")).otherwise(F.col("explicit") == "on"))
 
 
@@ -225,10 +230,14 @@ def m5(spark, sf):
     return old.join(new.select("vec_id"), "vec_id", "left_anti").unionByName(new)
 
 
-@query("M12_embed_modes", sql="SELECT mode, has_vectors, mode = 'on' OR (mode = 'auto' AND has_vectors) AS embeds FROM (VALUES ('auto'), ('on'), ('off')) m(mode), (VALUES (true), (false)) v(has_vectors)")
+@query("M12_embed_modes", ATOMS, sql="""SELECT mode, type, count(*) FILTER (mode = 'on' OR (mode = 'auto' AND v.vec_id IS NOT NULL)) AS embeds, count(*) AS atoms
+  FROM atoms LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) v ON vec_id = n CROSS JOIN (VALUES ('auto'), ('on'), ('off')) m(mode) GROUP BY ALL""")
 def m12(spark, sf):
-    rows = spark.createDataFrame([(m, v) for m in ("auto", "on", "off") for v in (True, False)], "mode string, has_vectors boolean")
-    return rows.withColumn("embeds", (F.col("mode") == "on") | ((F.col("mode") == "auto") & F.col("has_vectors")))
+    """For which atoms each mode of a fixture searches by vector: always, never, or where a vector is."""
+    has = tb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("n"), F.lit(True).alias("has")).distinct()
+    rows = tb.atoms(spark, sf).select("n", "type").join(has, "n", "left").withColumn("mode", F.explode(F.array(*[F.lit(m) for m in ("auto", "on", "off")])))
+    embeds = (F.col("mode") == "on") | ((F.col("mode") == "auto") & F.col("has").isNotNull())
+    return rows.groupBy("mode", "type").agg(F.count_if(embeds).alias("embeds"), F.count(F.lit(1)).alias("atoms"))
 
 
 LIFE = """requests AS (SELECT ref AS n, arg_max(action, event_id) AS action, max(ts) AS seen, arg_max(value, event_id) AS value FROM log WHERE action <> 'session_started' GROUP BY ref)"""

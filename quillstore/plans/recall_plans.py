@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as fl
 from ..operators import ranking as rk
+from ..operators.orders import numbered
 from ..sources import schema as sc
 from ..sources import tables as tb
-from ..sources.tables import AS_OF, ATOMS, EDGES, EPISODES, QUERY_TEXTS
-from .registry import query
-from .store_plans import CAND, VIS, age
+from ..sources.tables import AS_OF, ATOMS, EDGES, EPISODES, LOG, QUERY_TEXTS
+from .registry import ORACLE_SQL, query
+from .store_plans import CAND, REVISED, VIS, age
 
 _QT = "qt(query_id, term, n_terms) AS (VALUES " + ", ".join(f"('{q}', '{t}', {len(s.split())})" for q, s in QUERY_TEXTS.items() for t in s.split()) + ")"
 FTS = _QT + """,
@@ -71,6 +72,9 @@ def r1(spark, sf):
     return signals_of(spark, sf).select("query_id", "n", F.round("bm25", 6).alias("bm25"))
 
 
+ORACLE_SQL["S15_segments"] = "WITH " + ",\n".join((ATOMS, LOG, REVISED, FTS)) + "\nSELECT query_id, n, round(bm25, 6) AS bm25 FROM hits"
+
+
 @query("R2_episode_search", EPISODES, sql="""SELECT episode, count(*) AS hits FROM (SELECT episode, unnest(regexp_extract_all(lower(summary), '[\\p{L}\\p{N}]+')) AS term FROM episodes) WHERE term IN ('the', 'und', 'thea') GROUP BY episode""")
 def r2(spark, sf):
     e = tb.episodes(spark, sf).select("episode", F.explode(rk.tokens(F.col("summary"))).alias("term"))
@@ -194,7 +198,7 @@ def t4(spark, sf):
 def r23(spark, sf):
     done = tb.table(spark, sf, "embeddings").where("vec_id % 4 <> 0").select(F.col("vec_id").alias("n"))
     left = tb.atoms(spark, sf).select("n").join(done, "n", "left_anti")
-    return left.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("n")) - 1) / 100))
+    return numbered(left, ["n"]).select("n", F.floor((F.col("rank") - 1) / 100).alias("batch"))
 
 
 @query("A14_mean_words", ATOMS, VIS, CAND, sql="SELECT type, round(avg(len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> ''))), 6) AS mean_words FROM cand GROUP BY type")

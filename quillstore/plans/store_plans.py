@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import filters as fl
 from ..operators import lifecycle as lc
+from ..operators import ranking as rk
+from ..operators.orders import sums_before
 from ..sources import tables as tb
+from ..sources.index import SegmentedIndex
+from ..sources.scratch import shared_dir
 from ..sources.tables import AS_OF, ATOMS, EDGES, EPISODES, EVENTS_AS_OF, LOG, TRIPLES
 from .registry import query
 
@@ -97,6 +103,26 @@ def s15(spark, sf):
     return kept.unionByName(new)
 
 
+REVISED = f"""changes AS (SELECT ref AS n, arg_max(action, event_id) AS last, count(*) AS k FROM log WHERE action IN ('atom_updated', 'conflict_detected') GROUP BY ref),
+vis AS (SELECT a.* REPLACE (CASE WHEN last = 'atom_updated' THEN body || ' revised thea erin ' || k ELSE body END AS body) FROM atoms a LEFT JOIN changes USING (n) WHERE {VISIBLE} AND coalesce(last, '') <> 'conflict_detected')"""
+
+
+@query("S15_segments")
+def s15_segments(spark, sf):
+    """Search over an index in segments: all atoms, then the log's revisions and removals as a batch, then a merge."""
+    from .recall_plans import words_of  # that module uses this one
+
+    changes = tb.log(spark, sf).where("action in ('atom_updated', 'conflict_detected')").groupBy(F.col("ref").alias("n")).agg(F.max_by("action", "event_id").alias("last"), F.count(F.lit(1)).alias("k"))
+    seen = tb.atoms(spark, sf).where(fl.visible())
+    revised = seen.join(changes.where("last = 'atom_updated'"), "n").withColumn("body", F.concat("body", F.lit(" revised thea erin "), F.col("k").cast("string")))
+    index = SegmentedIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.apply(words_of(spark, sf))
+    index.apply(rk.documents_terms(revised.select("n", "body")), changes.where("last = 'conflict_detected'").select("n"))
+    index.merge()
+    hits = rk.search_index(index, rk.query_terms(spark, tb.QUERY_TEXTS))
+    return hits.groupBy("query_id", "n").agg(F.round(F.sum("part"), 6).alias("bm25"))
+
+
 @query("S16_vector_stats", sql="SELECT label, count(*) AS n, min(len(embedding)) AS dims FROM embeddings GROUP BY label ORDER BY n DESC, label LIMIT 3")
 def s16(spark, sf):
     e = tb.table(spark, sf, "embeddings")
@@ -232,14 +258,11 @@ def j15(spark, sf):
 
 @query("J17_sessions_since", ATOMS, LOG, sql="""SELECT n, (SELECT count(*) FROM (SELECT min(ts) AS t FROM log GROUP BY session_id) s WHERE t >= created_at) AS sessions FROM atoms""")
 def j17(spark, sf):
-    # both sides merged in one ordered pass: counts per day, then running sums, no range join
-    starts = tb.log(spark, sf).groupBy("session_id").agg(F.min("ts").alias("t"))
-    a = tb.atoms(spark, sf).select("n", "created_at")
-    hours = starts.groupBy(F.date_trunc("hour", "t").cast("timestamp_ntz").alias("at")).agg(F.count(F.lit(1)).alias("c"))
-    at = a.select(F.col("created_at").alias("at")).distinct().withColumn("c", F.lit(0).cast("long"))  # created on full hours
-    later = Window.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
-    counts = hours.unionByName(at).withColumn("sessions", F.sum("c").over(later)).select(F.col("at").alias("created_at"), "sessions").distinct()
-    return a.join(F.broadcast(counts), "created_at").select("n", "sessions")  # a row for each hour
+    # both sides merged in one order, latest first, a session before an atom of its time: running sums over range partitions
+    starts = tb.log(spark, sf).groupBy("session_id").agg(F.min("ts").alias("at")).select("at", F.lit(0).alias("side"), F.col("session_id").alias("id"), F.lit(None).cast("long").alias("n"))
+    a = tb.atoms(spark, sf).select(F.col("created_at").alias("at"), F.lit(1).alias("side"), F.col("n").cast("string").alias("id"), "n")
+    counted = sums_before(starts.unionByName(a), [], [F.desc("at"), "side", "id"], (1 - F.col("side")).cast("long"), "sessions")
+    return counted.where("side = 1").select("n", "sessions")
 
 
 @query("A1_counts", ATOMS, EDGES, sql="SELECT 'type' AS what, type AS v, count(*) AS n FROM atoms GROUP BY type UNION ALL SELECT 'relation', rel, count(*) FROM edges GROUP BY rel")

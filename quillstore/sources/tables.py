@@ -163,3 +163,15 @@ def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DECLARED = "declared AS (SELECT * FROM edges WHERE src % 3 <> 0)"
+
+
+def extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(child, parent): what extends what; relations of that kind, and each belief without one extends the belief before, but for every fifth."""
+    n = F.col("doc_id")
+    own = edges(spark, sf_dir).where("rel = 'extends'").select(F.col("src").alias("child"), F.col("tgt").alias("parent"))
+    chain = table(spark, sf_dir, "documents").where((n % 9 == 3) & (n % 7 != 0) & (n >= 9) & (F.expr("doc_id div 9") % 5 != 0))
+    return own.unionByName(chain.select(n.alias("child"), (n - 9).alias("parent")))
+
+
+EXTENSIONS = """extensions AS (SELECT src AS child, tgt AS parent FROM edges WHERE rel = 'extends' UNION ALL
+  SELECT doc_id, doc_id - 9 FROM documents WHERE doc_id % 9 = 3 AND doc_id % 7 <> 0 AND doc_id >= 9 AND doc_id // 9 % 5 <> 0)"""

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schema import RELATION_WEIGHTS
+from ..sources.scratch import held
+from .distance import SEP, tag_key
 from .ranking import weight
 
 
@@ -60,6 +62,41 @@ def spread(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, steps=3, thr
     return spark.createDataFrame(active, "n long, act double")
 
 
+def walks(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, steps=3, threshold=0.05, top=20, decay=0.5, relation_weight=2.0) -> DataFrame:
+    """(walk, n, act): spread() for many seed sets (walk, n) at once. nodes: (n, tags, base).
+
+    What tags give is the same for all atoms with equal tags, so it is added up by set of tags; of a set's atoms only the
+    2 * top best boosted ones can enter a walk's frontier, beside those that are active or at an edge. So a step's rows are
+    walks times sets of tags, not times atoms, and each step ends in a window of a walk's rows.
+    """
+    keyed = nodes.select("n", tag_key("tags").alias("key"), (1 / F.sqrt(1 + F.exp(-F.col("base")))).alias("boost"))
+    keyed = held(keyed.withColumn("k", F.when(F.col("key") == "", 0).otherwise(F.size(F.split("key", SEP)))), "walk-nodes")
+    best = Window.partitionBy("key").orderBy(F.desc("boost"), "n")
+    heads = held(keyed.where("k > 0").withColumn("r", F.row_number().over(best)).where(F.col("r") <= 2 * top).select("n", "key", "boost"), "walk-heads")
+    sets = held(keyed.where("k > 0").groupBy("key").agg(F.count(F.lit(1)).alias("atoms")).withColumn("tag", F.explode(F.split("key", SEP))), "walk-sets")
+    holders = sets.groupBy("tag").agg(F.sum("atoms").alias("holders"))
+    near = neighbours(edges).where("n <> m")
+    near = held(near.join(near.groupBy("n").agg(F.count(F.lit(1)).alias("degree")), "n"), "walk-edges")
+    state = held(seeds.select("walk", "n").distinct().join(keyed.select("n"), "n", "left_semi").select("walk", "n", F.lit(1.0).alias("act")), "walk")
+    for _ in range(steps):
+        own = state.join(keyed, "n").where("k > 0").withColumn("tag", F.explode(F.split("key", SEP))).join(holders, "tag")
+        own = own.select("walk", "n", "tag", (F.col("act") * decay / F.col("k") / F.col("holders")).alias("gift"))
+        by_set = own.groupBy("walk", "tag").agg(F.sum("gift").alias("gift")).join(sets.select("key", "tag"), "tag").groupBy("walk", "key").agg(F.sum("gift").alias("got"))
+        back = own.groupBy("walk", "n").agg((-F.sum("gift")).alias("part"))
+        at_edge = state.join(near, "n").select("walk", F.col("m").alias("n"), (F.col("act") * decay * relation_weight * F.col("w") / F.col("degree")).alias("part")).groupBy("walk", "n").agg(F.sum("part").alias("part"))
+        some = state.select("walk", "n").unionByName(at_edge.select("walk", "n")).distinct().join(keyed.select("n", "key", "boost"), "n")
+        rows = by_set.join(heads, "key").select("walk", "n", "boost", "got").unionByName(some.join(by_set, ["walk", "key"], "left").select("walk", "n", "boost", "got"))
+        rows = rows.groupBy("walk", "n").agg(F.first("boost").alias("boost"), F.max(F.coalesce("got", F.lit(0.0))).alias("got"))
+        more = back.unionByName(at_edge).groupBy("walk", "n").agg(F.sum("part").alias("part"))
+        rows = rows.join(more, ["walk", "n"], "left").join(state, ["walk", "n"], "left")
+        gain = (F.col("got") + F.coalesce("part", F.lit(0.0))) * F.col("boost")
+        rows = rows.select("walk", "n", F.round(F.coalesce(F.col("act") * (1 - decay * 0.5), F.lit(0.0)) + gain, 9).alias("act")).where("act > 0")
+        first = Window.partitionBy("walk").orderBy(F.desc("act"), "n")
+        rows = rows.withColumn("r", F.row_number().over(first)).where((F.col("r") <= top) & (F.col("act") >= threshold))
+        state = held(rows.select("walk", "n", "act"), "walk")
+    return state
+
+
 def hops(edges: DataFrame, sources: DataFrame, depth: int = 4) -> DataFrame:
     """(source, n, hops): shortest distance from each source, up to `depth`, by frontier joins."""
     near = both_ways(edges).select("n", "m").distinct()

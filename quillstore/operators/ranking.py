@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stems_of
 from ..sources import schema as sc
+from ..sources.scratch import held, small
 
 K1, B = 1.2, 0.75
 TOKEN = "[\\p{L}\\p{N}]+"
@@ -65,6 +67,21 @@ def search_index(index, terms: DataFrame) -> DataFrame:
     return bm25_parts(index.postings([r[0] for r in terms.select("term").distinct().collect()]), size, terms)
 
 
+def bm25_stemmed(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """As bm25, over Porter stems: terms of documents and queries match if their stems do.
+
+    Distinct terms are stemmed once each; those with a query's stem, and no others, meet the documents' words.
+    """
+    asked = held(stems_of(terms).join(terms, "term").groupBy("query_id", "stem").agg(F.lit(1).alias("one")), "stemmed-queries")
+    vocabulary = stems_of(words.select(F.explode("words").alias("term")))
+    wanted = small(held(vocabulary.join(F.broadcast(asked.select("stem").distinct()), "stem"), "stems"))  # the queries' own stems
+    size = words.select(F.size("words").alias("dl")).agg(F.count(F.lit(1)).alias("total"), F.avg("dl").alias("mean"))
+    hits = words.select("n", F.size("words").alias("dl"), F.explode("words").alias("term")).join(wanted, "term")
+    tf = hits.groupBy("n", "dl", F.col("stem").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    each = asked.select("query_id", F.col("stem").alias("term"), F.count(F.lit(1)).over(Window.partitionBy("query_id")).cast("int").alias("n_terms"))
+    return bm25_parts(tf, size, each)
+
+
 def signals(words: DataFrame, terms: DataFrame, *, damping: float = 1.0, power: float = sc.COVERAGE_POWER) -> DataFrame:
     """(query_id, n, bm25, fts, specificity, coverage) of every hit.
 
@@ -219,8 +236,9 @@ def mmr(ranked: DataFrame, lam: float = sc.MMR_LAMBDA) -> DataFrame:
 VECTOR_BLOCK, QUERY_BLOCK = 20_000, 1000
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 20, least: float = 0.3) -> DataFrame:
-    """(query_id, n, similarity): the k nearest unit vectors (n, v) of each query vector (query_id, q), by matrix products.
+def knn(vectors: DataFrame, queries: DataFrame, k: int | None = 20, least: float = 0.3) -> DataFrame:
+    """(query_id, n, similarity): the k nearest unit vectors (n, v) of each query vector (query_id, q), by matrix products;
+    without k, all at `least` or more.
 
     Vectors and queries are dealt to blocks, and each pair of blocks is a bounded group of its own, whose k best for each
     query go on. Neither side is collected or broadcast.
@@ -247,5 +265,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 20, least: float = 0.3)
         return pd.concat(out[1:] or out)
 
     best = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(each, "query_id string, n long, similarity double")
+    if k is None:
+        return best
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "n")
     return best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")

@@ -191,25 +191,12 @@ def r19(spark, sf):
     return both.withColumn("used", F.sum(F.ceil(F.length("body") / 4)).over(w)).where("used <= 16000").select("query_id", "n")
 
 
-@query("L14_extraction", ATOMS, sql="SELECT type, slug, count(*) AS candidates, max(conf) AS confidence FROM (SELECT type, string_split(atom_id, '-')[6] AS slug, confidence AS conf FROM atoms WHERE status = 'draft' AND type IN ('fact', 'decision', 'belief')) GROUP BY type, slug")
-def l14(spark, sf):
-    a = tb.atoms(spark, sf).where("status = 'draft' and type in ('fact', 'decision', 'belief')")
-    return a.groupBy("type", F.get(F.split("atom_id", "-"), 5).alias("slug")).agg(count().alias("candidates"), F.max("confidence").alias("confidence"))
-
-
 @query("L19_retype", EDGES, sql="SELECT src, tgt, CASE WHEN src % 10 >= 7 THEN 'supports' ELSE rel END AS rel, CASE WHEN src % 10 >= 7 THEN 'accepted' ELSE 'kept' END AS outcome FROM edges WHERE rel = 'related'")
 def l19(spark, sf):
     sure = F.col("src") % 10 >= 7  # the verdict's confidence
     return tb.edges(spark, sf).where("rel = 'related'").select("src", "tgt", F.when(sure, "supports").otherwise(F.col("rel")).alias("rel"), F.when(sure, "accepted").otherwise("kept").alias("outcome"))
 
 
-@query("L27_eval", *CHAIN, SCORES, sql="SELECT query_id, max(CASE WHEN n % 7 = 0 THEN 1 ELSE 0 END) = 1 AS passed FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, n) AS r FROM scores) WHERE r <= 5 GROUP BY query_id")
-def l27(spark, sf):
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "n")
-    top = scores_of(spark, sf).withColumn("r", F.row_number().over(w)).where("r <= 5")
-    return top.groupBy("query_id").agg((F.max(F.when(F.col("n") % 7 == 0, 1).otherwise(0)) == 1).alias("passed"))
-
-
 _LINE = "trim(regexp_replace(coalesce(list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '\\S'))[1], ''), '^#+\\s*', ''))"
 TITLES = f"""heads AS (SELECT n, tags, {_LINE} AS title FROM atoms WHERE status = 'active'),
 asked AS (SELECT q, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(title, '\\b(AND|OR|NOT|NEAR)\\b', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+'))) AS term
@@ -241,23 +228,12 @@ def h11(spark, sf):
     return e.where(F.size(F.array_except("rels", section)) > 0).select("src")
 
 
-@query("H13_freshness", LOG, sql="SELECT session_id, count(*) AS events, max(event_id) < 500 AS stale FROM log GROUP BY session_id")
-def h13(spark, sf):
-    return tb.log(spark, sf).groupBy("session_id").agg(count().alias("events"), (F.max("event_id") < 500).alias("stale"))
-
-
 @query("M3_insert_triples", TRIPLES, sql="SELECT atom, 'part:' || subject AS subject, 'supplier:' || object AS object, 1.0 AS confidence FROM triples")
 def m3(spark, sf):
     t = tb.triples(spark, sf)
     return t.select("atom", F.concat(F.lit("part:"), "subject").alias("subject"), F.concat(F.lit("supplier:"), "object").alias("object"), F.lit(1.0).alias("confidence"))
 
 
-@query("M6_link_episode", EPISODES, sql="SELECT episode, array_to_string(list_distinct(['a', 'b'] || CASE WHEN episode % 2 = 0 THEN ['b'] ELSE ['c'] END), '') ~ 'c' AS has_c FROM episodes")
-def m6(spark, sf):
-    linked = F.array_union(F.array(F.lit("a"), F.lit("b")), F.when(F.col("episode") % 2 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("c"))))
-    return tb.episodes(spark, sf).select("episode", F.array_contains(linked, "c").alias("has_c"))
-
-
 @query("M8_render_stats", ATOMS, VIS, CAND, sql="SELECT type AS section, count(*) AS n, count(*) >= 5 AS full FROM cand WHERE status = 'active' GROUP BY type")
 def m8(spark, sf):
     """Sections of a rendered document, counted back from its lines: each line's heading is the last one before it."""

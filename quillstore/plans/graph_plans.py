@@ -116,6 +116,25 @@ def g3(spark, sf):
     return walk(spark, sf).select("n", F.round("act", 6).alias("act"))
 
 
+def _walk_step(i: int) -> str:
+    return f"""wact{i} AS MATERIALIZED (SELECT walk, n, act FROM (SELECT walk, n, act, row_number() OVER (PARTITION BY walk ORDER BY act DESC, n) AS r FROM (
+  SELECT walk, n, round(sum(act) FILTER (kind = 0) * 0.75, 9) AS kept, round(coalesce(sum(act) FILTER (kind = 0), 0) * 0.75 + coalesce(sum(act) FILTER (kind = 1), 0) / sqrt(1 + exp(-any_value(base))), 9) AS act FROM (
+    SELECT walk, n, act, 0 AS kind FROM wact{i - 1} UNION ALL
+    SELECT s.walk, t2.n, s.act * 0.5 / s.k / h.holders, 1 FROM (SELECT a.walk, a.n, a.act, t.tag, t.k FROM wact{i - 1} a JOIN tagged t ON t.n = a.n) s JOIN holders h ON h.tag = s.tag JOIN tagged t2 ON t2.tag = s.tag AND t2.n <> s.n UNION ALL
+    SELECT a.walk, m, a.act * 0.5 * 2.0 * near.w / d.degree, 1 FROM wact{i - 1} a JOIN near ON near.n = a.n AND near.m <> near.n JOIN degree d ON d.n = a.n) JOIN base USING (n) GROUP BY walk, n)
+  WHERE act > 0) WHERE r <= 20 AND act >= 0.05)"""
+
+
+WALKS = ("wact0 AS (SELECT n AS walk, n, 1.0::DOUBLE AS act FROM nodes WHERE n % 100 = 0)", _walk_step(1), _walk_step(2), _walk_step(3))
+
+
+@query("G3_walks", ATOMS, EDGES, VIS, GRAPH, NEAR, BASE, *WALK[:2], *WALKS, sql="SELECT walk, n, round(act, 6) AS act FROM wact3")
+def g3_walks(spark, sf):
+    """A walk from each hundredth atom, all at once."""
+    nodes = nodes_of(spark, sf)
+    return gr.walks(nodes, graph_edges(spark, sf), nodes.where("n % 100 = 0").select(F.col("n").alias("walk"), "n")).select("walk", "n", F.round("act", 6).alias("act"))
+
+
 @query("G6_collisions", ATOMS, EDGES, VIS, GRAPH, NEAR, BASE, *WALK, sql="""SELECT a, b, score FROM (SELECT x.n AS a, y.n AS b, round(x.act * y.act * (1 - len(list_intersect(p.tags, q.tags)) / len(list_distinct(p.tags || q.tags))), 3) AS score,
   1 - len(list_intersect(p.tags, q.tags)) / len(list_distinct(p.tags || q.tags)) AS d FROM act3 x JOIN act3 y ON x.n < y.n JOIN nodes p ON p.n = x.n JOIN nodes q ON q.n = y.n) WHERE d > 0.7 ORDER BY score DESC, a, b LIMIT 5""")
 def g6(spark, sf):
@@ -184,8 +203,9 @@ def g8(spark, sf):
     return fo.arcs(beliefs, tb.extensions(spark, sf), ["created_at", "n"])
 
 
-@query("G9_edges_of_an_atom", EDGES, sql="SELECT tgt AS other, rel, 'out' AS direction FROM edges WHERE src = 42 UNION ALL SELECT src, rel, 'in' FROM edges WHERE tgt = 42")
+@query("G9_edges_of_an_atom", EDGES, sql="SELECT src AS n, tgt AS other, rel, 'out' AS direction FROM edges WHERE src % 100 = 0 UNION ALL SELECT tgt, src, rel, 'in' FROM edges WHERE tgt % 100 = 0")
 def g9(spark, sf):
+    """The relations from and to each hundredth atom."""
     e = tb.edges(spark, sf)
-    out = e.where("src = 42").select(F.col("tgt").alias("other"), "rel", F.lit("out").alias("direction"))
-    return out.union(e.where("tgt = 42").select("src", "rel", F.lit("in")))
+    out = e.where("src % 100 = 0").select(F.col("src").alias("n"), F.col("tgt").alias("other"), "rel", F.lit("out").alias("direction"))
+    return out.union(e.where("tgt % 100 = 0").select("tgt", "src", "rel", F.lit("in")))

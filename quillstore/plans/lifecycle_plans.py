@@ -61,9 +61,11 @@ def l3(spark, sf):
     return promoted(tb.atoms(spark, sf))
 
 
-@query("L4_conflict_records", ATOMS, sql=f"SELECT x.n AS a, y.n AS b, 'CONF-' || x.n || '-' || y.n AS record FROM atoms x JOIN atoms y ON {_CLASH} AND x.n < y.n WHERE x.status = 'active' AND y.status = 'active' AND (x.n + y.n) % 5 <> 0")
+@query("L4_conflict_records", ATOMS, EDGES, sql=f"""SELECT x.n AS a, y.n AS b, 'CONF-' || x.n || '-' || y.n AS record FROM atoms x JOIN atoms y ON {_CLASH} AND x.n < y.n WHERE x.status = 'active' AND y.status = 'active'
+  AND NOT EXISTS (SELECT 1 FROM edges WHERE rel = 'contradicts' AND least(src, tgt) = x.n AND greatest(src, tgt) = y.n)""")
 def l4(spark, sf):
-    known = j6(spark, sf).where("(a + b) % 5 = 0")  # pairs that an earlier record names
+    """A record for each conflict that no relation states yet."""
+    known = tb.edges(spark, sf).where("rel = 'contradicts'").select(F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b")).distinct()
     return j6(spark, sf).join(known, ["a", "b"], "left_anti").select("a", "b", F.concat(F.lit("CONF-"), "a", F.lit("-"), "b").alias("record"))
 
 
@@ -154,11 +156,14 @@ def l15(spark, sf):
     return j.select("new_atom", "old_atom", outcome.alias("outcome"))
 
 
-@query("L20_observe", EPISODES, sql="SELECT episode, left(summary, 60000) AS observed FROM episodes WHERE length(summary) >= 50 AND episode % 5 <> 0")
+CUT = "\n[... truncated]"  # fixed value: ends a conversation that was cut
+
+
+@query("L20_observe", EPISODES, sql="SELECT episode, CASE WHEN length(summary) > 60000 THEN left(summary, 60000) || chr(10) || '[... truncated]' ELSE summary END AS observed FROM episodes WHERE length(trim(summary, ' ' || chr(9) || chr(10) || chr(13))) >= 50")
 def l20(spark, sf):
-    e = tb.episodes(spark, sf).where("length(summary) >= 50")
-    done = e.where("episode % 5 = 0").select("episode")
-    return e.join(done, "episode", "left_anti").select("episode", F.substring("summary", 1, 60000).alias("observed"))
+    """What an observer is given of each conversation; short ones are passed over, long ones say that they are cut."""
+    e = tb.episodes(spark, sf).where(F.length(F.regexp_replace("summary", r"^[ \t\n\r]+|[ \t\n\r]+$", "")) >= 50)
+    return e.select("episode", F.when(F.length("summary") > 60000, F.concat(F.substring("summary", 1, 60000), F.lit(CUT))).otherwise(F.col("summary")).alias("observed"))
 
 
 @query("L21_seed_lifecycle", ATOMS, sql="SELECT type, CASE WHEN count(*) = 0 THEN 'created' WHEN count(*) = 1 THEN 'unchanged' ELSE 'deduped' END AS outcome, count(*) AS n FROM atoms WHERE status = 'active' AND list_contains(tags, 'src3') GROUP BY type")
@@ -213,14 +218,6 @@ def h6(spark, sf):
     return tb.atoms(spark, sf).where(left.between(0, 7)).select("n", left.alias("days_left"))
 
 
-@query("H8_lint_summary", ATOMS, EDGES, LOG, sql=f"""SELECT 'stale' AS finding, count(*) AS n FROM atoms LEFT JOIN (SELECT ref, max(ts) AS t FROM log GROUP BY ref) ON n = ref WHERE type IN ('fact', 'decision') AND (epoch(TIMESTAMP '{AS_OF}') - epoch(coalesce(t, updated_at))) / 86400.0 > 90 UNION ALL
-  SELECT 'drift', count(*) FROM atoms WHERE type = 'belief' AND confidence < 0.5 AND {AGE} > 30""")
-def h8(spark, sf):
-    found = h2(spark, sf).select(F.lit("stale").alias("finding")).unionByName(h5(spark, sf).select(F.lit("drift").alias("finding")))
-    kinds = spark.createDataFrame([("stale",), ("drift",)], "finding string")
-    return kinds.join(found.groupBy("finding").agg(F.count(F.lit(1)).alias("c")), "finding", "left").select("finding", F.coalesce("c", F.lit(0)).alias("n"))
-
-
 @query("H9_schema_problems", ATOMS, sql="SELECT n, 'classification' AS field, 'lookup' AS plan FROM atoms WHERE classification IS NULL UNION ALL SELECT n, 'confidence', 'manual' FROM atoms WHERE confidence < 0.5 UNION ALL SELECT n, 'ttl_days', 'structural' FROM atoms WHERE ttl_days < 60")
 def h9(spark, sf):
     a = tb.atoms(spark, sf)
@@ -234,12 +231,6 @@ def h10(spark, sf):
     return tb.atoms(spark, sf).groupBy(F.substring("atom_id", 1, 15).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("H14_doctor", ATOMS, sql="SELECT CASE WHEN count(*) FILTER (confidence < 0.5) > 0 THEN 'error' WHEN count(*) FILTER (classification IS NULL) > 0 THEN 'warning' ELSE 'ok' END AS severity, count(*) FILTER (confidence < 0.5) AS errors, count(*) FILTER (classification IS NULL) AS warnings FROM atoms")
-def h14(spark, sf):
-    c = tb.atoms(spark, sf).agg(F.count_if(F.col("confidence") < 0.5).alias("errors"), F.count_if(F.col("classification").isNull()).alias("warnings"))
-    return c.select(F.when(F.col("errors") > 0, "error").when(F.col("warnings") > 0, "warning").otherwise("ok").alias("severity"), "errors", "warnings")
-
-
 @query("H17_seed_freshness", ATOMS, sql="SELECT t.type, count(n) AS n, CASE count(n) WHEN 0 THEN 'error' WHEN 1 THEN 'ok' ELSE 'duplicate' END AS state FROM (VALUES ('decision'), ('fact'), ('belief'), ('lesson')) t(type) LEFT JOIN atoms a ON a.type = t.type AND status = 'active' AND list_contains(tags, 'src3') GROUP BY t.type")
 def h17(spark, sf):
     want = spark.createDataFrame([(x,) for x in ("decision", "fact", "belief", "lesson")], "type string")

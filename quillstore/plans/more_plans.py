@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,13 +11,15 @@ from ..operators import classify as cl
 from ..operators import filters as fl
 from ..operators import graph as gr
 from ..operators import ranking as rk
-from ..sources import files
+from ..sources import files, header
 from ..sources import schema as sc
 from ..sources import tables as tb
+from ..sources.eventlog import EventLog
+from ..sources.scratch import shared_dir
 from ..sources.tables import ATOMS, EDGES, EPISODES, LOG
 from .graph_plans import BASE, GROUND, NEAR, WALK, grounding, nodes_of, walk
-from .recall_plans import BOOST, CHAIN, RANKED, SCORES, ranked_of, signals_of
-from .registry import ORACLE_SQL, QUERIES, query
+from .recall_plans import _DOT, BOOST, CHAIN, RANKED, SCORES, ranked_of, signals_of
+from .registry import query
 from .store_plans import AGE, CAND, GRAPH, USE, VIS, age
 
 
@@ -35,6 +39,22 @@ def s2(spark, sf):
     return got.select(F.col("path").alias("n"), "atom_id", "type", "status", "confidence", at("created_at").alias("created"), at("updated_at").alias("updated"), "classification", "ttl_days", F.array_join("tags", "|").alias("tags"), F.md5("body").alias("body"))
 
 
+@query("S2_headers", ATOMS, EDGES, sql="""SELECT a.n, a.atom_id, a.type, a.status, a.confidence, a.ttl_days, array_to_string(a.tags, '|') AS tags, array_to_string(a.paths, '|') AS paths,
+  coalesce(r.relations, '') AS relations, md5(a.body) AS body FROM atoms a LEFT JOIN (SELECT src, string_agg(rel || ' ' || t.atom_id, '|' ORDER BY rel, t.atom_id) AS relations FROM edges JOIN atoms t ON t.n = tgt GROUP BY src) r ON r.src = a.n""")
+def s2_headers(spark, sf):
+    """Files with nested scopes and lists of relations, written as YAML and read back."""
+    a = tb.atoms(spark, sf)
+    ids = a.select(F.col("n").alias("tgt"), F.col("atom_id").alias("target"))
+    links = tb.edges(spark, sf).join(ids, "tgt").groupBy(F.col("src").alias("n")).agg(F.array_sort(F.collect_list(F.struct("rel", "target"))).alias("links"))  # an atom's own
+    relations = F.transform(F.coalesce("links", F.array().cast("array<struct<rel:string,target:string>>")), lambda x: F.struct(x["target"].alias("target"), x["rel"].alias("type")))
+    head = F.struct(F.col("atom_id").alias("id"), "type", "status", "confidence", "ttl_days", F.struct("tags", "paths").alias("scope"), relations.alias("relations"))
+    texts = a.join(links, "n", "left").select("n", header.rendered(F.to_json(head, {"ignoreNullFields": "false"}), "body").alias("text"))
+    kind = "id string, type string, status string, confidence double, ttl_days int, scope struct<tags: array<string>, paths: array<string>>, relations array<struct<target: string, type: string>>"
+    got = texts.select("n", header.parsed("text").alias("x")).select("n", F.from_json("x.header", kind).alias("h"), "x.body")
+    listed = F.array_join(F.transform("h.relations", lambda r: F.concat(r["type"], F.lit(" "), r["target"])), "|")
+    return got.select("n", F.col("h.id").alias("atom_id"), "h.type", "h.status", "h.confidence", "h.ttl_days", F.array_join("h.scope.tags", "|").alias("tags"), F.array_join("h.scope.paths", "|").alias("paths"), listed.alias("relations"), F.md5("body").alias("body"))
+
+
 @query("S4_atom_text", ATOMS, sql="""SELECT n, md5('---' || chr(10) || 'id: ' || atom_id || chr(10) || 'type: ' || type || chr(10) || 'status: ' || status || chr(10) || 'confidence: ' || confidence::DOUBLE || chr(10)
   || 'created_at: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || 'updated_at: ' || strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || 'classification: ' || coalesce(classification, 'null') || chr(10)
   || 'ttl_days: ' || coalesce(ttl_days::VARCHAR, 'null') || chr(10) || 'tags: [' || array_to_string(tags, ', ') || ']' || chr(10) || 'paths: [' || array_to_string(paths, ', ') || ']' || chr(10) || '---' || chr(10) || body) AS h FROM atoms""")
@@ -49,6 +69,22 @@ def s8(spark, sf):
     return tb.log(spark, sf).select("event_id", ok.alias("valid"))
 
 
+@query("S8_append", LOG, sql="SELECT action, count(*) AS events, count(DISTINCT ref) AS refs, min(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS first FROM log GROUP BY action")
+def s8_append(spark, sf):
+    """The log appended in three batches that overlap, one of them twice: each event is there once."""
+    e = tb.log(spark, sf)
+    rows = e.select(
+        F.col("event_id").cast("string").alias("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.lit("agent").alias("agent_id"), "session_id", "action",
+        F.array(F.col("ref").cast("string")).alias("atom_refs"), F.lit(1).alias("schema_version"), F.lit(None).cast("string").alias("atom_snapshot"),
+    )
+    log = EventLog(spark, f"{shared_dir(spark)}/events-{uuid.uuid4().hex}")
+    log.append(rows.where("action <> 'session_started'"), batch=0)
+    log.append(rows.where("action in ('atom_updated', 'session_started')"), batch=1)
+    log.append(rows, batch=1)
+    log.append(rows, batch=2)
+    return log.read().groupBy("action").agg(F.count(F.lit(1)).alias("events"), F.countDistinct(F.col("atom_refs")[0]).alias("refs"), F.min("timestamp").alias("first"))
+
+
 @query("S18_sealed_atoms", ATOMS, sql="SELECT n, md5(body) AS h, true AS hidden FROM atoms WHERE classification = 'SECRET'")
 def s18(spark, sf):
     """Secret bodies encrypted and decrypted again."""
@@ -163,14 +199,11 @@ def x28(spark, sf):
     return tb.episodes(spark, sf).select("episode", F.replace(F.replace(tail, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")).alias("tail"), (F.length("summary") > 500).alias("cut"))
 
 
-@query("R8_semantic_scores", sql="SELECT e.vec_id AS n, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) >= 0.3")
+@query("R8_semantic_scores", sql=f"""SELECT 'v' || q.vec_id AS query_id, e.vec_id AS n, round({_DOT}, 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND round({_DOT}, 6) >= 0.3""")
 def r8(spark, sf):
-    """All vectors at 0.3 or more to the query's; every vector is scored where it lies."""
-    e = tb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("n"), F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where("n = 0").select(F.col("v").alias("q"))  # one row
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-    rows = e.join(F.broadcast(q)).select("n", F.round(dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q")), 6).alias("similarity"))
-    return rows.where("similarity >= 0.3")
+    """All vectors at 0.3 or more to each query's, by blocks of vectors and queries."""
+    e = tb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("n"), F.col("embedding").alias("v"))
+    return rk.knn(e, e.where("n % 100 = 0").select(F.concat(F.lit("v"), "n"), "v"), k=None)
 
 
 @query("R14_reservation_rule", sql="""SELECT conv_id, has_task, explicit, CASE explicit WHEN 'on' THEN true WHEN 'off' THEN false ELSE NOT has_task END AS reserved FROM (
@@ -291,17 +324,3 @@ def l26(spark, sf):
     rows = rows.withColumn("place", F.row_number().over(w)).where("place <= 400")
     used = F.sum(F.ceil(F.length("line") / 4)).over(Window.partitionBy("section").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("used", used).where("used <= 800").select("section", "place", "line")
-
-
-def _again(name: str, of: str) -> None:
-    """The same operator under the id of the larger one that it is a part of."""
-    QUERIES[name] = QUERIES[of]
-    if of in ORACLE_SQL:
-        ORACLE_SQL[name] = ORACLE_SQL[of]
-
-
-for _name, _of in {
-    "R22_semantic_search": "T4_knn", "L2_deduplicate": "W1_content_duplicates", "L8_compact_log": "W3_compaction", "H15_closure_trajectory": "A11_trajectory",
-    "H16_eval_cadence": "A9_eval_cadence", "W10_trailing_mean": "A9_eval_cadence", "A15_result_counters": "L5_reflect",
-}.items():
-    _again(_name, _of)

@@ -11,10 +11,11 @@ from ..operators import filters as fl
 from ..operators import lifecycle as lc
 from ..operators import ranking as rk
 from ..operators.orders import sums_before
+from ..sources import markdown as md
 from ..sources import tables as tb
 from ..sources.index import SegmentedIndex
 from ..sources.scratch import shared_dir
-from ..sources.tables import AS_OF, ATOMS, EDGES, EPISODES, EVENTS_AS_OF, LOG, TRIPLES
+from ..sources.tables import AS_OF, ATOMS, EDGES, EPISODES, EVENTS_AS_OF, LOG, NOTES, TRIPLES
 from .registry import query
 
 VISIBLE = "(classification IS NULL OR classification NOT IN ('SECRET', 'PERSONAL'))"
@@ -81,6 +82,23 @@ def s13(spark, sf):
     return d.where(F.length(F.trim("line")) >= 20).select("doc_id", (F.col("p") + 1).alias("chunk"), F.length(F.trim("line")).alias("chars"))
 
 
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+CHUNKS = rf"""lines AS (SELECT file, i - 1 AS i, l[i] AS line FROM (SELECT file, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT file, string_split(text, chr(10)) AS l FROM notes WHERE text IS NOT NULL))),
+kinds AS (SELECT *, regexp_matches(line, '^#{{2,3}}\s+[^\r]+$') AS h, regexp_matches(line, '^[-*]\s+') AS b, regexp_matches(line, '^\s{{2,}}') AS c FROM lines),
+runs AS (SELECT *, sum(h::INT) OVER w AS section, sum((b OR NOT c)::INT) OVER w AS item, sum(h::INT) OVER (PARTITION BY file) AS headings FROM kinds WINDOW w AS (PARTITION BY file ORDER BY i)),
+sections AS (SELECT file, min(i) AS start, max(CASE WHEN h THEN {_TRIM.format("regexp_extract(line, '^#{2,3}\\s+(.+)$', 1)")} END) AS heading, {_TRIM.format("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT h), '')")} AS body FROM runs WHERE headings > 0 AND section > 0 GROUP BY file, section),
+bullets AS (SELECT file, min(i) AS start, NULL AS heading, {_TRIM.format("string_agg(CASE WHEN b THEN regexp_extract(line, '^[-*]\\s+(.*)', 1) ELSE " + _TRIM.format("line") + " END, ' ' ORDER BY i)")} AS body
+  FROM runs WHERE headings = 0 GROUP BY file, item HAVING arg_min(b, i) AND regexp_matches(arg_min(line, i), '^[-*]\s+[^\s]')),
+long AS (SELECT * FROM sections WHERE length(body) >= 20 UNION ALL SELECT * FROM bullets WHERE length(body) >= 20),
+chunks AS (SELECT * FROM long UNION ALL SELECT file, 0, NULL, {_TRIM.format("text")} FROM notes WHERE length({_TRIM.format("text")}) >= 20 AND file NOT IN (SELECT file FROM long) AND file NOT IN (SELECT file FROM runs WHERE headings > 0))"""
+
+
+@query("S13_markdown_import", NOTES, CHUNKS, sql="SELECT file, start, heading, md5(body) AS body, length(body) AS chars FROM chunks")
+def s13_import(spark, sf):
+    """Sections, else bullets, else the whole, of all files."""
+    return md.chunks(tb.notes(spark, sf)).select("file", "start", "heading", F.md5("body").alias("body"), F.length("body").alias("chars"))
+
+
 @query("S14_index_rebuild", ATOMS, EDGES, LOG, sql="""SELECT part, n::BIGINT AS n FROM (SELECT 'atoms' AS part, count(*) AS n FROM atoms UNION ALL SELECT 'tags', sum(len(tags)) FROM atoms UNION ALL
   SELECT 'paths', sum(len(paths)) FROM atoms UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT * FROM edges) UNION ALL SELECT 'events', count(*) FROM log)""")
 def s14(spark, sf):

@@ -175,3 +175,17 @@ def extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EXTENSIONS = """extensions AS (SELECT src AS child, tgt AS parent FROM edges WHERE rel = 'extends' UNION ALL
   SELECT doc_id, doc_id - 9 FROM documents WHERE doc_id % 9 = 3 AND doc_id % 7 <> 0 AND doc_id >= 9 AND doc_id // 9 % 5 <> 0)"""
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, text): Markdown files. Documents as they are; conversations as sections by turn, or as bullets with indented lines."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("file"), "text")
+    c = table(spark, sf_dir, "conversations")
+    even = F.col("conv_id") % 2 == 0
+    turn = F.when(even, F.concat(F.lit("## "), "role", F.lit("\n"), "text")).otherwise(F.concat(F.lit("- "), F.regexp_replace("text", "\n", "\n  ")))
+    lines = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("x")))).alias("t"))
+    return d.unionByName(lines.select(F.concat(F.lit("c"), "conv_id").alias("file"), F.concat(F.lit("Notes\n"), F.array_join(F.col("t.x"), "\n")).alias("text")))
+
+
+NOTES = """notes AS (SELECT 'd' || doc_id AS file, text FROM documents UNION ALL
+  SELECT 'c' || conv_id, 'Notes' || chr(10) || string_agg(CASE WHEN conv_id % 2 = 0 THEN '## ' || role || chr(10) || text ELSE '- ' || replace(text, chr(10), chr(10) || '  ') END, chr(10) ORDER BY turn) FROM conversations GROUP BY conv_id)"""

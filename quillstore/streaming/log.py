@@ -43,3 +43,32 @@ def replay_into(events: DataFrame, path: str, checkpoint: str):
         new.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").write.mode("overwrite").parquet(f"{path}/{number}")
 
     return events.where(F.col("atom_snapshot").isNotNull() | F.col("action").isin("atom_archived", "atom_expired")).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+MUTATIONS = ("atom_created", "atom_updated", "atom_imported", "atom_promoted", "atom_archived", "atom_expired")  # fixed values: actions that set an atom's state
+GONE = ("atom_archived", "atom_expired")
+
+
+def latest(events: DataFrame) -> DataFrame:
+    """(atom_id, ts, event_id, action, atom_snapshot): the last event of each atom by (timestamp, event_id).
+
+    On a stream this is state by atom, in Spark's state store: an event that comes late or again changes nothing unless it
+    is the last. A batch of the stream touches the atoms of its events only.
+    """
+    refs = events.where(F.col("action").isin(*MUTATIONS)).select(F.explode("atom_refs").alias("atom_id"), F.struct("ts", "event_id", "action", "atom_snapshot").alias("e"))
+    return refs.groupBy("atom_id").agg(F.max_by("e", F.struct("e.ts", "e.event_id")).alias("e")).select("atom_id", "e.*")
+
+
+def keep_latest(events: DataFrame, path: str, checkpoint: str):
+    """A query that writes what changed in `latest` to `path`/batch=<number>; a batch that runs again writes the same folder."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return latest(events).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The atoms that live, as keep_latest has them: each as its last batch left it."""
+    rows = spark.read.parquet(path).groupBy("atom_id").agg(F.max_by(F.struct("ts", "event_id", "action", "atom_snapshot"), "batch").alias("e")).select("atom_id", "e.*")
+    return rows.where(~F.col("action").isin(*GONE))

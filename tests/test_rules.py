@@ -182,3 +182,176 @@ def test_concept_mentions(spark):
     assert {(x.n, x.concept): (x["count"], x.targets) for x in mi.concept_references(d).collect()} == mentions
     assert {x.target: (x.citations, x.sources) for x in mi.concept_citations(d).collect()} == {t: (c, len(s)) for t, (c, s) in cited.items()}
     assert mi.concept_references(d.where("n = 7")).count() == 0
+
+
+def test_stems():
+    """Words and stems that the algorithm's paper gives, by step."""
+    from quillstore.functions.stemming import stem
+
+    pairs = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl
+      sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc
+      hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal
+      decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr
+      electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit
+      replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect
+      bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll generalizations gener oscillators oscil running run runs run run run""".split()
+    assert {w: stem(w) for w in pairs[::2]} == dict(zip(pairs[::2], pairs[1::2]))
+    assert stem("is") == "is" and stem("as") == "as" and stem("") == "" and stem("s" * 70) == "s" * 70 and stem("straßen") and stem("日本語") == "日本語"
+
+
+def test_stemmed_search(spark):
+    from quillstore.functions.stemming import stem
+    from quillstore.operators import ranking as rk
+
+    r = random.Random(7)
+    forms = ["run", "runs", "running", "connect", "connected", "connection", "connections", "relate", "related", "rational", "sky", "skies", "a", "été"]
+    docs = [(i, [r.choice(forms) for _ in range(r.randrange(0, 20))]) for i in range(60)]
+    d = spark.createDataFrame(docs, "n long, words array<string>")
+    texts = {"q1": "running connections", "q2": "connects connecting", "q3": "skies été", "q4": "nothing"}
+    got = {(x.query_id, x.n): x.b for x in rk.bm25_stemmed(d, rk.query_terms(spark, texts)).groupBy("query_id", "n").agg(F.round(F.sum("part"), 9).alias("b")).collect()}
+    stems = spark.createDataFrame([(n, [stem(w) for w in ws]) for n, ws in docs], d.schema)
+    asked = {q: " ".join(dict.fromkeys(stem(t) for t in text.split())) for q, text in texts.items()}
+    want = {(x.query_id, x.n): x.b for x in rk.bm25(stems, rk.query_terms(spark, asked)).groupBy("query_id", "n").agg(F.round(F.sum("part"), 9).alias("b")).collect()}
+    assert got == want and len(got) > 60
+
+
+def plain_chunks(text):
+    """[(line, heading, body)] by the rules, line by line."""
+    lines = (text or "").split("\n")
+    heads = [(i, m[1].strip()) for i, x in enumerate(lines) if (m := re.match(r"^#{2,3}\s+([^\r]+)$", x))]
+    if heads:
+        ends = [i for i, _ in heads[1:]] + [len(lines)]
+        out = [(i, h, "\n".join(lines[i + 1 : e]).strip()) for (i, h), e in zip(heads, ends)]
+    else:
+        out, now = [], None
+        for i, x in enumerate(lines):
+            if m := re.match(r"^[-*]\s+(.*)", x):
+                now = [i, m[1]] if m[1] else None
+                out.append(now) if now else None
+            elif now and re.match(r"^\s{2,}", x):
+                now[1] += " " + x.strip()
+            else:
+                now = None
+        out = [(i, None, b.strip()) for i, b in out if len(b.strip()) >= 20] or [(0, None, (text or "").strip())]
+    return [x for x in out if len(x[2]) >= 20]
+
+
+def test_markdown_chunks(spark):
+    from quillstore.sources import markdown as md
+
+    long = "a sentence that is long enough"
+    files = {
+        "heads": f"before\n## One \n{long}\n\n{long}\n### Two\nshort\n#### four\n## Three\n- {long}\n## Four", "heads only short": "## A\nb\n## C\n- d", "top": f"# Title\n{long}", "not a head": f"##x {long}\n##\n",
+        "bullets": f"intro that is long enough to count\n- {long}\n  and its\n   rest\n* {long}\nout\n  not in\n-no bullet\n- short\n- \n  {long}\n-  {long}  ", "whole": f"\n\n  {long}\n{long} \n", "short": "too short",
+        "empty": "", "null": None, "blank lines in a bullet": f"- {long}\n   \n  more\n\n  gone",
+    }
+    got = md.chunks(spark.createDataFrame(list(files.items()), "file string, text string").repartition(3)).collect()
+    found = {f: sorted((x.start, x.heading, x.body) for x in got if x.file == f) for f in files}
+    assert found == {f: plain_chunks(t) for f, t in files.items()}
+
+
+def test_many_walks_are_as_one_each(spark):
+    """Each walk has what spread() gives from its seeds alone."""
+    from quillstore.operators import graph as gr
+
+    r = random.Random(9)
+    nodes = [(i, r.sample(["a", "b", "c", "d", "hub"], r.randrange(0, 4)), r.uniform(-2, 3)) for i in range(250)]
+    edges = [(r.randrange(250), r.randrange(250), r.choice(["extends", "supports", "related"])) for _ in range(300)]
+    n = spark.createDataFrame(nodes, "n long, tags array<string>, base double")
+    e = spark.createDataFrame(edges, "src long, tgt long, rel string").where("src <> tgt")
+    seeds = {1: [3], 2: [10, 20, 30], 3: [77, 9999], 4: [4, 4]}
+    s = spark.createDataFrame([(w, x) for w, xs in seeds.items() for x in xs], "walk long, n long")
+    got = {(x.walk, x.n): round(x.act, 7) for x in gr.walks(n, e, s).collect()}
+    want = {}
+    for w, xs in seeds.items():
+        one = spark.createDataFrame([(x,) for x in sorted({x for x in xs if x < 250})], "n long")
+        want |= {(w, x.n): round(x.act, 7) for x in gr.spread(n, e, one).collect()}
+    assert got == want and len({w for w, _ in got}) == 4
+
+
+def test_headers_read():
+    from quillstore.sources.header import Bad, load, split
+
+    text = """id: FACT-1   # a comment
+# another
+type: "fact: \\"quoted\\" \\u00e9\\n"
+status: 'it''s'
+confidence: 0.75
+n: -3
+ttl_days: ~
+on_time: 2024-01-02T03:04:05Z
+empty:
+url: http://x.org/#frag
+tags: [a, "b, c", 'd', [e, {f: 1}],
+  g]
+scope:
+  tags:
+    - hub
+    - "- dash"
+  paths: []
+  deep: {a: {b: null}}
+relations:
+- target: FACT-2
+  type: extends
+-   target: "FACT: 3"
+    type: supports
+    more:
+      - x
+summary: |
+  two
+    lines
+
+  and # no comment
+folded: >-
+  one
+  two
+
+  three
+kept: |+
+  x
+
+last: end"""
+    want = {
+        "id": "FACT-1", "type": 'fact: "quoted" é\n', "status": "it's", "confidence": 0.75, "n": -3, "ttl_days": None, "on_time": "2024-01-02T03:04:05Z", "empty": None, "url": "http://x.org/#frag",
+        "tags": ["a", "b, c", "d", ["e", {"f": 1}], "g"], "scope": {"tags": ["hub", "- dash"], "paths": [], "deep": {"a": {"b": None}}},
+        "relations": [{"target": "FACT-2", "type": "extends"}, {"target": "FACT: 3", "type": "supports", "more": ["x"]}],
+        "summary": "two\n  lines\n\nand # no comment\n", "folded": "one two\nthree", "kept": "x\n\n", "last": "end",
+    }
+    assert load(text) == want and load(text.replace("\n", "\r\n")) == want
+    for bad in ("a: b: c", "- x\ny: 1", "a: [1, 2", 'a: "x', "a: 'x' y", "a:\n  b: 1\n c: 2", "just text", "a: 1\na: 2", "\ta: 1", "a: *x", "a: @x", 'a: "\\q"', "a: {b}", "a: |x\n  y"):
+        with pytest.raises(Bad):
+            load(bad)
+        assert split(f"---\n{bad}\n---\nbody") == (None, f"---\n{bad}\n---\nbody")
+    assert split("\ufeff---\na: 1\n---\nbody") == ('{"a": 1}', "body") and split("---\r\na: x\r\n---\r\nbody") == ('{"a": "x"}', "body")
+    assert split("no fence") == (None, "no fence") and split("---\na: 1\nno end") == (None, "---\na: 1\nno end") and split(None) == (None, None) and split("") == (None, "")
+    assert split("---\n---\nb") == ("{}", "b") and split("---\n- a\n---\nb")[0] is None
+
+
+def test_hostile_headers_come_back():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from quillstore.sources.header import dump, load
+
+    odd = "null yes ~ - # ' \" | > 1e5 0x1 [a] {b} a: --- @x ` % &a *b !t true 1 -1 .5 2024-01-01 no: ? :".split() + ["- a", "a: b", "x #y", " lead", "trail ", "a\nb", "a\tb", "\ufeffx", "\u2028", "\x85", "é #", "", "a\r\nb", "...", "\x7f"]
+    texts = st.text(max_size=15) | st.sampled_from(odd)
+    scalars = st.none() | st.booleans() | st.integers(-(10**9), 10**9) | st.floats(allow_nan=False, allow_infinity=False) | texts
+    values = st.recursive(scalars, lambda c: st.lists(c, max_size=3) | st.dictionaries(texts, c, max_size=3), max_leaves=10)
+
+    @settings(max_examples=500, deadline=None, derandomize=True)
+    @given(st.dictionaries(texts, values, min_size=1, max_size=5))
+    def back(d):
+        assert load(dump(d)) == d
+
+    back()
+
+
+def test_headers_in_spark(spark):
+    from quillstore.sources import header
+
+    rows = [(1, '{"id": "X: 1", "tags": ["a b", "- c", "null"], "scope": {"paths": ["p#q"]}, "n": 2}', "body\n---\nmore"), (2, '{"id": "---"}', "")]
+    d = spark.createDataFrame(rows, "n int, header string, body string")
+    texts = d.select("n", header.rendered("header", "body").alias("text"))
+    got = texts.select("n", header.parsed("text").alias("x")).select("n", F.from_json("x.header", "id string, tags array<string>, scope struct<paths: array<string>>, n int").alias("h"), "x.body").orderBy("n").collect()
+    assert got[0].h.id == "X: 1" and got[0].h.tags == ["a b", "- c", "null"] and got[0].h.scope.paths == ["p#q"] and got[0].h.n == 2 and got[0].body == rows[0][2]
+    assert got[1].h.id == "---" and got[1].body == ""

@@ -134,3 +134,103 @@ def test_nearest_vectors_in_blocks(spark, monkeypatch):
         s = np.round(a @ a[i], 6)
         best = sorted(range(310), key=lambda j: (-s[j], j))[:7]
         assert [n for k, n, _ in sorted((x for x in whole if x[0] == f"v{i}"), key=lambda x: (-x[2], x[1]))] == best
+
+
+def event(i, **more):
+    return {"event_id": f"e{i}", "timestamp": "2024-01-01T00:00:00Z", "agent_id": "a", "session_id": "s", "action": "atom_read", "atom_refs": [f"n{i}"], "schema_version": None, "atom_snapshot": None} | more
+
+
+def test_appends_are_whole_and_once(spark, tmp_path):
+    import shutil
+
+    import pytest
+
+    from quillstore.sources.eventlog import EventLog
+    from quillstore.sources.schema import EVENT
+
+    path = str(tmp_path / "log")
+    log = EventLog(spark, path)
+    frame = lambda rows: spark.createDataFrame([tuple(r[f.name] for f in EVENT.fields) for r in rows], EVENT)
+    assert log.read().count() == 0 and log.batches() == []
+    assert log.append(frame([event(i) for i in range(20)])) == 0
+    assert log.append(frame([event(i) for i in range(10, 30)] + [event(29)])) == 1
+    assert sorted(r.event_id for r in log.read().collect()) == sorted(f"e{i}" for i in range(30))
+    # without ids: equal events are told apart, and a retry gives the ids that the first try gave
+    loose = frame([event(0, event_id=None)] * 3 + [event(1, event_id=None)])
+    log.append(loose, batch=2)
+    ids = {r.event_id for r in log.read().collect()}
+    assert len(ids) == 34
+    shutil.rmtree(f"{path}/batch=2/_SUCCESS", ignore_errors=True)
+    (tmp_path / "log" / "batch=2" / "_SUCCESS").unlink(missing_ok=True)  # the job died before its commit
+    assert log.read().count() == 30 and log.batches() == [0, 1]
+    assert log.append(loose.repartition(4), batch=2) == 2 and {r.event_id for r in log.read().collect()} == ids
+    assert log.append(loose, batch=2) == 2 and log.append(loose, batch=3) == 3
+    assert log.read().count() == 34
+    # invalid events: nothing of the batch is written
+    for bad in ({"timestamp": "yesterday"}, {"agent_id": ""}, {"session_id": None}, {"action": "jump"}, {"atom_refs": ["x", ""]}, {"action": "atom_created", "schema_version": 2}):
+        with pytest.raises(ValueError, match="invalid events"):
+            log.append(frame([event(77), event(78, **bad)]))
+    assert log.read().count() == 34
+    with open(next((tmp_path / "log" / "batch=0").glob("part-*.json")), "a") as f:
+        f.write('{"event_id": "tor\n')  # a corrupt line
+    for crc in (tmp_path / "log" / "batch=0").glob(".*.crc"):
+        crc.unlink()
+    assert log.read().count() == 34
+
+
+def test_a_stream_replays_as_a_batch(spark, tmp_path):
+    """Shuffled, late and repeated events, file by file and over a restart, leave what one batch leaves."""
+    import json
+
+    from quillstore.streaming import log
+
+    r = random.Random(3)
+    actions = ["atom_created", "atom_updated", "atom_updated", "atom_archived", "atom_read", "conflict_detected"]
+    events = [event(i, timestamp=f"2024-01-01T00:{r.randrange(60):02d}:00Z", action=r.choice(actions), atom_refs=[f"n{r.randrange(25)}" for _ in range(r.randrange(1, 3))], atom_snapshot=f"s{i}") for i in range(300)]
+    lines = events + r.sample(events, 80)
+    r.shuffle(lines)
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def put(k, some):
+        (folder / f"{k}.json").write_text("".join(json.dumps(e) + "\n" for e in some) + "torn line\n")
+
+    def run():
+        stream = log.read_events(spark, str(folder))
+        log.keep_latest(stream, str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
+
+    put(0, lines[:150])
+    run()
+    put(1, lines[150:220])
+    put(2, lines[220:])
+    run()
+    batch = log.latest(spark.createDataFrame([(e["event_id"], e["timestamp"], e["action"], e["atom_refs"], e["atom_snapshot"]) for e in events], "event_id string, timestamp string, action string, atom_refs array<string>, atom_snapshot string").withColumn("ts", F.to_timestamp("timestamp")))
+    want = {x.atom_id: (x.event_id, x.atom_snapshot) for x in batch.collect() if x.action not in log.GONE}
+    assert {x.atom_id: (x.event_id, x.atom_snapshot) for x in log.read_latest(spark, str(tmp_path / "out")).collect()} == want
+    plain = {}
+    for e in sorted(events, key=lambda e: (e["timestamp"], e["event_id"])):
+        for a in e["atom_refs"]:
+            if e["action"] in log.MUTATIONS:
+                plain[a] = e
+    assert want == {a: (e["event_id"], e["atom_snapshot"]) for a, e in plain.items() if e["action"] not in log.GONE}
+
+
+def test_candidates_are_reconciled(spark):
+    """Two passes, taken slugs, types that may not be extracted, likely duplicates."""
+    from quillstore.operators import extraction as ex
+
+    rows = [
+        (1, 1, "fact", "a", "first a"), (1, 2, "fact", "a", "second a"), (1, 3, "fact", "b", "one b"), (2, 4, "fact", "b", "pass two b"), (2, 5, "fact", "b", "pass two b again"), (2, 6, "belief", "c", "only in two"),
+        (1, 7, "constraint", "d", "x"), (1, 8, "decision", "taken", "y"), (1, 9, "decision", "new", "unheard words entirely"), (1, 10, "fact", "e", "quiet river runs deep"), (2, 11, "fact", "a", "third a"),
+    ]
+    c = spark.createDataFrame(rows, "pass int, at long, type string, slug string, body string").repartition(3)
+    index = tk.postings(spark.createDataFrame([(i, ["quiet", "river", "runs", "deep"] if i == 7 else [f"w{i}", "common"]) for i in range(40)], "n long, words array<string>"))
+    old = spark.createDataFrame([("decision", "taken"), ("fact", "d")], "type string, slug string")
+    got = {(x.type, x.slug): (x.at, x.status, x.written, x.skipped, x.duplicate_of) for x in ex.reconciled(c, old, index).collect()}
+    assert got == {
+        ("fact", "a"): (1, "new", 1, 1, None), ("fact", "b"): (5, "new", 1, 0, None), ("belief", "c"): (6, "new", 1, 0, None), ("constraint", "d"): (7, "invalid type", 0, 1, None),
+        ("decision", "taken"): (8, "slug exists", 0, 1, None), ("decision", "new"): (9, "new", 1, 0, None), ("fact", "e"): (10, "possible_duplicate", 1, 0, 7),
+    }
+    texts = spark.createDataFrame([("We decided this",), ("You MUST not",), ("is it Open?",), ("I think so",), ("plain",), ("because",), ("Hello,  World! --x--",)], "t string")
+    assert [r[0] for r in texts.select(ex.inferred_type("t")).collect()] == ["decision", "constraint", "open_question", "belief", "fact", "fact", "fact"]
+    assert texts.select(ex.slug("t")).collect()[-1][0] == "hello-world-x"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import held
 from .ranking import tokens
-from .topk import OPERATORS, search_top
+from .topk import OPERATORS, Postings, search_top
 
 # Words that tell a text's type, in order; types that extraction may make; the rank of a likely duplicate.
 TYPE_WORDS = (
@@ -42,10 +42,10 @@ def merged(candidates: DataFrame) -> DataFrame:
     return rows.select("type", "slug", x.alias("x"), F.greatest("m", F.lit(1)).alias("n")).select("type", "slug", "x.at", "x.body", "n")
 
 
-def reconciled(candidates: DataFrame, existing: DataFrame, index: DataFrame) -> DataFrame:
+def reconciled(candidates: DataFrame, existing: DataFrame, index: Postings) -> DataFrame:
     """(type, slug, at, status, written, skipped, duplicate_of) for each type and slug of candidates.
 
-    existing: (type, slug) of the store. index: postings(), in which a body's first characters are searched; a best hit
+    existing: (type, slug) of the store. a body's first characters are searched in `index`; a best hit
     beyond DUPLICATE marks the candidate as a likely duplicate, but it is written all the same.
     """
     rows = held(merged(candidates).join(existing.select("type", "slug").distinct().withColumn("taken", F.lit(True)), ["type", "slug"], "left"), "candidates")

@@ -10,6 +10,7 @@ from ..operators import ranking as rk
 from ..operators.orders import numbered
 from ..sources import schema as sc
 from ..sources import tables as tb
+from ..sources.scratch import held
 from ..sources.tables import AS_OF, ATOMS, EDGES, EPISODES, LOG, QUERY_TEXTS
 from .registry import ORACLE_SQL, query
 from .store_plans import CAND, REVISED, VIS, age
@@ -56,7 +57,7 @@ def signals_of(spark, sf):
 
 
 def scores_of(spark, sf):
-    cand = fl.candidates(tb.atoms(spark, sf))
+    cand = fl.candidates(tb.atoms(spark, sf)).withColumn("tokens", F.ceil(F.length("body") / 4))  # so that no body has to go further
     pool = signals_of(spark, sf).join(cand, "n").join(rk.length_factors(cand), "n")
     return rk.score(pool, age())
 
@@ -130,7 +131,7 @@ RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 
 def ranked_of(spark, sf):
     w = Window.partitionBy("query_id").orderBy(F.round("boosted", 9).desc(), fl.priority(), F.desc("updated_at"), "n")
-    return final_of(spark, sf).withColumn("rank", F.row_number().over(w)).withColumn("tokens", F.ceil(F.length("body") / 4))
+    return final_of(spark, sf).withColumn("rank", F.row_number().over(w))
 
 
 @query("T2_task_sort", *CHAIN, EDGES, SCORES, BOOST, RANKED, sql="SELECT query_id, rank, n FROM ranked WHERE rank <= 20")
@@ -165,19 +166,23 @@ def w9(spark, sf):
     return ranked_of(spark, sf).withColumn("used", F.sum("tokens").over(w)).where("used <= 4000").select("query_id", "n")
 
 
+def _with_words(spark, sf, rows):
+    """rows (n, ...) with the words whose trigrams tell likeness; texts join ranked rows, not the other way round."""
+    words = F.filter(F.split(F.regexp_replace(F.lower("body"), "[^\\p{L}\\p{N}\\s]", ""), "\\s+"), lambda x: x != "")
+    return rows.join(tb.atoms(spark, sf).select("n", "body"), "n").select(*rows.columns, words.alias("words"))
+
+
 @query("R12_diversity")
 def r12(spark, sf):
-    rows = scores_of(spark, sf).select("query_id", "n", "score", F.filter(F.split(F.regexp_replace(F.lower("body"), "[^\\p{L}\\p{N}\\s]", ""), "\\s+"), lambda x: x != "").alias("words"))
-    return rk.mmr(rows)
+    return rk.mmr(_with_words(spark, sf, held(scores_of(spark, sf).select("query_id", "n", "score"), "scores")))
 
 
 @query("R15_recall")
 def r15(spark, sf):
     """The whole chain: search, scores, boost, diversity, budget."""
-    final = ranked_of(spark, sf).withColumn("score", F.col("boosted"))
-    order = rk.mmr(final.select("query_id", "n", "score", F.filter(F.split(F.regexp_replace(F.lower("body"), "[^\\p{L}\\p{N}\\s]", ""), "\\s+"), lambda x: x != "").alias("words")))
-    rows = final.select("query_id", "n", "tokens").join(order, ["query_id", "n"]).withColumnRenamed("position", "rank")
-    return rk.greedy_fill(rows, 4000)
+    final = held(ranked_of(spark, sf).select("query_id", "n", F.col("boosted").alias("score"), "tokens"), "ranked")
+    order = rk.mmr(_with_words(spark, sf, final.select("query_id", "n", "score")))
+    return rk.greedy_fill(final.select("query_id", "n", "tokens").join(order, ["query_id", "n"]).withColumnRenamed("position", "rank"), 4000)
 
 
 @query("T3_recency_recall", ATOMS, VIS, CAND, sql="SELECT n FROM cand ORDER BY list_position(['active', 'draft', 'accepted', 'resolved', 'rejected'], status), created_at DESC, n LIMIT 50")

@@ -85,8 +85,8 @@ REFLECT = (
   SELECT 'promoted', count(*) FROM promoted UNION ALL SELECT 'conflicts', count(*) FROM alive3 x JOIN alive3 y ON {_CLASH} AND x.n < y.n WHERE x.status = 'active' AND y.status = 'active'""")
 def l5(spark, sf):
     """The maintenance run: each stage works on what the one before left; promoted drafts are active for the conflicts."""
-    body = F.md5(F.regexp_replace("body", r"^[ \n\t\r]+|[ \n\t\r]+$", ""))
-    a = tb.atoms(spark, sf).select("n", "atom_id", "type", "status", "confidence", "paths", "created_at", "updated_at", "ttl_days", "executed_at", body.alias("h"))
+    body = F.md5(F.regexp_replace("text", r"^[ \n\t\r]+|[ \n\t\r]+$", ""))
+    a = tb.atoms(spark, sf, body).select("n", "atom_id", "type", "status", "confidence", "paths", "created_at", "updated_at", "ttl_days", "executed_at", F.col("body").alias("h"))
     # which stage takes an atom out, by windows over one pass: no join of a stage's result with the rows
     live, last = ~F.col("status").isin("archived", "expired"), [F.desc("updated_at"), "n"]
     a = a.withColumn("out", F.when(live & F.coalesce(age() > F.col("ttl_days"), F.lit(False)), "expired"))

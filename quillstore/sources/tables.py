@@ -33,9 +33,9 @@ def two(x: Column) -> Column:
     return F.lpad(x.cast("string"), 2, "0")
 
 
-def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per atom. n is its number, body its text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+def atoms(spark: SparkSession, sf_dir: str, body: Column | str = "text") -> DataFrame:
+    """One row per atom. n is its number, body its text, or what is asked for of `text`: that is all that goes through the join."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col(body) if isinstance(body, str) else body).alias("text"), "lang", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     n = F.col("doc_id")
     kind = pick(TYPES, n % 9)

@@ -21,6 +21,14 @@ def _bucket(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def term_counts(words: DataFrame) -> DataFrame:
+    """(n, dl, term, tf) of documents (n, words). Terms are counted where the document is, as runs of its sorted words: no shuffle."""
+    rows = words.where(F.size("words") > 0).select("n", F.size("words").alias("dl"), F.sort_array("words").alias("s"))
+    rows = rows.select("n", "dl", "s", F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1))).alias("at"))
+    run = lambda a, i: F.struct(F.get("s", a).alias("term"), (F.coalesce(F.get("at", i + 1), F.col("dl")) - a).alias("tf"))
+    return rows.select("n", "dl", F.explode(F.transform("at", run)).alias("x")).select("n", "dl", "x.term", "x.tf")
+
+
 class SegmentedIndex:
     """An index at `path`. Documents come as (n, words)."""
 
@@ -57,8 +65,8 @@ class SegmentedIndex:
         segment = batch if batch is not None else commits[-1].segment + 1 if commits else 0
         if commits and segment <= commits[-1].segment:
             return segment
-        sized = documents.select("n", "words", F.size("words").alias("dl"))
-        postings = sized.select("n", "dl", F.explode("words").alias("term")).groupBy("n", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        sized = documents.select("n", F.size("words").alias("dl"))
+        postings = term_counts(documents)
         docs = sized.select("n", F.col("dl").cast("long").alias("dl"))
         if deleted is not None:
             docs = docs.unionByName(deleted.select("n").distinct().join(docs.select("n"), "n", "left_anti").select("n", F.lit(None).cast("long").alias("dl")))

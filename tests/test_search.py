@@ -136,6 +136,28 @@ def test_nearest_vectors_in_blocks(spark, monkeypatch):
         assert [n for k, n, _ in sorted((x for x in whole if x[0] == f"v{i}"), key=lambda x: (-x[2], x[1]))] == best
 
 
+def test_blocks_meet_in_many_tasks(spark, monkeypatch):
+    """Vectors' and queries' halves of a block come to one task, however many tasks there are."""
+    import numpy as np
+
+    g = np.random.default_rng(4)
+    d = spark.createDataFrame([(i, g.normal(size=4).tolist()) for i in range(120)], "n long, v array<double>")
+    q = d.where("n % 10 = 0").select(F.concat(F.lit("v"), "n"), "v")
+    def found(k):
+        return sorted((x.query_id, x.n, x.similarity) for x in rk.knn(d, q, k=k).collect())
+    whole = [found(3), found(None)]
+    monkeypatch.setattr(rk, "VECTOR_BLOCK", 30)
+    monkeypatch.setattr(rk, "QUERY_BLOCK", 3)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, value in zip(before, ("17", "false")):
+            spark.conf.set(c, value)
+        assert [found(3), found(None)] == whole
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+
+
 def event(i, **more):
     return {"event_id": f"e{i}", "timestamp": "2024-01-01T00:00:00Z", "agent_id": "a", "session_id": "s", "action": "atom_read", "atom_refs": [f"n{i}"], "schema_version": None, "atom_snapshot": None} | more
 

@@ -355,3 +355,14 @@ def test_headers_in_spark(spark):
     got = texts.select("n", header.parsed("text").alias("x")).select("n", F.from_json("x.header", "id string, tags array<string>, scope struct<paths: array<string>>, n int").alias("h"), "x.body").orderBy("n").collect()
     assert got[0].h.id == "X: 1" and got[0].h.tags == ["a b", "- c", "null"] and got[0].h.scope.paths == ["p#q"] and got[0].h.n == 2 and got[0].body == rows[0][2]
     assert got[1].h.id == "---" and got[1].body == ""
+
+
+def test_compaction_leaves_a_log(spark):
+    """The compacted log is its events, all that W3 keeps; what was dropped adds up."""
+    from quillstore.plans import catalog
+    from quillstore.sources import tables as tb
+
+    sf = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["L8_compact_log"](spark, sf).collect()
+    assert sorted(r.event_id for r in got) == sorted(r.event_id for r in catalog.QUERIES["W3_compaction"](spark, sf).collect())
+    assert len(got) + sum(r.dropped for r in got) == tb.log(spark, sf).count()

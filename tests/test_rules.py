@@ -366,3 +366,14 @@ def test_compaction_leaves_a_log(spark):
     got = catalog.QUERIES["L8_compact_log"](spark, sf).collect()
     assert sorted(r.event_id for r in got) == sorted(r.event_id for r in catalog.QUERIES["W3_compaction"](spark, sf).collect())
     assert len(got) + sum(r.dropped for r in got) == tb.log(spark, sf).count()
+
+
+def test_cadence_keeps_every_run(spark):
+    """A row for each run: those of A9, and the first ones, which have no week before."""
+    from quillstore.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["H16_eval_cadence"](spark, sf).collect()
+    old = [r for r in got if r.baseline_runs]
+    assert {(r.cat, r.day, r.rate, r.prior, r.alert) for r in old} == {tuple(r) for r in catalog.QUERIES["A9_eval_cadence"](spark, sf).collect()}
+    assert {r.cat for r in got if r.alert == "new"} == {r.cat for r in got} and any(r.latest for r in got)

@@ -2,7 +2,7 @@
 
 A text is the set of its shingles' 64-bit hashes. Equal sets collapse first. 32 bands of 4 MinHashes each propose
 candidates: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 < 1e-7, closer pairs less
-often. Bands with the same members count once. Candidates are verified on the sets themselves, by breadth-first search
+often. Components of SimHash's links (simhash.near_duplicates) propose candidates too, if asked for. Buckets with the same members count once. Candidates are verified on the sets themselves, by breadth-first search
 over the unvisited members of a band, which yields a spanning forest and not all pairs. A band of more than CHUNK
 members is cut into chunks, and each pair of chunks is a task's unit of its own.
 
@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import components
 from .simhash import _text_hash
 from .util import small, written
@@ -90,10 +91,12 @@ def _member(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
 
 
-def _links(signs: DataFrame, docs: DataFrame, text: str, shingle: int, least: float, chunk: int) -> DataFrame:
-    """(a, b): links among the hashes of distinct sets."""
+def _links(signs: DataFrame, docs: DataFrame, text: str, shingle: int, least: float, chunk: int, groups: DataFrame | None = None) -> DataFrame:
+    """(a, b): links among the hashes of distinct sets. groups (text_hash, key): buckets besides the bands."""
     rows = written(signs.groupBy("grams_hash").agg(F.any_value("keys").alias("keys"), F.min("text_hash").alias("text_hash")), "similar-distinct")
     keyed = rows.select(F.explode("keys").alias("key"), "grams_hash")
+    if groups is not None:
+        keyed = keyed.unionByName(signs.select("text_hash", "grams_hash").distinct().join(groups, "text_hash").select("key", "grams_hash").distinct())
     members = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.bit_xor(F.xxhash64("grams_hash")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "grams_hash")).alias("y"))
     buckets = members.where("count > 1").groupBy("count", "x", "y").agg(F.min("key").alias("key"))
     buckets = small(written(buckets.select(F.col("key").alias("of"), F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "similar-buckets"))
@@ -136,11 +139,20 @@ def _links(signs: DataFrame, docs: DataFrame, text: str, shingle: int, least: fl
     return dealt.mapInArrow(each, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", shingle=SHINGLE, least=LEAST, chunk=CHUNK) -> DataFrame:
-    """(doc_id, text_hash, root, component_id): component_id is the smallest doc_id that chains of links reach."""
+def simhash_groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(text_hash, key): the component of SimHash's links that each text is in."""
+    found = simhash.near_duplicates(docs, doc_id=doc_id, text=text)
+    return written(found.select("text_hash", F.xxhash64(F.lit("simhash"), "root").alias("key")).distinct(), "similar-simhash")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", shingle=SHINGLE, least=LEAST, chunk=CHUNK, by_simhash=False) -> DataFrame:
+    """(doc_id, text_hash, root, component_id): component_id is the smallest doc_id that chains of links reach.
+
+    by_simhash: SimHash's components are candidates besides the bands; the exact check is the same for both.
+    """
     signs = written(_signatures(docs, doc_id, text, shingle), "similar-signatures")
     prints = signs.select("doc_id", "text_hash", "grams_hash")
-    roots = components(_links(signs, docs, text, shingle, least, chunk))
+    roots = components(_links(signs, docs, text, shingle, least, chunk, simhash_groups(docs, doc_id, text) if by_simhash else None))
     distinct = prints.groupBy("grams_hash").agg(F.min("doc_id").alias("first"))
     of = written(distinct.join(roots, distinct["grams_hash"] == roots["node"], "left").select("grams_hash", "first", F.coalesce("root", "grams_hash").alias("root")), "similar-roots")
     ids = of.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -56,3 +56,18 @@ def test_bands_in_chunks(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = similar.near_duplicates(docs, chunk=2).collect()
     assert len(found) == len(rows) and sorted({r.component_id for r in found}) == _kept(rows)
+
+
+def test_simhash_proposes(spark):
+    """Without any band, SimHash's components alone bring pairs to the exact check; those it turns down stay apart."""
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(900)]
+    near, far = "a206 a8 a764 a544 a788 a389 a526 a897 a498 a78 a413 a630", "a206 a8 a764 a544 a788 a389 a526 a897 a498 a78 a413 z"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, near), (4, far), (5, "other words")], "doc_id long, text string")
+    signs = similar._signatures(docs, "doc_id", "text", 5).withColumn("keys", F.array().cast("array<long>")).cache()
+    name = {r.grams_hash: r.doc_id for r in signs.collect()}
+    groups = similar.simhash_groups(docs, "doc_id", "text")
+    assert len({r.key for r in groups.collect()}) == 3  # 1 and 2, 3 and 4
+    found = similar._links(signs, docs, "text", 5, 0.8, 1024, groups).collect()
+    assert {frozenset((name[r.a], name[r.b])) for r in found} == {frozenset((1, 2))}

@@ -11,6 +11,11 @@ document. Only documents of later segments are read for that, not the first one'
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +27,20 @@ def _bucket(term, buckets: int):
 
 
 def term_counts(words: DataFrame) -> DataFrame:
-    """(n, dl, term, tf) of documents (n, words). Terms are counted where the document is, as runs of its sorted words: no shuffle."""
-    rows = words.where(F.size("words") > 0).select("n", F.size("words").alias("dl"), F.sort_array("words").alias("s"))
-    rows = rows.select("n", "dl", "s", F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1))).alias("at"))
-    run = lambda a, i: F.struct(F.get("s", a).alias("term"), (F.coalesce(F.get("at", i + 1), F.col("dl")) - a).alias("tf"))
-    return rows.select("n", "dl", F.explode(F.transform("at", run)).alias("x")).select("n", "dl", "x.term", "x.tf")
+    """(n, dl, term, tf) of documents (n, words). Terms are counted where the document is: no shuffle."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):  # a document's terms are no more than its words; some hundred documents at once
+                some = b.slice(at, 200)
+                counts = [Counter(w) for w in some.column(1).to_pylist()]
+                of = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+                dl = np.array([c.total() for c in counts], np.int32)[of]
+                terms, tf = pa.array([t for c in counts for t in c], pa.string()), pa.array([k for c in counts for k in c.values()], pa.int32())
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(of)), pa.array(dl), terms, tf], ["n", "dl", "term", "tf"])
+
+    kind = words.schema["n"].dataType.simpleString()
+    return words.where(F.size("words") > 0).select("n", "words").mapInArrow(each, f"n {kind}, dl int, term string, tf int")
 
 
 class SegmentedIndex:

@@ -52,6 +52,21 @@ def test_top_k_join(spark):
     assert sum(got[k][0] != want[k][0] for k in got) <= 2  # rounding may turn a tie
 
 
+def test_top_k_join_in_blocks(spark, monkeypatch):
+    """Many blocks give what one gives, and no table of candidates is written on the way."""
+    docs = corpus(200, 4)
+    d = spark.createDataFrame(docs, "n long, words array<string>")
+    q = spark.createDataFrame([(i, t) for i in range(0, 200, 7) for t in docs[i][1][:20]] + [(900, "nowhere")], "q long, term string")
+    labels, held = [], tk.held
+    monkeypatch.setattr(tk, "held", lambda df, label: labels.append(label) or held(df, label))
+    def found():
+        return sorted(tuple(x) for x in tk.search_top(tk.postings(d), q, 3).select("q", "n", "score", "r").collect())
+    whole = found()
+    monkeypatch.setattr(tk, "POSTINGS_BLOCK", 300)
+    monkeypatch.setattr(tk, "QUERY_BLOCK", 6)
+    assert found() == whole and len(whole) > 50 and "candidates" not in labels
+
+
 def test_near_duplicate_titles(spark):
     rows = [
         (1, "active", ["a", "b"], "# The quiet river runs\nbody"), (2, "active", ["a", "b"], "\n\nThe quiet river runs\nother"), (3, "active", ["c"], "The quiet river runs"),

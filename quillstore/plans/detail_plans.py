@@ -188,7 +188,7 @@ def r19(spark, sf):
     own = s.where("n % 3 = 0")
     both = own.unionByName(s.where("n % 2 = 0").join(own.select("query_id", "n"), ["query_id", "n"], "left_anti").select(*own.columns))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "n").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("used", F.sum(F.ceil(F.length("body") / 4)).over(w)).where("used <= 16000").select("query_id", "n")
+    return both.withColumn("used", F.sum("tokens").over(w)).where("used <= 16000").select("query_id", "n")
 
 
 @query("L19_retype", EDGES, sql="SELECT src, tgt, CASE WHEN src % 10 >= 7 THEN 'supports' ELSE rel END AS rel, CASE WHEN src % 10 >= 7 THEN 'accepted' ELSE 'kept' END AS outcome FROM edges WHERE rel = 'related'")

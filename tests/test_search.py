@@ -271,3 +271,13 @@ def test_candidates_are_reconciled(spark):
     texts = spark.createDataFrame([("We decided this",), ("You MUST not",), ("is it Open?",), ("I think so",), ("plain",), ("because",), ("Hello,  World! --x--",)], "t string")
     assert [r[0] for r in texts.select(ex.inferred_type("t")).collect()] == ["decision", "constraint", "open_question", "belief", "fact", "fact", "fact"]
     assert texts.select(ex.slug("t")).collect()[-1][0] == "hello-world-x"
+
+
+def test_texts_are_read_once(spark):
+    """What ranks hits goes on from held, narrow rows: the plan that is left reads no text."""
+    from quillstore.plans import catalog
+
+    for name in ("R11_neighbour_boost", "R1_stemmed_search"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "asked-words" in plan or "scores-" in plan
+        assert "text:string" not in plan

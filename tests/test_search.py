@@ -281,3 +281,34 @@ def test_texts_are_read_once(spark):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "asked-words" in plan or "scores-" in plan
         assert "text:string" not in plan
+
+
+def test_an_index_reads_its_documents_once_and_tears_few_blocks(spark, tmp_path, monkeypatch):
+    from quillstore.sources import index as ix
+
+    monkeypatch.setattr(ix, "BLOCK_WORDS", 60)
+    docs = dict(corpus(80, 4)) | {500: [], 501: None, 502: ["w1"] * 200}
+    read = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    d = spark.createDataFrame(list(docs.items()), "n long, words array<string>").coalesce(1)
+    index = SegmentedIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.apply(d.mapInArrow(each, d.schema))
+    assert read.value == len(docs)
+    want = sorted((n, len(w), t, w.count(t)) for n, w in docs.items() if w for t in set(w))
+    terms = sorted({x[2] for x in want} | {"w2"})
+    found = lambda: sorted(map(tuple, index.postings(terms).select("n", "dl", "term", "tf").collect()))
+    assert found() == want
+    index.apply(spark.createDataFrame([(502, ["w2"])], "n long, words array<string>"), spark.createDataFrame([(3,)], "n long"))
+    rows = spark.read.parquet(f"{tmp_path}/index/postings").where("segment = 0 and bucket <> -1")
+    before = {(r.block, r.term): r.ns for r in rows.collect()}
+    index.merge()
+    want = sorted([x for x in want if x[0] not in (3, 502)] + [(502, 1, "w2", 1)])
+    assert found() == want
+    after = {(r.block, r.term): r.ns for r in spark.read.parquet(f"{tmp_path}/index/postings").where("segment = 2 and bucket <> -1").collect()}
+    torn = {b for (b, _), ns in before.items() if {3, 502} & set(ns)}
+    assert len(torn) < len({b for b, _ in before}) and all(after[k] == ns for k, ns in before.items() if k[0] not in torn)

@@ -166,9 +166,7 @@ class SegmentedIndex:
             left = _named_last(_spelled(rows.join(torn, ["segment", "block"])), small(later))
             lists = left.groupBy("segment", "bucket", "term", "block").agg(F.collect_list(F.struct("n", "dl", "tf")).alias("p"))
             rows = whole.unionByName(lists.select("segment", "bucket", "term", "block", F.col("p.n").alias("ns"), F.col("p.dl").alias("dls"), F.col("p.tf").alias("tfs")), allowMissingColumns=True)
-        # one task for a bucket would be few: the terms of a bucket spread over some, each writes a file of it
-        spread = rows.drop("segment").repartition("bucket", F.pmod(F.xxhash64("term", "block"), F.lit(8)))
-        self._write_postings(segment, spread)
+        self._write_postings(segment, rows.drop("segment"))  # where they are read: whole blocks are not shuffled
         self._write_docs(segment, self._docs(commits).where("dl is not null").select("n", "dl"))
         self._commit(segment, sum(c.n_docs for c in commits), sum(c.length for c in commits), True)
         return segment

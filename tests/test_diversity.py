@@ -47,3 +47,25 @@ def test_a_fill_of_many_rows_is_one_pass(spark, monkeypatch):
             used, own = used + n % 4000 + 1, [*own, n]
     assert sorted(r.n for r in got if r.own) == sorted(own) and sum(r.n % 4000 + 1 for r in got) <= 4000
     assert "aggregate(" not in rk.reserved_fill(rows, 4000)._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_fill_is_over_once_all_that_fits_fits_together(spark):
+    """Rows that all fit whatever their order need no place in it; the fill takes them last."""
+    order = spark.createDataFrame([("q", 1, 1, 60), ("q", 2, 2, 50), ("q", 3, 3, 30)], "query_id string, rank long, n long, tokens long")
+    left = lambda *tokens: spark.createDataFrame([("q", 10 + i, t) for i, t in enumerate(tokens)], "query_id string, n long, tokens long")
+    for tokens, over in (((11, 500), True), ((4, 6, 11), True), ((4, 7, 11), False), ((10,), True), ((0, 3, 0), True), ((10, 1), False), ((9, 9), False)):
+        assert rk.filled(order, left(*tokens), 100) == over, tokens
+    assert rk.filled(order.where("false"), left(60, 41), 100) is False
+    last = order.unionByName(left(4, 6, 11).withColumn("rank", F.lit(2**62)))
+    assert sorted(r.n for r in rk.greedy_fill(last, 100).collect()) == [1, 3, 10, 11]
+
+
+def test_a_query_whose_budget_is_filled_goes_no_further(spark, monkeypatch):
+    """Its rows are not met by later rounds; the other query's order is the whole greedy order."""
+    monkeypatch.setattr(dv, "WINDOW_ROWS", 40)
+    rows = _many_rows()
+    d = spark.createDataFrame([(q, *r) for q in "pq" for r in rows], "query_id string, n long, score double, words array<string>")
+    got = dv.mmr(d, more=lambda o: {"q"}).orderBy("position").collect()
+    assert [r.n for r in got if r.query_id == "q"] == _mmr_by_hand(rows, rk.sc.MMR_LAMBDA)
+    first = [r.n for r in got if r.query_id == "p"]
+    assert 0 < len(first) <= 40 and first == _mmr_by_hand(rows, rk.sc.MMR_LAMBDA)[: len(first)]
